@@ -22,6 +22,9 @@ SYNOPSIS_LEAD = r"<strong>.*?简单介绍:</strong>"
 # class, on purpose.
 URL_PREFIXES = ["http://", "https://"]
 SITE_NAME = r"[\\\w\./。]{3,20}\.[com|net|org|cn|co|info|us|cc|xxx|tv|ws|hk|tw]+"
+# A site name is there if a dot has three name characters before and one of the
+# class after it.
+SITE_NAME_TEST = r"\.[com|net|org|cn|co|info|us|cc|xxx|tv|ws|hk|tw](?<=[\\\w\./。]{3}\..)"
 
 # Numerals that may number a chapter.
 CHAPTER_DIGITS = "[0123456789一二三四五六七八九〇壹贰叁肆伍陆柒捌玖零十百千万亿]"

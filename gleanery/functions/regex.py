@@ -111,6 +111,18 @@ def to_java(pattern: str | None) -> Pattern:
     return Pattern("(?d)" + "".join(out), groups, alone)
 
 
+def check(pattern: str | None) -> None:
+    """Raise ValueError for a pattern that no engine accepts."""
+    try:
+        import regex
+    except ImportError:
+        return
+    try:
+        regex.compile(pattern or "")
+    except regex.error as e:
+        raise ValueError(str(e)) from e
+
+
 def to_java_replacement(text: str) -> str:
     """Replacement text: ``$1`` means the same, a backslash is plain text."""
     return text.replace("\\", "\\\\")

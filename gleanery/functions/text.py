@@ -92,17 +92,17 @@ def until_stable(once: Step, matches: Step, *, shrinks: bool = True) -> Step:
     return step
 
 
-def delete_pattern(pattern: str, literal_hint: str | None = None) -> Step:
+def delete_pattern(pattern: str, hint: str | None = None, test: str | None = None) -> Step:
     """Delete every match of a pattern until none is left.
 
-    ``literal_hint`` is a string that any match must hold; a plain search for
-    it is far cheaper than the pattern on the many texts without a match.
+    ``hint`` is a plain string that any match must hold, ``test`` a pattern
+    that matches exactly where the pattern does and is cheaper to look for.
     """
-    java = to_java(pattern).java
+    java, sign = to_java(pattern).java, to_java(test or pattern).java
 
     def matches(v: Column) -> Column:
-        hit = F.rlike(v, F.lit(java))
-        return F.contains(v, F.lit(literal_hint)) & hit if literal_hint else hit
+        hit = F.rlike(v, F.lit(sign))
+        return F.contains(v, F.lit(hint)) & hit if hint else hit
 
     return until_stable(lambda v: F.regexp_replace(v, java, ""), matches)
 
@@ -150,7 +150,8 @@ def to_halfwidth(text: Column) -> Column:
 DROP_BLOCKS = [delete_pattern(rf"<{name} [\s\S]*?</{name}>", f"<{name} ") for name in fixed.BLOCK_ELEMENTS]
 DROP_BARE_TAGS = [delete_strings([f"<{name}>", f"</{name}>"]) for name in fixed.BARE_TAGS]
 DROP_SYNOPSIS_LEAD = [delete_pattern(fixed.SYNOPSIS_LEAD, "简单介绍:</strong>")]
-DROP_URLS = [delete_strings([p]) for p in fixed.URL_PREFIXES] + [delete_pattern(fixed.SITE_NAME, ".")]
+DROP_URLS = [delete_strings([p]) for p in fixed.URL_PREFIXES] + [
+    delete_pattern(fixed.SITE_NAME, test=fixed.SITE_NAME_TEST)]
 CONTENT_FILTER = [
     lambda v: F.lower(to_halfwidth(drop_symbols(v))), *DROP_BLOCKS, *DROP_BARE_TAGS, *DROP_SYNOPSIS_LEAD, *DROP_URLS
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from gleanery.operators.skew import salted_join
 from gleanery.session import write_out
@@ -19,26 +19,38 @@ def walk(seeds: DataFrame, edges: DataFrame, max_steps: int | None = None) -> Da
     a chain of n pages takes log2(n) rounds.  A page counts at its first visit;
     a round that reaches nothing new ends the walk, loops included.
     """
-    jumps = write_out(edges.where("next is not null").groupBy("node").agg(F.min("next").alias("next")), "jumps")
-    reached = write_out(seeds.select("seed", "node", F.lit(0).cast("bigint").alias("step")).distinct(), "reached")
-    count, span = reached.count(), 1
-    while max_steps is None or span <= max_steps:
-        ahead = salted_join(reached, jumps, ["node"], "inner", ["seed", "step"]).select(
+    start = seeds.select("seed", "node", F.lit(0).cast("bigint").alias("step")).distinct()
+    single = edges.where("next is not null").groupBy("node").agg(F.min("next").alias("next"))
+    reached, jumps, count, links = _written(start, single)
+    span = 1
+    while links and (max_steps is None or span <= max_steps):
+        ahead = salted_join(reached, jumps, ["node"], "inner", ["seed", "step"], rows=count).select(
             "seed", F.col("next").alias("node"), (F.col("step") + span).alias("step"))
         if max_steps is not None:
             ahead = ahead.where(F.col("step") <= max_steps)
-        reached = write_out(
-            reached.unionByName(ahead).groupBy("seed", "node").agg(F.min("step").alias("step")), "reached")
-        grown = reached.count()
+        first_visits = reached.unionByName(ahead).groupBy("seed", "node").agg(F.min("step").alias("step"))
+        onward = jumps.select(F.col("node").alias("next"), F.col("next").alias("_onward"))
+        twice = salted_join(jumps, onward, ["next"], "inner", ["node"], rows=links).select(
+            "node", F.col("_onward").alias("next"))
+        reached, jumps, grown, links = _written(first_visits, twice)
         if grown == count:
             break
         count, span = grown, span * 2
-        onward = jumps.select(F.col("node").alias("next"), F.col("next").alias("_onward"))
-        jumps = write_out(salted_join(jumps, onward, ["next"], "inner", ["node"]).select(
-            "node", F.col("_onward").alias("next")), "jumps")
     return reached
 
 
+def _written(reached: DataFrame, jumps: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Write both tables of a round in one job; also gives their row counts."""
+    state = reached.withColumn("kind", F.lit("reached")).unionByName(
+        jumps.withColumn("kind", F.lit("jump")), allowMissingColumns=True)
+    is_reached = F.col("kind") == "reached"
+    seen = Observation()
+    state = state.observe(seen, F.count_if(is_reached).alias("reached"), F.count_if(~is_reached).alias("jumps"))
+    written = write_out(state, "walk", partition_by=["kind"])
+    return (written.where(is_reached).select("seed", "node", "step"), written.where(~is_reached).select("node", "next"),
+            seen.get["reached"], seen.get["jumps"])
+
+
 def stitch(parts: DataFrame, group: list[str], segment_parts: int = SEGMENT_PARTS) -> DataFrame:
     """Parts (group, step, text) joined to one text in step order.
 

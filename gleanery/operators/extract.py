@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import fixed_values as fixed
-from gleanery.functions.regex import Pattern, to_java
+from gleanery.functions.regex import Pattern, check, to_java
 from gleanery.functions.text import first_filled, let
 from gleanery.functions.titles import media_file_name, media_kind
 from gleanery.functions.urls import resolve
 
-COMPILED = "struct<java:string,groups:map<string,array<int>>,self_contained:boolean>"
+COMPILED = "struct<java:string,groups:map<string,array<int>>,self_contained:boolean,error:string>"
 
 
 @dataclass(frozen=True)
@@ -63,20 +63,37 @@ class Ref:
 
 
 def compile_patterns(rules: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Replace the pattern columns of a rule table by compiled patterns."""
+    """Replace the pattern columns of a rule table by compiled patterns.
+
+    A pattern that cannot be compiled is switched off and carries its error.
+    """
 
     @F.pandas_udf(COMPILED)
     def compiled(patterns: pd.Series) -> pd.DataFrame:
-        done = [to_java(p) for p in patterns]
+        done, errors = [], []
+        for pattern in patterns:
+            try:
+                check(pattern)
+                done.append(to_java(pattern))
+                errors.append(None)
+            except (ValueError, KeyError, IndexError) as e:
+                done.append(Pattern(""))
+                errors.append(str(e))
         return pd.DataFrame({
             "java": [p.java for p in done],
             "groups": [p.groups for p in done],
             "self_contained": [p.self_contained for p in done],
+            "error": errors,
         })
 
     return rules.withColumns({n: compiled(F.coalesce(F.col(n), F.lit(""))) for n in names})
 
 
+def pattern_error(names: Sequence[str]) -> Column:
+    """Reason ``bad_pattern:<rule field>`` of a compiled rule, else null."""
+    return F.coalesce(*[F.when(F.col(n)["error"].isNotNull(), f"bad_pattern:{n}") for n in names])
+
+
 def is_enabled(pattern: Pattern | str | Column) -> Column:
     """An empty pattern switches its step off, although it would match."""
     return Ref.of(pattern).java != ""

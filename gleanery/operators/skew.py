@@ -36,16 +36,20 @@ def salted_join(
     how: str,
     spread_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi join on ``on`` whose hot left keys are split into shares.
 
     Rows of a hot key are spread by a hash of ``spread_by`` (their identity);
     the matching right rows are repeated once per share.  Every left row meets
     every right row of its key exactly once, so any join type that keeps or
-    tests left rows gives the result of the plain join.
+    tests left rows gives the result of the plain join.  ``rows`` is the number
+    of left rows where it is known; too few rows have no hot key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}")
+    if rows is not None and rows <= hot_rows:
+        return left.join(right, list(on), how)
     hot = F.broadcast(hot_keys(left, on, hot_rows))
     shared = left.withColumn("_key", F.xxhash64(*on)).join(hot, "_key", "left")
     salt = F.when(F.col("_shares").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col("_shares"))).otherwise(F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import fixed_values as fixed, text, titles
 from gleanery.operators import extract
 from gleanery.plans.registry import query, sql_replace, sql_text, table
+from gleanery.session import spread
 from gleanery.sources import wordlists
 
 WORD_SQL = r"\p{L}\p{Mn}\p{Nd}\p{Pc}"
@@ -46,7 +47,7 @@ def sql_filter(v: str) -> str:
 
 
 def _pages(spark, sf_dir, value=F.col):
-    return table(spark, sf_dir, "pages").select("page_id", value("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", value("html").alias("text"))
 
 
 @query(f"SELECT page_id, {sql_symbols('html')} AS text FROM pages")
@@ -110,7 +111,8 @@ def sql_replace_rule(source: str, pattern: str, to: str) -> str:
 def replace_list(spark, sf_dir):
     lines = wordlists.split_lines(spark.createDataFrame([(REPLACE_FILE,)], "value string"), "value")
     rules = wordlists.load_replace_list(wordlists.replace_rules(lines))
-    return text.apply_replace_list(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", rules)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return text.apply_replace_list(docs, "text", rules)
 
 
 ENTITIES = {"copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "amp": "&"}

@@ -16,6 +16,7 @@ SETTINGS = {
     # Accept every charset of the JVM in decode(), legacy ones included.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 _local_dirs: dict[str, str] = {}
@@ -52,12 +53,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gleanery/{label}-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame, label: str) -> DataFrame:
+def write_out(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     The table cuts the lineage, survives the loss of executors, is read column
     by column, and has a known size from which Spark can plan the next join.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores.
+
+    Text work is heavy per row, and a small file is a single split.  An input
+    of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -48,7 +48,7 @@ def decode_pages(raw: DataFrame, content: str = "content", charset: str = "chars
     """
     name = F.lower(F.coalesce(F.nullif(F.col(charset), F.lit("")), F.lit("utf-8")))
     named = raw.withColumn(charset, name)
-    in_jvm = F.decode(F.col(content), F.col(charset))
+    in_jvm = F.call_function("decode", F.col(content), F.col(charset))
     if raw.sparkSession.conf.get("spark.sql.legacy.javaCharsets") == "true":
         return named.withColumn("html", in_jvm).drop(content)
     common = F.col(charset).isin(BUILT_IN_CHARSETS)
