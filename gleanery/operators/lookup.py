@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleanery.functions.text import trim_dots
 from gleanery.functions.urls import url_key
-from gleanery.operators.skew import first_per_key, is_small, lookup_join, salted_join
+from gleanery.operators.skew import first_per_key, is_small, lookup_join, relevant, salted_join
 
 
 def filled_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,8 +24,9 @@ def exclude(items: DataFrame, blacklist: DataFrame, on: str, spread_by: Sequence
 def first_stored(rows: DataFrame, stored: DataFrame, on: Sequence[str], spread_by: Sequence[str],
                  id_name: str = "stored_id") -> DataFrame:
     """Every row with the lowest id stored under its key, null if there is none."""
-    ids = filled_keys(stored, on).groupBy(*on).agg(F.min("id").alias(id_name))
-    return lookup_join(filled_keys(rows, on), ids, on, "left", spread_by)
+    rows, stored = filled_keys(rows, on), filled_keys(stored.select("id", *on), on)
+    ids = relevant(stored, rows, on).groupBy(*on).agg(F.min("id").alias(id_name))
+    return lookup_join(rows, ids, on, "left", spread_by)
 
 
 def attach_parent(rows: DataFrame, parents: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
@@ -68,10 +69,10 @@ def contains_match(harvested: DataFrame, stored: DataFrame, broadcast: bool | No
 def new_rows(candidates: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str],
              dedup_batch: bool = True) -> DataFrame:
     """Candidates whose key is not stored yet; of equal ones in the batch the first."""
+    known = relevant(stored.select(*keys), candidates, keys).distinct()
     if dedup_batch:
-        unique = first_per_key(candidates, keys, order)
-        return unique.join(stored.select(*keys).distinct(), list(keys), "left_anti")
-    return salted_join(candidates, stored.select(*keys).distinct(), keys, "left_anti", order)
+        return first_per_key(candidates, keys, order).join(known, list(keys), "left_anti")
+    return salted_join(candidates, known, keys, "left_anti", order)
 
 
 def follow(links: DataFrame, pages: DataFrame, spread_by: Sequence[str], how: str = "inner") -> DataFrame:

@@ -89,6 +89,17 @@ def lookup_join(
     return salted_join(left, right, on, how, spread_by)
 
 
+def relevant(stored: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Stored rows whose key occurs in a batch.
+
+    The keys of a small batch are broadcast, so that the stored table is only
+    scanned, not shuffled.  For a large batch the table is returned as it is:
+    the join that follows does the same work once.
+    """
+    keys = batch.select(*on).distinct()
+    return stored.join(F.broadcast(keys), list(on), "left_semi") if is_small(keys) else stored
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One whole row per key, the first in ``order``.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleanery.functions import fixed_values as fixed, text
 from gleanery.functions.urls import resolve, site_root, url_key
 from gleanery.operators import chains, extract, incremental, lookup, quarantine
-from gleanery.operators.skew import first_per_key, salted_join
+from gleanery.operators.skew import first_per_key, lookup_join, salted_join
 from gleanery.schemas import with_defaults
 from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
 from gleanery.session import write_out
@@ -71,13 +71,13 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     aside.append(set_aside(bad, "info", F.col("reason")))
 
     # Books and classes.
-    stored, classes = catalog.books(before=batch), catalog.table("class", before=batch).drop("batch")
+    stored, classes = catalog.books(batch, of=found), catalog.table("class", before=batch).drop("batch")
     fresh = found.withColumns({"length": text.to_int(F.col("length")), "status": text.status_code(F.col("status"))})
     fresh = write_out(lookup.new_rows(fresh, stored, ["title", "author"], ["rule", "step", "pos"]), "new-books")
     new_classes = write_out(incremental.new_classes(fresh, classes, fixed.BOOK_MODEL_ID), "new-classes")
     fresh = incremental.attach_class(fresh, classes.unionByName(new_classes), PAGE_ID)
-    new_books = write_out(with_defaults(incremental.assign_ids(fresh, ["title", "author"], stored), "book",
-                                        {"add_time": now, "update_time": now}), "books")
+    fresh = incremental.assign_ids(fresh, ["title", "author"], catalog.table("book", before=batch))
+    new_books = write_out(with_defaults(fresh, "book", {"add_time": now, "update_time": now}), "books")
     books = stored.select(*new_books.columns).unionByName(new_books)
     owners = first_per_key(books.select("title", "author", F.col("id").alias("book_id"), "class_id", "class_name",
                                         "last_chapter_id", "last_chapter_title"), ["title", "author"], ["book_id"])
@@ -100,7 +100,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     items = write_out(items, "chapter-items")
     parents = owned.select("source", F.col("last_chapter_id").alias("last_id"),
                            F.col("last_chapter_title").alias("last_title"))
-    known = salted_join(catalog.table("chapter", before=batch).select("book_id", "title"),
+    known = lookup_join(catalog.table("chapter", before=batch).select("book_id", "title"),
                         owned.select("book_id", "source"), ["book_id"], "inner", ["title"])
     items = incremental.take_until_known(incremental.resume_after_last(items, parents, "source"), known, "source")
     items = write_out(items.select(

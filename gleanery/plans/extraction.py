@@ -102,7 +102,7 @@ def match_predicate(spark, sf_dir):
 
 @query("""
 SELECT 'content' AS step, 'paragraph' AS rule, url, '' AS title, 'no_match' AS reason, CAST(1 AS INT) AS attempts
-FROM pages WHERE NOT regexp_matches(html, '<p>.*?</p>')""")
+FROM pages WHERE NOT regexp_matches(html, '<p>.*?</p>')""", name="quarantine")
 def quarantine_rows(spark, sf_dir):
     reason = F.when(~extract.is_match(F.col("html"), PARAGRAPH_RULE), "no_match")
     _, bad = quarantine.split(pages_of(spark, sf_dir), reason)
@@ -187,7 +187,7 @@ def default_chain(spark, sf_dir):
 
 @query(f"""
 SELECT page_id, replace(regexp_extract(html, '<footer>([\\s\\S]*?)</footer>', 1), {HOST_SQL}, '') AS text
-FROM pages""")
+FROM pages""", name="strip_site_name")
 def strip_site(spark, sf_dir):
     footer = extract.first_match(F.col("html"), r"<footer>(?<text>[\s\S]*?)</footer>", ["text"])["text"]
     return pages_of(spark, sf_dir).select("page_id", strip_site_name(footer, host(F.col("url"))).alias("text"))
@@ -195,7 +195,7 @@ def strip_site(spark, sf_dir):
 
 @query(r"""
 SELECT page_id, regexp_replace(regexp_extract(html, '<article>([\s\S]*?)</article>', 1), '<[^>]*>', '', 'g') AS text
-FROM pages""")
+FROM pages""", name="strip_tags")
 def strip_markup(spark, sf_dir):
     content = extract.first_match(F.col("html"), CONTENT_RULE, ["content"])["content"]
     return pages_of(spark, sf_dir).select("page_id", strip_tags(content).alias("text"))
@@ -204,7 +204,7 @@ def strip_markup(spark, sf_dir):
 @query(r"""
 SELECT page_id, replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1) || ':|a//b?*', '/{2,}', '/', 'g'),
-  ':', '_'), '>', ''), '<', ''), '*', ''), '?', ''), '|', '_') AS title FROM pages""")
+  ':', '_'), '>', ''), '<', ''), '*', ''), '?', ''), '|', '_') AS title FROM pages""", name="standard_title")
 def standard_titles(spark, sf_dir):
     heading = extract.first_match(F.col("html"), r"<h1>(?<title>.*?)</h1>", ["title"])["title"]
     return pages_of(spark, sf_dir).select(

@@ -8,7 +8,7 @@ from gleanery.functions import fixed_values as fixed, text, titles
 from gleanery.functions.text import first_filled
 from gleanery.functions.urls import host, resolve, url_key
 from gleanery.operators import extract, incremental, lookup, quarantine
-from gleanery.operators.skew import first_per_key, salted_join
+from gleanery.operators.skew import first_per_key, relevant, salted_join
 from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
 from gleanery.schemas import with_defaults
 from gleanery.session import write_out
@@ -77,12 +77,12 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
         "html", "InfoRule", "SourceBaiduRule", "SourceKuaibRule", *AREA_RULES), "info")
 
     # Stored series by title.
-    stored, classes = catalog.series(before=batch), catalog.table("class", before=batch).drop("batch")
+    stored, classes = (catalog.table(t, before=batch).drop("batch") for t in ("series", "class"))
     reason = F.when(F.col("missing"), "missing_page").when(text.trim_dots(F.col("title")) == "", "empty_title")
     opened, bad = quarantine.split(opened, reason)
     aside.append(set_aside(bad, "info", F.col("reason")))
     if exact_match:
-        hits = stored.groupBy("title").agg(F.min("id").alias("known_id"))
+        hits = relevant(stored, opened, ["title"]).groupBy("title").agg(F.min("id").alias("known_id"))
     else:
         hits = lookup.contains_match(opened, stored).select("title", F.col("id").alias("known_id"))
     matched = write_out(salted_join(opened, hits, ["title"], "left", PAGE_ID), "matched")
@@ -118,13 +118,15 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
         matched.where("known_id is not null").select(F.col("known_id").alias("id"), image.alias("image_url")), stored))
 
     # The series of every info page: matched by the list title, else by its own.
-    by_title = stored.select("title", "id").unionByName(fresh.select("title", "id"))
+    by_title = relevant(stored, candidates, ["title"]).select("title", "id").unionByName(fresh.select("title", "id"))
     by_title = by_title.groupBy("title").agg(F.min("id").alias("movie_id"))
     own = salted_join(candidates.select(*PAGE_ID, "title"), by_title, ["title"], "inner", PAGE_ID)
     owners = matched.where("known_id is not null").select(*PAGE_ID, F.col("known_id").alias("movie_id")).unionByName(
         own.select(*PAGE_ID, "movie_id"))
-    names = stored.select("id", "title").unionByName(fresh.select("id", "title"))
-    names = names.select(F.col("id").alias("movie_id"), F.col("title").alias("movie_title"))
+    owners = write_out(owners, "owners")
+    names = stored.select(F.col("id").alias("movie_id"), F.col("title").alias("movie_title"))
+    names = relevant(names, owners, ["movie_id"]).unionByName(
+        fresh.select(F.col("id").alias("movie_id"), F.col("title").alias("movie_title")))
     owners = salted_join(owners, names, ["movie_id"], "inner", PAGE_ID)
     areas = salted_join(matched.select(*PAGE_ID, "url", *KINDS), owners, PAGE_ID, "inner", PAGE_ID)
     owner_columns = ["rule", "movie_id", "movie_title"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions.urls import url_key
 from gleanery.operators import chains, extract, quarantine
-from gleanery.operators.skew import is_small, salted_join
+from gleanery.operators.skew import is_small, relevant, salted_join
 from gleanery.session import write_out
 from gleanery.sources import pages as page_source
 from gleanery.sources.rules import PATTERNS, compile_rules
@@ -59,7 +59,8 @@ class Site:
         page columns are null if the page is missing."""
         of_page = [c for c in columns if c in self.pages.columns]
         of_rule = [c for c in columns if c in self.rules.columns]
-        opened = salted_join(links, self.pages.select("key", *of_page), ["key"], "left", links.columns)
+        pages = relevant(self.pages.select("key", *of_page), links, ["key"])
+        opened = salted_join(links, pages, ["key"], "left", links.columns)
         return self._with_rules(opened, self.rules.select("rule", *of_rule), "rule", links.columns)
 
     def _with_rules(self, rows: DataFrame, rules: DataFrame, on: str, spread_by: list[str]) -> DataFrame:

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.functions import fixed_values as fixed
-from gleanery.operators.skew import salted_join
+from gleanery.operators.skew import relevant
 from gleanery.schemas import TABLES, with_defaults
+from gleanery.session import write_out
 
 
 @dataclass(frozen=True)
@@ -48,31 +49,25 @@ class Catalog:
         self.spark.createDataFrame([(batch,)], "batch bigint").coalesce(1).write.mode("append").parquet(
             f"{self.path}/_commits")
 
-    def pointers(self, parent: str, before: int | None = None) -> DataFrame:
-        """The newest pointer of every parent row of a kind."""
-        rows = self.table("pointer", before).where(F.col("parent") == parent)
-        newest = F.max_by(F.struct("last_id", "last_title", "update_time"), F.struct("batch", "last_id"))
-        return rows.groupBy("parent_id").agg(newest.alias("_p")).select(F.col("parent_id").alias("id"), "_p.*")
+    def books(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """Books with their last chapter; only those in ``of`` (title, author) if given."""
+        return self._with_pointers("book", before, of, ["title", "author"], {
+            "last_chapter_id": "last_id", "last_chapter_title": "last_title", "update_time": "update_time"})
 
-    def books(self, before: int | None = None) -> DataFrame:
-        """Books with their last chapter."""
-        books = self.table("book", before).drop("batch")
-        newest = self.pointers("book", before).withColumnRenamed("update_time", "_time")
-        joined = salted_join(books, newest, ["id"], "left", ["id"])
-        return joined.select(
-            *[c for c in books.columns if c not in ("last_chapter_id", "last_chapter_title", "update_time")],
-            F.coalesce("last_id", "last_chapter_id").alias("last_chapter_id"),
-            F.coalesce("last_title", "last_chapter_title").alias("last_chapter_title"),
-            F.coalesce("_time", "update_time").alias("update_time"),
-        )
+    def series(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """Series with their last episode; only those in ``of`` (title) if given."""
+        return self._with_pointers("series", before, of, ["title"], {
+            "last_drama_title": "last_title", "update_time": "update_time"})
 
-    def series(self, before: int | None = None) -> DataFrame:
-        """Series with their last episode."""
-        series = self.table("series", before).drop("batch")
-        newest = self.pointers("series", before).withColumnRenamed("update_time", "_time")
-        joined = salted_join(series, newest, ["id"], "left", ["id"])
-        return joined.select(
-            *[c for c in series.columns if c not in ("last_drama_title", "update_time")],
-            F.coalesce("last_title", "last_drama_title").alias("last_drama_title"),
-            F.coalesce("_time", "update_time").alias("update_time"),
-        )
+    def _with_pointers(self, name: str, before: int | None, of: DataFrame | None, on: list[str],
+                       values: dict[str, str]) -> DataFrame:
+        parents = self.table(name, before).drop("batch")
+        rows = self.table("pointer", before).where(F.col("parent") == name).withColumnRenamed("parent_id", "id")
+        if of is not None:
+            parents = write_out(relevant(parents, of, on), name)
+            rows = relevant(rows, parents, ["id"])
+        newest = F.max_by(F.struct("last_id", "last_title", "update_time"), F.struct("batch", "last_id"))
+        newest = rows.groupBy("id").agg(newest.alias("_newest"))
+        joined = parents.join(newest, "id", "left")
+        return joined.select(*[
+            F.coalesce(f"_newest.{values[c]}", c).alias(c) if c in values else F.col(c) for c in parents.columns])
