@@ -41,8 +41,7 @@ class Ref:
     def field(self, text: Column, name: str) -> Column:
         """Text of a named group; a repeated name gives its last filled group."""
         if isinstance(self.groups, dict):
-            found = [self.group(text, i) for i in reversed(self.groups.get(name, []))]
-            value = first_filled(*found) if found else F.lit("")
+            value = first_filled(*[self.group(text, i) for i in reversed(self.groups.get(name, []))], "")
         else:
             value = F.aggregate(self.indices(name), F.lit(""),
                                 lambda acc, i: first_filled(self.group(text, i), acc))
@@ -134,7 +133,7 @@ def first_match(text: Column, pattern: Pattern | str | Column, fields: Sequence[
     ref = Ref.of(pattern)
 
     def record(whole: Column) -> Column:
-        matched = (ref.java != "") & ((whole != "") | F.rlike(text, ref.java))
+        matched = F.coalesce((ref.java != "") & ((whole != "") | F.rlike(text, ref.java)), F.lit(False))
         source = ref.choose(whole, text)
         return F.struct(matched.alias("matched"), whole.alias("whole"), *[ref.field(source, f) for f in fields])
 

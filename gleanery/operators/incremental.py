@@ -34,7 +34,7 @@ def resume_after_last(items: DataFrame, parents: DataFrame, group: str) -> DataF
     empty = heads.where("title = ''").select(group, F.col("pos").alias("_empty"))
     bounds = (
         last.join(hits, group, "left").join(empty, group, "left")
-        .where("_last_id = 0 or _cut <= coalesce(_empty, _cut)")
+        .where("_last_id = 0 or _cut < coalesce(_empty, _cut + 1)")
         .select(group, F.when(F.col("_last_id") == 0, -1).otherwise(F.col("_cut")).alias("_cut"))
     )
     kept = salted_join(items, bounds, [group], "inner", ["pos"])

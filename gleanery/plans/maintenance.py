@@ -23,7 +23,7 @@ b AS (SELECT conv_id, last_id, min(CASE WHEN title = last THEN pos END) AS cut,
              min(CASE WHEN title = '' THEN pos END) AS gap
       FROM i JOIN l USING (conv_id) GROUP BY ALL)
 SELECT conv_id, pos, title FROM i JOIN b USING (conv_id)
-WHERE last_id = 0 OR (cut <= coalesce(gap, cut) AND pos > cut)""")
+WHERE last_id = 0 OR (cut < coalesce(gap, cut + 1) AND pos > cut)""")
 def resume_after_last(spark, sf_dir):
     items = items_of(spark, sf_dir)
     last = F.when((F.col("pos") == F.col("conv_id") % 4) & (F.col("conv_id") % 9 != 0), F.col("title"))
