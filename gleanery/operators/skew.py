@@ -67,13 +67,8 @@ def salted_join(
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table is small enough to broadcast; reads no more than the bound."""
-    size = (
-        df.limit(max_rows + 1)
-        .select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
-        .first()
-    )
-    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
+    sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes")).take(max_rows + 1)
+    return len(sizes) <= max_rows and sum(s["bytes"] for s in sizes) <= max_bytes
 
 
 def lookup_join(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanery.functions.text import first_filled, strip_site_name, strip_tags
 from gleanery.functions.titles import standard_title
@@ -10,7 +10,7 @@ from gleanery.functions.urls import host, resolve
 from gleanery.operators import extract, incremental, quarantine
 from gleanery.plans.registry import HOST_SQL, query, sql_resolve, table
 from gleanery.sources.pages import rule_pages as join_rules, with_host
-from gleanery.sources.rules import BOOK, compile_rules
+from gleanery.sources.rules import BOOK, PATTERNS, compile_rules
 
 LIST_RULE = r'<a href="(?<url>.*?)">(?<title>.*?)</a>'
 INFO_RULE = r'<html lang="(?<class>.*?)">[\s\S]*?<title>(?<title>.*?)</title>[\s\S]*?<h1>(?<heading>.*?)</h1>'
@@ -28,11 +28,6 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-def links_of(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    return extract.explode_matches(pages_of(spark, sf_dir), keep,
-                                   extract.all_matches(F.col("html"), LIST_RULE, ["url", "title"]).alias("links"))
-
-
 def host_rules(pages: DataFrame) -> DataFrame:
     """One book rule per site of the corpus.
 
@@ -50,6 +45,11 @@ def host_rules(pages: DataFrame) -> DataFrame:
     )
 
 
+def rule_patterns() -> list[Column]:
+    """All pattern columns of ``host_rules``, empty where it has none."""
+    return [F.col(c) if c in ("ListRule", "InfoRule", "ContentRule") else F.lit("").alias(c) for c in PATTERNS[BOOK]]
+
+
 @query(f"SELECT page_id, {HOST_SQL} AS host, length(html) AS n_chars FROM pages")
 def page_scan(spark, sf_dir):
     return with_host(pages_of(spark, sf_dir)).select("page_id", "host", F.length("html").cast("long").alias("n_chars"))
@@ -115,20 +115,12 @@ SELECT {HOST_SQL} AS rule, count(*) AS n_pages FROM pages
 WHERE length({HOST_SQL}) % 3 <> 2 GROUP BY ALL""")
 def rule_guard(spark, sf_dir):
     pages = with_host(pages_of(spark, sf_dir))
-    rules = compile_rules(host_rules(pages).select("SiteDomain", *_patterns()), BOOK)
+    rules = compile_rules(host_rules(pages).select("SiteDomain", *rule_patterns()), BOOK)
     active = rules.where(extract.is_enabled(F.col("ListRule"))).select(F.col("SiteDomain").alias("host"))
     joined = join_rules(pages.select("page_id", "host"), active)
     return joined.groupBy(F.col("host").alias("rule")).agg(F.count("*").alias("n_pages"))
 
 
-def _patterns():
-    """All pattern columns of a rule, absent ones empty."""
-    from gleanery.sources.rules import PATTERNS
-
-    present = {"ListRule", "InfoRule", "ContentRule"}
-    return [F.col(c) if c in present else F.lit("").alias(c) for c in PATTERNS[BOOK]]
-
-
 @query(rf"""
 WITH p AS (SELECT page_id, {HOST_SQL} AS rule, html FROM pages),
 m AS (SELECT page_id, rule,
@@ -142,7 +134,7 @@ m AS (SELECT page_id, rule,
 SELECT rule, page_id, unnest(range(len(u))) AS pos, unnest(u) AS url, unnest(t) AS title FROM m""")
 def rule_pages(spark, sf_dir):
     pages = with_host(pages_of(spark, sf_dir))
-    rules = compile_rules(host_rules(pages).select("SiteDomain", *_patterns()), BOOK)
+    rules = compile_rules(host_rules(pages).select("SiteDomain", *rule_patterns()), BOOK)
     joined = join_rules(pages, rules.select(F.col("SiteDomain").alias("host"), "ListRule"))
     matches = extract.all_matches(F.col("html"), F.col("ListRule"), ["url", "title"])
     return extract.explode_matches(joined, ["host", "page_id"], matches).withColumnRenamed("host", "rule")

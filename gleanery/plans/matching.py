@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import status_code, to_int
-from gleanery.functions.urls import host
-from gleanery.operators import incremental, lookup
-from gleanery.plans.extraction import host_rules, links_of, pages_of
+from gleanery.functions.urls import host, resolve
+from gleanery.operators import extract, incremental, lookup
+from gleanery.plans.extraction import host_rules, pages_of, rule_patterns
 from gleanery.plans.registry import HOST_SQL, query, table
 from gleanery.schemas import with_defaults
+from gleanery.session import new_path, write_out
 from gleanery.sources import wordlists
+from gleanery.sources.catalog import Catalog
+from gleanery.sources.pages import rule_pages, with_host
+from gleanery.sources.rules import BOOK, compile_rules
 
 BLACKLIST_FILE = "casino-win\r\ncheap-pills\nads-track\n\nfree-bets"
 SITE = r"([^.]+)\.example\.[a-z]+$"
@@ -104,9 +108,6 @@ f AS (SELECT kind, movie_id, title,
 SELECT kind, movie_id, title, id, true AS enable FROM k
 UNION ALL SELECT kind, movie_id, title, id, true FROM f""")
 def append_new_episodes(spark, sf_dir):
-    from gleanery.session import new_path
-    from gleanery.sources.catalog import Catalog
-
     candidates = episodes_of(spark, sf_dir)
     catalog = Catalog.create(spark, new_path(spark, "catalog"))
     for batch, rows in enumerate([candidates.where("pos % 3 = 0"), candidates], start=1):
@@ -118,8 +119,6 @@ def append_new_episodes(spark, sf_dir):
 
 @query(f"WITH {EPISODES_SQL} SELECT kind, movie_id, title, pos FROM e")
 def episode_route(spark, sf_dir):
-    from gleanery.session import new_path
-
     path = new_path(spark, "routed")
     episodes_of(spark, sf_dir).write.partitionBy("kind").parquet(path)
     stored = spark.read.schema("movie_id bigint, title string, pos bigint, kind string").parquet(path)
@@ -192,15 +191,9 @@ SELECT class_id, class_name, host, count(*) AS n_links, count(DISTINCT 'x' || ur
 FROM k JOIN c USING (class_name) GROUP BY ALL""")
 def harvest_overview(spark, sf_dir):
     """From rules and pages to links per class and site: the flow end to end."""
-    from gleanery.functions.urls import resolve
-    from gleanery.operators import extract
-    from gleanery.plans.extraction import _patterns
-    from gleanery.sources.pages import rule_pages, with_host
-    from gleanery.sources.rules import BOOK, compile_rules
-
     pages = with_host(pages_of(spark, sf_dir))
     rules = host_rules(pages).where(F.length("host") % 3 == 0)
-    rules = compile_rules(rules.select("SiteDomain", *_patterns()), BOOK)
+    rules = compile_rules(rules.select("SiteDomain", *rule_patterns()), BOOK)
     rules = rules.where(extract.is_enabled(F.col("ListRule"))).select(
         F.col("SiteDomain").alias("host"), "ListRule", "InfoRule")
     joined = rule_pages(pages, rules)
@@ -214,8 +207,9 @@ def harvest_overview(spark, sf_dir):
         wordlists.split_lines(spark.createDataFrame([(BLACKLIST_FILE,)], "value string"), "value"))
     kept = lookup.exclude(links, listed.withColumnRenamed("title", "site"), "site", ["page_id", "pos"])
 
-    counted = kept.groupBy("class_name", "host").agg(
-        F.count("*").alias("n_links"), F.countDistinct(F.regexp_replace("target", "^[a-z]+://", "")).alias("n_targets"))
+    targets = F.countDistinct(F.regexp_replace("target", "^[a-z]+://", ""))
+    counted = write_out(kept.groupBy("class_name", "host").agg(
+        F.count("*").alias("n_links"), targets.alias("n_targets")), "counted")
     seed = spark.createDataFrame([(1, "其他", 0, 4)], "id bigint, class_name string, parent_id bigint, model_id int")
     fresh = incremental.new_classes(counted.select("class_name"), seed, 4)
     classes = seed.unionByName(fresh)

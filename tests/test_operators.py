@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import sites
 from gleanery.operators import chains, extract, incremental, lookup, quarantine, skew
-from gleanery.plans.books import harvest_books  # noqa: F401
 from gleanery.sources import pages as page_source
 from gleanery.sources.rules import BOOK, compile_rules
 
