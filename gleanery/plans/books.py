@@ -26,8 +26,8 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
                   blacklist: DataFrame | None = None, replace_list: list[tuple[str, str]] = (),
                   as_of: Column | None = None) -> None:
     """Harvest one crawl pass into batch ``batch`` of the catalog."""
-    now = F.current_timestamp() + F.expr("interval 8 hours") if as_of is None else as_of
-    now = now.cast("timestamp_ntz")
+    local_time = F.convert_timezone(F.current_timezone(), F.lit("+08:00"), F.localtimestamp())
+    now = (local_time if as_of is None else as_of).cast("timestamp_ntz")
     aside: list[DataFrame] = []
 
     rules, bad_rules = usable_rules(rules, BOOK)

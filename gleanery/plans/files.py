@@ -39,18 +39,27 @@ def rule_roundtrip(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16be' ELSE 'gb2312' END AS charset,
-  CASE WHEN page_id % 3 = 2 THEN 'plain ' || page_id || ' 中文' ELSE html END AS html FROM pages""")
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16be' ELSE 'windows-1252' END AS charset, html
+FROM pages""")
 def page_decode(spark, sf_dir):
-    charset = F.when(F.col("page_id") % 3 == 0, "utf-8").when(F.col("page_id") % 3 == 1, "utf-16be").otherwise("gb2312")
-    chinese = F.concat(F.encode(F.concat(F.lit("plain "), F.col("page_id"), F.lit(" ")), "US-ASCII"),
-                       F.unhex(F.lit("D6D0CEC4")))
+    charset = F.when(F.col("page_id") % 3 == 0, "utf-8").when(F.col("page_id") % 3 == 1, "utf-16be").otherwise(
+        "windows-1252")
+    # The letters of the pages have the same bytes in Latin-1 and windows-1252.
     content = (F.when(charset == "utf-8", F.encode("html", "UTF-8"))
-               .when(charset == "utf-16be", F.encode("html", "UTF-16BE")).otherwise(chinese))
+               .when(charset == "utf-16be", F.encode("html", "UTF-16BE")).otherwise(F.encode("html", "ISO-8859-1")))
     raw = pages_of(spark, sf_dir).select("page_id", charset.alias("charset"), content.alias("content"))
     return page_source.decode_pages(raw)
 
 
+@query("""
+SELECT 'chapter' AS step, '' AS rule, url, sum(length(url) % 4 + 1) AS attempts FROM pages
+GROUP BY url HAVING sum(length(url) % 4 + 1) < 3""")
+def quarantine_retry(spark, sf_dir):
+    failed = pages_of(spark, sf_dir).select(
+        "url", F.lit("").alias("rule"), (F.length("url") % 4 + 1).alias("attempts"))
+    return quarantine.retry(quarantine.as_quarantine(failed, "chapter"))
+
+
 @query("""
 SELECT 'chapter' AS step, '' AS rule, url, sum(page_id % 4 + 1) AS attempts FROM pages
 WHERE page_id % 2 = 0 GROUP BY url HAVING sum(page_id % 4 + 1) < 3""")

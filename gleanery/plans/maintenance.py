@@ -37,12 +37,12 @@ def resume_after_last(spark, sf_dir):
 WITH i AS (SELECT conv_id, turn AS pos, CASE WHEN (conv_id + turn) % 11 = 7 THEN '' ELSE text END AS title
            FROM conversations),
 s AS (SELECT conv_id, min(pos) AS stop FROM i WHERE title = '' OR EXISTS (
-        SELECT 1 FROM conversations k WHERE k.conv_id = i.conv_id AND k.text = i.title AND (k.conv_id + k.turn) % 5 = 0)
+        SELECT 1 FROM conversations k WHERE k.conv_id = i.conv_id AND k.text = i.title AND length(k.text) > 400)
       GROUP BY conv_id)
 SELECT conv_id, pos, title FROM i LEFT JOIN s USING (conv_id) WHERE stop IS NULL OR pos < stop""")
 def take_until_known(spark, sf_dir):
     items = items_of(spark, sf_dir)
-    known = items.where("(conv_id + pos) % 5 = 0")
+    known = items.where("length(title) > 400")
     empty = F.when((F.col("conv_id") + F.col("pos")) % 11 == 7, "").otherwise(F.col("title"))
     return incremental.take_until_known(items.withColumn("title", empty), known, "conv_id")
 
@@ -61,7 +61,7 @@ def class_get_or_create(spark, sf_dir):
 
 @query("""
 WITH d AS (SELECT source AS title, lang AS author, min(doc_id) AS first_id, arg_min(n_chars, doc_id) AS length,
-                  CAST(substring(source, 4) AS INT) % 2 = 0 AS known FROM documents GROUP BY ALL)
+                  source < 'src2' AS known FROM documents GROUP BY ALL)
 SELECT title, author, first_id + 1 AS id, CAST(length AS INT) AS length, false AS created FROM d WHERE known
 UNION ALL
 SELECT title, author, row_number() OVER (ORDER BY title, author) + (SELECT max(first_id) + 1 FROM d WHERE known),
@@ -69,8 +69,7 @@ SELECT title, author, row_number() OVER (ORDER BY title, author) + (SELECT max(f
 def book_get_or_create(spark, sf_dir):
     harvested = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("title"), F.col("lang").alias("author"), F.col("n_chars").alias("length"))
-    even = F.substring("title", 4, 9).cast("int") % 2 == 0
-    stored = harvested.where(even).groupBy("title", "author").agg(
+    stored = harvested.where("title < 'src2'").groupBy("title", "author").agg(
         (F.min("doc_id") + 1).alias("id"), F.min_by("length", "doc_id").cast("int").alias("length"))
     fresh = incremental.get_or_create(harvested, stored, ["title", "author"], "book", order=["doc_id"])
     kept = stored.select("title", "author", "id", "length", F.lit(False).alias("created"))
@@ -78,18 +77,16 @@ def book_get_or_create(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT source || '-' || lang AS title, min(doc_id) AS first_id,
-                  CAST(substring(source, 4) AS INT) AS n FROM documents GROUP BY ALL),
-s AS (SELECT title, first_id + 1 AS id, n FROM d WHERE n % 2 = 0)
+WITH d AS (SELECT source || '-' || lang AS title, min(doc_id) AS first_id, source, lang FROM documents GROUP BY ALL),
+s AS (SELECT title, first_id + 1 AS id, lang FROM d WHERE source < 'src2')
 SELECT 'insert' AS action, title, row_number() OVER (ORDER BY title) + (SELECT max(id) FROM s) AS id, '' AS path
-FROM d WHERE n % 2 = 1
-UNION ALL SELECT 'cover', '', id, '/u/MovieFace/' || id || '.jpg' FROM s WHERE n % 4 = 0""")
+FROM d WHERE source >= 'src2'
+UNION ALL SELECT 'cover', '', id, '/u/MovieFace/' || id || '.jpg' FROM s WHERE lang = 'en'""")
 def series_upsert(spark, sf_dir):
     harvested = table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat("source", F.lit("-"), "lang").alias("title"),
-        F.substring("source", 4, 9).cast("int").alias("n"))
-    stored = harvested.where("n % 2 = 0").groupBy("title", "n").agg((F.min("doc_id") + 1).alias("id"))
-    stored = stored.withColumn("face_image", F.when(F.col("n") % 4 == 0, "").otherwise("x"))
+        "doc_id", F.concat("source", F.lit("-"), "lang").alias("title"), "source", "lang")
+    stored = harvested.where("source < 'src2'").groupBy("title", "lang").agg((F.min("doc_id") + 1).alias("id"))
+    stored = stored.withColumn("face_image", F.when(F.col("lang") == "en", "").otherwise("x"))
     fresh = incremental.get_or_create(harvested, stored, ["title"], "series", order=["doc_id"])
     matched = harvested.join(stored.select("title", "id"), "title").select("id", F.lit("http://i/1").alias("image_url"))
     covers = incremental.refetch_covers(matched, stored)

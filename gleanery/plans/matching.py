@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import status_code, to_int
 from gleanery.functions.urls import host, resolve
 from gleanery.operators import extract, incremental, lookup
-from gleanery.plans.extraction import host_rules, pages_of, rule_patterns
+from gleanery.plans.extraction import LIST_RULE, host_rules, pages_of, rule_patterns
 from gleanery.plans.registry import HOST_SQL, query, table
 from gleanery.schemas import with_defaults
 from gleanery.session import new_path, write_out
@@ -32,31 +32,30 @@ def blacklist_anti(spark, sf_dir):
 
 @query("""
 WITH h AS (SELECT doc_id, source AS title, CASE WHEN lang = 'en' THEN '' ELSE lang END AS author FROM documents),
-s AS (SELECT title, author, min(doc_id) AS stored_id FROM h WHERE doc_id % 2 = 0 AND title <> 'src3' GROUP BY ALL)
+s AS (SELECT title, author, min(doc_id) AS stored_id FROM h WHERE title < 'src3' AND author <> 'de' GROUP BY ALL)
 SELECT doc_id, title, author, stored_id FROM h LEFT JOIN s USING (title, author)""")
 def book_lookup(spark, sf_dir):
     harvested = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("title"), F.when(F.col("lang") != "en", F.col("lang")).alias("author"))
-    stored = harvested.where("doc_id % 2 = 0 and title <> 'src3'").withColumnRenamed("doc_id", "id")
+    stored = harvested.where("title < 'src3' and coalesce(author, '') <> 'de'").withColumnRenamed("doc_id", "id")
     return lookup.first_stored(harvested, stored, ["title", "author"], ["doc_id"])
 
 
 @query("""
-WITH c AS (SELECT lang AS class_name, min(doc_id) AS class_id FROM documents
-           WHERE doc_id % 2 = 0 AND lang <> 'de' GROUP BY ALL)
+WITH c AS (SELECT lang AS class_name, min(doc_id) AS class_id FROM documents WHERE lang <> 'de' GROUP BY ALL)
 SELECT doc_id, lang AS class_name, class_id FROM documents LEFT JOIN c ON lang = class_name""")
 def class_lookup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("class_name"))
-    classes = docs.where("doc_id % 2 = 0 and class_name <> 'de'").withColumnRenamed("doc_id", "id")
+    classes = docs.where("class_name <> 'de'").withColumnRenamed("doc_id", "id")
     return incremental.attach_class(docs, classes, ["doc_id"])
 
 
 @query("""
-WITH s AS (SELECT p_name AS title, min(p_partkey) AS stored_id FROM part WHERE p_partkey % 97 = 0 GROUP BY ALL)
+WITH s AS (SELECT p_name AS title, min(p_partkey) AS stored_id FROM part WHERE p_name < 'm' GROUP BY ALL)
 SELECT p_partkey, p_name AS title, stored_id FROM part LEFT JOIN s ON p_name = title""")
 def series_lookup_exact(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    stored = parts.where("p_partkey % 97 = 0").withColumnRenamed("p_partkey", "id")
+    stored = parts.where("title < 'm'").withColumnRenamed("p_partkey", "id")
     return lookup.first_stored(parts, stored, ["title"], ["p_partkey"])
 
 
@@ -76,8 +75,9 @@ def contains_match(spark, sf_dir):
 
 EPISODES_SQL = """
 e AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'baidu' ELSE 'qvod' END AS kind,
-             CAST(p_size AS BIGINT) AS movie_id, p_name || ' ' || p_partkey % 10 AS title FROM part),
-known AS (SELECT DISTINCT kind, movie_id, title FROM e WHERE pos % 3 = 0),
+             CAST(p_size AS BIGINT) AS movie_id, p_name || ' ' || p_partkey % 10 AS title,
+             p_type = 'ECONOMY' AS stored FROM part),
+known AS (SELECT DISTINCT kind, movie_id, title FROM e WHERE stored),
 fresh AS (SELECT kind, movie_id, title, min(pos) AS pos FROM e
           WHERE (kind, movie_id, title) NOT IN (SELECT (kind, movie_id, title) FROM known) GROUP BY ALL)"""
 
@@ -88,6 +88,7 @@ def episodes_of(spark, sf_dir):
         F.when(F.col("p_partkey") % 2 == 0, "baidu").otherwise("qvod").alias("kind"),
         F.col("p_size").cast("long").alias("movie_id"),
         F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 10).cast("string")).alias("title"),
+        (F.col("p_type") == "ECONOMY").alias("stored"),
     )
 
 
@@ -97,7 +98,7 @@ EPISODE_KEY = ["kind", "movie_id", "title"]
 @query(f"WITH {EPISODES_SQL} SELECT kind, movie_id, title, pos FROM fresh")
 def new_episodes(spark, sf_dir):
     candidates = episodes_of(spark, sf_dir)
-    return lookup.new_rows(candidates, candidates.where("pos % 3 = 0"), EPISODE_KEY, ["pos"])
+    return lookup.new_rows(candidates.drop("stored"), candidates.where("stored"), EPISODE_KEY, ["pos"])
 
 
 @query(f"""
@@ -110,7 +111,7 @@ UNION ALL SELECT kind, movie_id, title, id, true FROM f""")
 def append_new_episodes(spark, sf_dir):
     candidates = episodes_of(spark, sf_dir)
     catalog = Catalog.create(spark, new_path(spark, "catalog"))
-    for batch, rows in enumerate([candidates.where("pos % 3 = 0"), candidates], start=1):
+    for batch, rows in enumerate([candidates.where("stored"), candidates], start=1):
         stored = catalog.table("episode", before=batch)
         catalog.commit(batch, {"episode": incremental.get_or_create(rows, stored, EPISODE_KEY, "episode",
                                                                     order=["pos"])})
@@ -120,7 +121,7 @@ def append_new_episodes(spark, sf_dir):
 @query(f"WITH {EPISODES_SQL} SELECT kind, movie_id, title, pos FROM e")
 def episode_route(spark, sf_dir):
     path = new_path(spark, "routed")
-    episodes_of(spark, sf_dir).write.partitionBy("kind").parquet(path)
+    episodes_of(spark, sf_dir).drop("stored").write.partitionBy("kind").parquet(path)
     stored = spark.read.schema("movie_id bigint, title string, pos bigint, kind string").parquet(path)
     legs = incremental.route_by_kind(stored)
     return legs["baidu"].unionByName(legs["qvod"])
@@ -184,7 +185,7 @@ WITH l AS (
                     regexp_extract(html, '<html lang="(.*?)">', 1) AS class_name FROM pages)
   SELECT page_id, host, class_name, unnest(u) AS url FROM m),
 k AS (SELECT * FROM l WHERE regexp_extract(host, '{SITE}', 1) NOT IN
-        ('casino-win', 'cheap-pills', 'ads-track', '', 'free-bets') AND length(host) % 3 = 0),
+        ('casino-win', 'cheap-pills', 'ads-track', '', 'free-bets')),
 c AS (SELECT '其他' AS class_name, 1 AS class_id UNION ALL
       SELECT class_name, 1 + row_number() OVER (ORDER BY class_name) FROM (SELECT DISTINCT class_name FROM k))
 SELECT class_id, class_name, host, count(*) AS n_links, count(DISTINCT 'x' || url) AS n_targets
@@ -192,7 +193,7 @@ FROM k JOIN c USING (class_name) GROUP BY ALL""")
 def harvest_overview(spark, sf_dir):
     """From rules and pages to links per class and site: the flow end to end."""
     pages = with_host(pages_of(spark, sf_dir))
-    rules = host_rules(pages).where(F.length("host") % 3 == 0)
+    rules = host_rules(pages).withColumn("ListRule", F.lit(LIST_RULE))
     rules = compile_rules(rules.select("SiteDomain", *rule_patterns()), BOOK)
     rules = rules.where(extract.is_enabled(F.col("ListRule"))).select(
         F.col("SiteDomain").alias("host"), "ListRule", "InfoRule")

@@ -43,11 +43,13 @@ def area_items(html: Column, kind: str) -> Column:
 
 
 def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
-                   as_of: Column | None = None, exact_match: bool = False) -> None:
+                   as_of: Column | None = None, older: bool = False) -> None:
     """Harvest one crawl pass into batch ``batch`` of the catalog.
 
-    ``exact_match`` looks up stored series by equal title, as the older version
-    does, instead of by a title that contains the harvested one.
+    ``older`` gives the results of the older version: stored series are found
+    by equal title instead of by a title that contains the harvested one,
+    texts keep tags and the site's name, episode titles get the basic clean-up,
+    and the episodes of a source file stay in its order.
     """
     now = (F.current_timestamp() if as_of is None else as_of).cast("timestamp_ntz")
     aside: list[DataFrame] = []
@@ -81,7 +83,7 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     reason = F.when(F.col("missing"), "missing_page").when(text.trim_dots(F.col("title")) == "", "empty_title")
     opened, bad = quarantine.split(opened, reason)
     aside.append(set_aside(bad, "info", F.col("reason")))
-    if exact_match:
+    if older:
         hits = relevant(stored, opened, ["title"]).groupBy("title").agg(F.min("id").alias("known_id"))
     else:
         hits = lookup.contains_match(opened, stored).select("title", F.col("id").alias("known_id"))
@@ -90,6 +92,9 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     def chain(field: str, *rest: str) -> Column:
         return first_filled(F.col(field), F.col(f"info_page.{field}"), *rest)
 
+    def without_site(words: Column) -> Column:
+        return words if older else text.strip_site_name(words, F.col("SiteName"))
+
     image = first_filled(F.col("image"), resolve(F.col("info_page.image"), F.col("url")))
     candidates = matched.where("known_id is null").withColumn(
         "reason", F.when(~F.col("info_page.matched"), "no_match:InfoRule")
@@ -99,10 +104,11 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     candidates = candidates.select(
         *PAGE_ID, "url", "step", "pos", F.col("info_page.title").alias("title"),
         chain("class", fixed.DEFAULT_CLASS).alias("class_name"), chain("location").alias("location"),
-        chain("publicyear", fixed.DEFAULT_YEAR).alias("public_year"), text.strip_tags(chain("actors")).alias("actors"),
+        chain("publicyear", fixed.DEFAULT_YEAR).alias("public_year"),
+        (chain("actors") if older else text.strip_tags(chain("actors"))).alias("actors"),
         chain("director").alias("director"),
-        text.strip_site_name(first_filled(F.col("info"), F.col("info_page.intro")), F.col("SiteName")).alias("info"),
-        text.strip_site_name(chain("intro"), F.col("SiteName")).alias("intro"),
+        without_site(first_filled(F.col("info"), F.col("info_page.intro"))).alias("info"),
+        without_site(chain("intro")).alias("intro"),
         image.alias("image_url"), titles.standard_title(F.col("info_page.title")).alias("standard_title"))
     candidates, bad = quarantine.fitting(candidates, "series")
     aside.append(set_aside(bad, "info", F.col("reason")))
@@ -166,8 +172,9 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
         [*owner_columns, "found_in", "item", "key"], text.media_decode(F.col("html")))
     links = write_out(links, "links")
     aside.append(set_aside(links.where("file_name is null"), "source", "no_file_name"))
+    clean = titles.episode_title_basic if older else titles.episode_title
     from_source = links.where("file_name is not null").withColumn(
-        "title", titles.episode_title(F.col("file_name"), F.col("movie_title")))
+        "title", clean(F.col("file_name"), F.col("movie_title")))
     from_source = from_source.withColumn("leg", F.lit("source")).select(*inline.columns, "found_in")
 
     # Episodes.
@@ -176,7 +183,7 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     episodes, bad = quarantine.fitting(every, "episode")
     aside.append(set_aside(bad, "episode", F.col("reason")))
     known = catalog.table("episode", before=batch)
-    order = ["found_in", "item", "title", "pos"]
+    order = ["found_in", "item", "pos", "title"] if older else ["found_in", "item", "title", "pos"]
     episodes = lookup.new_rows(episodes, known, ["kind", "movie_id", "title"], order)
     episodes = write_out(incremental.assign_ids(episodes, ["movie_id", *order, "kind"], known), "episodes")
     pointers = incremental.last_children(episodes.where("leg <> 'direct'"), "movie_id", ["id"], {

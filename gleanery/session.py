@@ -50,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gleanery/{label}-{uuid.uuid4().hex}"
+    """A fresh folder; all folders of an application lie below one of its own."""
+    return f"{shared_dir(spark)}/gleanery/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def write_out(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -68,7 +69,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of fewer splits than cores.
 
     Text work is heavy per row, and a small file is a single split.  An input
-    of many splits is left as it is.
+    of many splits is left as it is.  Meant for tables as they are read: counting
+    the partitions of a query with a shuffle would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gleanery.functions.urls import host, url_key
 from gleanery.operators.skew import lookup_join
 from gleanery.schemas import PAGE
+from gleanery.session import write_out
 
 # Charsets that decode() takes without the legacy setting.
 BUILT_IN_CHARSETS = ["utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"]
@@ -65,7 +66,7 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     keys = pages.select("page_id", url_key(F.col("url")).alias("_url"))
     newest = keys.groupBy("_url").agg(F.max("page_id").alias("_newest"), F.count("*").alias("_copies"))
     repeated = newest.where("_copies > 1").select("_url", "_newest")
-    outdated = keys.join(repeated, "_url").where("page_id < _newest").select("page_id")
+    outdated = write_out(keys.join(repeated, "_url").where("page_id < _newest").select("page_id"), "outdated")
     return lookup_join(pages, outdated, ["page_id"], "left_anti", ["page_id"])
 
 
