@@ -41,7 +41,8 @@ class Ref:
     def field(self, text: Column, name: str) -> Column:
         """Text of a named group; a repeated name gives its last filled group."""
         if isinstance(self.groups, dict):
-            value = first_filled(*[self.group(text, i) for i in reversed(self.groups.get(name, []))], "")
+            found = [self.group(text, i) for i in reversed(self.groups.get(name, []))]
+            value = first_filled(*found, "") if len(found) > 1 else F.coalesce(*found, F.lit(""))
         else:
             value = F.aggregate(self.indices(name), F.lit(""),
                                 lambda acc, i: first_filled(self.group(text, i), acc))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanery.functions import fixed_values as fixed
 from gleanery.operators.lookup import filled_keys, new_rows
-from gleanery.operators.skew import first_per_key, lookup_join, salted_join
+from gleanery.operators.skew import BROADCAST_ROWS, first_per_key, lookup_join, salted_join
 from gleanery.schemas import with_defaults
-from gleanery.session import write_out
+from gleanery.session import counted, write_out
 
 
 def _first_positions(items: DataFrame, group: str) -> DataFrame:
@@ -56,16 +56,19 @@ def take_until_known(items: DataFrame, known: DataFrame, group: str) -> DataFram
 def assign_ids(new: DataFrame, order: Sequence[str], stored: DataFrame, id_name: str = "id") -> DataFrame:
     """Number rows densely in ``order``, on from the highest stored id.
 
-    Rows are range-partitioned and written out; a partition's first number
-    follows from the sizes of the ones before it, so no task sees all rows.
+    A few rows are numbered at once.  Many are range-partitioned and written
+    out; a partition's first number follows from the sizes of the ones before
+    it, so no task sees all rows.
     """
-    spark = new.sparkSession
-    parts = write_out(new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids")
+    highest = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("id")).scalar()
+    new, count = counted(new, "new")
+    if count <= BROADCAST_ROWS:
+        return new.withColumn(id_name, F.row_number().over(Window.orderBy(*order)) + highest)
+    parts = write_out(new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: bounded by the number of tasks.
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    highest = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("id")).scalar()
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     numbered = parts.withColumn("_rank", rank).join(F.broadcast(offsets), "_part")
     numbered = numbered.withColumn(id_name, F.col("_rank") + F.col("_offset") + highest)

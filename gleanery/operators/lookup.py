@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from gleanery.functions.text import trim_dots
 from gleanery.functions.urls import url_key
 from gleanery.operators.skew import first_per_key, is_small, lookup_join, relevant, salted_join
+from gleanery.session import write_out
 
 
 def filled_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -25,8 +26,13 @@ def first_stored(rows: DataFrame, stored: DataFrame, on: Sequence[str], spread_b
                  id_name: str = "stored_id") -> DataFrame:
     """Every row with the lowest id stored under its key, null if there is none."""
     rows, stored = filled_keys(rows, on), filled_keys(stored.select("id", *on), on)
-    ids = relevant(stored, rows, on).groupBy(*on).agg(F.min("id").alias(id_name))
-    return lookup_join(rows, ids, on, "left", spread_by)
+    keys = rows.select(*on).distinct()
+    small = is_small(keys)
+    if small:
+        stored = stored.join(F.broadcast(keys), list(on), "left_semi")
+    ids = stored.groupBy(*on).agg(F.min("id").alias(id_name))
+    # There are at most as many ids as keys.
+    return rows.join(F.broadcast(ids), list(on), "left") if small else salted_join(rows, ids, on, "left", spread_by)
 
 
 def attach_parent(rows: DataFrame, parents: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
@@ -61,14 +67,18 @@ def contains_match(harvested: DataFrame, stored: DataFrame, broadcast: bool | No
         first = pieces.groupBy("short_title").agg(F.min("id").alias("id"))
     else:
         first = pieces.groupBy("short_title").agg(F.min("id").alias("id")).join(wanted, "short_title", "left_semi")
-    titles = stored.select("id", F.col("title").alias("stored_title"))
+    first = write_out(first, "first-hits")
+    titles = relevant(stored.select("id", F.col("title").alias("stored_title")), first, ["id"])
     found = salted_join(first, titles, ["id"], "inner", ["short_title"])
     return asked.join(found, "short_title").select("title", "short_title", "id", "stored_title")
 
 
 def new_rows(candidates: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str],
              dedup_batch: bool = True) -> DataFrame:
-    """Candidates whose key is not stored yet; of equal ones in the batch the first."""
+    """Candidates whose key is not stored yet; of equal ones in the batch the first.
+
+    The keys of the candidates are read twice, so these should be a written table.
+    """
     known = relevant(stored.select(*keys), candidates, keys).distinct()
     if dedup_batch:
         return first_per_key(candidates, keys, order).join(known, list(keys), "left_anti")

@@ -46,9 +46,9 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     # Lists and the books on them.
     starts = rules.select(F.col("rule").alias("seed"), "rule", url_key(F.col("ListUrl")).alias("key"))
     opened = site.open(walk_pages(starts, edges, "next_list").select(*PAGE_ID, "step"), "html", "root", "ListRule")
-    aside.append(set_aside(opened.where("html is null"), "list", "missing_page", url="key"))
+    aside.append(set_aside(opened.where("found is null"), "list", "missing_page", url="key"))
     listed = extract.explode_matches(
-        opened.where("html is not null"), ["rule", "step", "root"],
+        opened.where("found"), ["rule", "step", "root"],
         extract.all_matches(F.col("html"), F.col("ListRule"), LIST_FIELDS))
     if blacklist is not None:
         listed = lookup.exclude(listed, blacklist, "title", ["rule", "step", "pos"])
@@ -62,7 +62,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     opened = opened.withColumn("_info", info).withColumn("list_link", link("ChapterListUrlRule"))
     found = opened.select(
         *PAGE_ID, F.col("link").alias("url"), "step", "pos", "list_link", "root", "TargetSiteUrl", "_info.*",
-        F.col("html").isNull().alias("missing")).drop("whole").withColumnRenamed("cls", "class_name")
+        F.col("found").isNull().alias("missing")).drop("whole").withColumnRenamed("cls", "class_name")
     reason = (F.when(F.col("missing"), "missing_page").when(~F.col("matched"), "no_match:InfoRule")
               .when(F.col("title") == "", "empty_title"))
     found, bad = quarantine.split(write_out(text.content_filter(found, "intro", replace_list), "info"), reason)
@@ -93,9 +93,9 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     # Chapter lists: on a page of their own or on the info page.
     target = owned.select("source", "rule", F.coalesce(url_key(F.col("list_link")), F.col("key")).alias("key"))
     opened = site.open(target, "html", "root", "ChapterListRule")
-    aside.append(set_aside(opened.where("html is null"), "chapter_list", "missing_page", url="key"))
+    aside.append(set_aside(opened.where("found is null"), "chapter_list", "missing_page", url="key"))
     items = extract.explode_matches(
-        opened.where("html is not null"), ["source", "rule", "root"],
+        opened.where("found"), ["source", "rule", "root"],
         extract.all_matches(F.col("html"), F.col("ChapterListRule"), LIST_FIELDS))
     items = write_out(items, "chapter-items")
     parents = owned.select("source", F.col("last_chapter_id").alias("last_id"),
@@ -115,7 +115,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     parts = site.open(parts, "html", "ContentRule").withColumn("_content", content)
     parts = write_out(parts.select(
         "seed", F.col("part").alias("step"), "_content.title", F.col("_content.content").alias("text"),
-        F.when(F.col("html").isNull(), "missing_page").when(~F.col("_content.matched"), "no_match:ContentRule")
+        F.when(F.col("found").isNull(), "missing_page").when(~F.col("_content.matched"), "no_match:ContentRule")
         .alias("reason")), "parts")
     heads = parts.groupBy("seed").agg(
         F.max(F.when(F.col("step") == 0, F.col("title"))).alias("title"),
@@ -133,7 +133,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     kept = kept.where(F.col("_end").isNull() | (F.struct("pos", "step") < F.col("_end"))).drop("_end", "reason")
     kept = salted_join(kept, owned.select("source", "book_id", "book_title", "class_id", "class_name"), ["source"],
                        "inner", ["pos", "step"])
-    kept = lookup.new_rows(kept, catalog.table("chapter", before=batch), ["book_id", "title"],
+    kept = lookup.new_rows(write_out(kept, "kept"), catalog.table("chapter", before=batch), ["book_id", "title"],
                            ["rule", "source", "pos", "step"])
     saved = write_out(incremental.assign_ids(kept, ["book_id", "source", "pos", "step"],
                                              catalog.table("chapter", before=batch)), "chapters")

@@ -64,8 +64,8 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     edges = site.own_pages().select(*PAGE_ID, extract.next_link(F.col("html"), F.col("NextListRule"), F.col("url")).alias("next"))
     starts = rules.select(F.col("rule").alias("seed"), "rule", url_key(F.col("ListPageUrl")).alias("key"))
     opened = site.open(walk_pages(starts, edges, "next").select(*PAGE_ID, "step"), "html", "url", "ListInfoRule")
-    aside.append(set_aside(opened.where("html is null"), "list", "missing_page", url="key"))
-    listed = extract.list_records(opened.where("html is not null").withColumnRenamed("url", "base"),
+    aside.append(set_aside(opened.where("found is null"), "list", "missing_page", url="key"))
+    listed = extract.list_records(opened.where("found").withColumnRenamed("url", "base"),
                                   ["rule", "step", "base"], F.col("html"), F.col("ListInfoRule"))
     listed = listed.withColumns({"url": resolve(F.col("url"), F.col("base")),
                                  "image": resolve(F.col("image"), F.col("base"))})
@@ -75,8 +75,8 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     opened = site.open(listed, "html", "SiteName", "SourceBaiduRule", "SourceKuaibRule", "InfoRule", *AREA_RULES)
     opened = opened.withColumn("info_page", extract.first_match(F.col("html"), F.col("InfoRule"), INFO_FIELDS))
     opened = opened.withColumns({kind: area_items(F.col("html"), kind) for kind in KINDS})
-    opened = write_out(opened.withColumn("missing", F.col("html").isNull()).drop(
-        "html", "InfoRule", "SourceBaiduRule", "SourceKuaibRule", *AREA_RULES), "info")
+    opened = write_out(opened.withColumn("missing", F.col("found").isNull()).drop(
+        "found", "html", "InfoRule", "SourceBaiduRule", "SourceKuaibRule", *AREA_RULES), "info")
 
     # Stored series by title.
     stored, classes = (catalog.table(t, before=batch).drop("batch") for t in ("series", "class"))
@@ -154,8 +154,8 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     def played(kind: str) -> DataFrame:
         _, item, play, _ = KINDS[kind]
         opened = site.open(asked.where(F.col("kind") == kind), "html", "url", item, play)
-        aside.append(set_aside(opened.where("html is null"), "play", "missing_page", url="link"))
-        return extract.play_page_links(opened.where("html is not null"), [*owner_columns, "kind", "item", "title"],
+        aside.append(set_aside(opened.where("found is null"), "play", "missing_page", url="link"))
+        return extract.play_page_links(opened.where("found"), [*owner_columns, "kind", "item", "title"],
                                        F.col("html"), F.col("url"), F.col(item), F.col(play))
 
     play = write_out(stack([played(k) for k in KINDS]), "play")
@@ -166,9 +166,9 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     sources = play.where("leg = 'source'").withColumn("key", url_key(F.col("url")))
     sources = sources.groupBy(*owner_columns, "key").agg(F.min(F.struct("kind", "item")).alias("_first"))
     opened = site.open(sources.select(*owner_columns, "key", "_first.*"), "html")
-    aside.append(set_aside(opened.where("html is null"), "source", "missing_page", url="key"))
+    aside.append(set_aside(opened.where("found is null"), "source", "missing_page", url="key"))
     links = extract.media_links(
-        opened.where("html is not null").withColumnRenamed("kind", "found_in"),
+        opened.where("found").withColumnRenamed("kind", "found_in"),
         [*owner_columns, "found_in", "item", "key"], text.media_decode(F.col("html")))
     links = write_out(links, "links")
     aside.append(set_aside(links.where("file_name is null"), "source", "no_file_name"))
@@ -180,7 +180,7 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     # Episodes.
     every = stack([inline.withColumn("found_in", F.col("kind")), direct.withColumn("found_in", F.col("kind")),
                    from_source])
-    episodes, bad = quarantine.fitting(every, "episode")
+    episodes, bad = quarantine.fitting(write_out(every, "candidates"), "episode")
     aside.append(set_aside(bad, "episode", F.col("reason")))
     known = catalog.table("episode", before=batch)
     order = ["found_in", "item", "pos", "title"] if older else ["found_in", "item", "title", "pos"]

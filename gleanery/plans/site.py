@@ -55,11 +55,14 @@ class Site:
         return self._with_rules(page_source.with_host(self.pages), self.rules, "host", ["page_id"])
 
     def open(self, links: DataFrame, *columns: str) -> DataFrame:
-        """Links (rule, key, ...) with the page they point to, whatever its host;
-        page columns are null if the page is missing."""
+        """Links (rule, key, ...) with the page they point to, whatever its host.
+
+        ``found`` is null if the page is missing.  To look at that alone does
+        not read any page text.
+        """
         of_page = [c for c in columns if c in self.pages.columns]
         of_rule = [c for c in columns if c in self.rules.columns]
-        pages = relevant(self.pages.select("key", *of_page), links, ["key"])
+        pages = relevant(self.pages.select("key", F.lit(True).alias("found"), *of_page), links, ["key"])
         opened = salted_join(links, pages, ["key"], "left", links.columns)
         return self._with_rules(opened, self.rules.select("rule", *of_rule), "rule", links.columns)
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -65,6 +65,13 @@ def write_out(df: DataFrame, label: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``write_out`` with the number of rows, which the write itself counts."""
+    seen = Observation()
+    written = write_out(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return written, seen.get["rows"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of fewer splits than cores.
 
