@@ -19,12 +19,12 @@ def _first_positions(items: DataFrame, group: str) -> DataFrame:
     return items.groupBy(group, "title").agg(F.min("pos").alias("pos"))
 
 
-def resume_after_last(items: DataFrame, parents: DataFrame, group: str) -> DataFrame:
+def resume_after_last(items: DataFrame, parents: DataFrame, group: str, rows: int | None = None) -> DataFrame:
     """Items after the last one known.
 
     ``items`` (group, pos, title), ``parents`` (group, last_id, last_title).  A
     parent without a last item keeps all.  If the title is not in the list, or
-    an empty title comes before it, nothing is kept.
+    an empty title comes before it, nothing is kept.  ``rows``: see ``salted_join``.
     """
     items = filled_keys(items, ["title"])
     heads = _first_positions(items, group)
@@ -37,11 +37,11 @@ def resume_after_last(items: DataFrame, parents: DataFrame, group: str) -> DataF
         .where("_last_id = 0 or _cut < coalesce(_empty, _cut + 1)")
         .select(group, F.when(F.col("_last_id") == 0, -1).otherwise(F.col("_cut")).alias("_cut"))
     )
-    kept = salted_join(items, bounds, [group], "inner", ["pos"])
+    kept = salted_join(items, bounds, [group], "inner", ["pos"], rows=rows)
     return kept.where("pos > _cut").drop("_cut")
 
 
-def take_until_known(items: DataFrame, known: DataFrame, group: str) -> DataFrame:
+def take_until_known(items: DataFrame, known: DataFrame, group: str, rows: int | None = None) -> DataFrame:
     """The items of a group before the first that is stored or has no title.
 
     ``items`` (group, pos, title), ``known`` (group, title).
@@ -50,7 +50,8 @@ def take_until_known(items: DataFrame, known: DataFrame, group: str) -> DataFram
     heads = _first_positions(items, group)
     stored = heads.join(known.select(group, "title").distinct(), [group, "title"], "left_semi")
     stops = heads.where("title = ''").unionByName(stored).groupBy(group).agg(F.min("pos").alias("_stop"))
-    return salted_join(items, stops, [group], "left", ["pos"]).where("_stop is null or pos < _stop").drop("_stop")
+    cut = salted_join(items, stops, [group], "left", ["pos"], rows=rows)
+    return cut.where("_stop is null or pos < _stop").drop("_stop")
 
 
 def assign_ids(new: DataFrame, order: Sequence[str], stored: DataFrame, id_name: str = "id") -> DataFrame:

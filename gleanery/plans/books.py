@@ -14,7 +14,7 @@ from gleanery.operators import chains, extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, lookup_join, salted_join
 from gleanery.schemas import with_defaults
 from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
-from gleanery.session import write_out
+from gleanery.session import counted, write_out
 from gleanery.sources.catalog import Catalog
 from gleanery.sources.rules import BOOK, PATTERNS
 
@@ -65,7 +65,8 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
         F.col("found").isNull().alias("missing")).drop("whole").withColumnRenamed("cls", "class_name")
     reason = (F.when(F.col("missing"), "missing_page").when(~F.col("matched"), "no_match:InfoRule")
               .when(F.col("title") == "", "empty_title"))
-    found, bad = quarantine.split(write_out(text.content_filter(found, "intro", replace_list), "info"), reason)
+    found, n_found = counted(text.content_filter(found, "intro", replace_list), "info")
+    found, bad = quarantine.split(found, reason)
     aside.append(set_aside(bad, "info", F.col("reason")))
     found, bad = quarantine.fitting(found, "book")
     aside.append(set_aside(bad, "info", F.col("reason")))
@@ -82,7 +83,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     owners = first_per_key(books.select("title", "author", F.col("id").alias("book_id"), "class_id", "class_name",
                                         "last_chapter_id", "last_chapter_title"), ["title", "author"], ["book_id"])
     found = found.drop("class_name")
-    owned = write_out(salted_join(found, owners, ["title", "author"], "inner", PAGE_ID)
+    owned = write_out(salted_join(found, owners, ["title", "author"], "inner", PAGE_ID, rows=n_found)
                       .withColumnRenamed("title", "book_title")
                       .withColumn("source", F.concat_ws("\n", *PAGE_ID)), "owned")
     covers = owned.where("image <> ''").select(
@@ -97,18 +98,20 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     items = extract.explode_matches(
         opened.where("found"), ["source", "rule", "root"],
         extract.all_matches(F.col("html"), F.col("ChapterListRule"), LIST_FIELDS))
-    items = write_out(items, "chapter-items")
+    items, n_items = counted(items, "chapter-items")
     parents = owned.select("source", F.col("last_chapter_id").alias("last_id"),
                            F.col("last_chapter_title").alias("last_title"))
     known = lookup_join(catalog.table("chapter", before=batch).select("book_id", "title"),
                         owned.select("book_id", "source"), ["book_id"], "inner", ["title"])
-    items = incremental.take_until_known(incremental.resume_after_last(items, parents, "source"), known, "source")
+    items = incremental.resume_after_last(items, parents, "source", n_items)
+    items = incremental.take_until_known(items, known, "source", n_items)
     items = write_out(items.select(
         "source", "rule", "pos", url_key(resolve(F.col("url"), F.col("root"))).alias("key")), "wanted-chapters")
 
     # Chapter pages, the pages that continue a chapter, the chapters that follow.
     chapters = walk_pages(items.select(F.struct("source", "pos").alias("seed"), *PAGE_ID), edges, "next_chapter")
     chapters = chapters.select("seed.*", *PAGE_ID, "step")
+    n_chapters = chapters.count()
     starts = chapters.select(F.struct(*PAGE_ID).alias("seed"), *PAGE_ID).distinct()
     parts = walk_pages(starts, edges, "next_content").withColumnRenamed("step", "part")
     content = extract.first_match(F.col("html"), F.col("ContentRule"), CHAPTER_FIELDS)
@@ -121,7 +124,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
         F.max(F.when(F.col("step") == 0, F.col("title"))).alias("title"),
         F.max(F.when(F.col("step") == 0, F.length("text"))).alias("text_length"), F.max("reason").alias("reason"))
     heads = heads.select("seed.*", "title", "text_length", "reason")
-    judged = salted_join(chapters, heads, PAGE_ID, "inner", ["source", "pos", "step"])
+    judged = salted_join(chapters, heads, PAGE_ID, "inner", ["source", "pos", "step"], rows=n_chapters)
     judged = write_out(judged.withColumn("reason", F.coalesce("reason", F.when(
         F.length("title") > 200, "too_long:title"))), "judged")
     failed = judged.where("reason is not null")
@@ -129,10 +132,11 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     # The first chapter that fails ends the pass for its book.
     ends = failed.where("reason not like 'too_long%'").groupBy("source").agg(
         F.min(F.struct("pos", "step")).alias("_end"))
-    kept = salted_join(judged.where("reason is null"), ends, ["source"], "left", ["pos", "step"])
+    kept = salted_join(judged.where("reason is null"), ends, ["source"], "left", ["pos", "step"],
+                       rows=n_chapters)
     kept = kept.where(F.col("_end").isNull() | (F.struct("pos", "step") < F.col("_end"))).drop("_end", "reason")
     kept = salted_join(kept, owned.select("source", "book_id", "book_title", "class_id", "class_name"), ["source"],
-                       "inner", ["pos", "step"])
+                       "inner", ["pos", "step"], rows=n_chapters)
     kept = lookup.new_rows(write_out(kept, "kept"), catalog.table("chapter", before=batch), ["book_id", "title"],
                            ["rule", "source", "pos", "step"])
     saved = write_out(incremental.assign_ids(kept, ["book_id", "source", "pos", "step"],
@@ -141,7 +145,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     texts = chains.stitch(parts.where("reason is null").select("seed", "step", "text"), ["seed"])
     texts = texts.select("seed.*", "segment", "content")
     numbered = saved.select(*PAGE_ID, F.col("id").alias("chapter_id"), "title")
-    texts = salted_join(texts, numbered, PAGE_ID, "inner", ["segment"])
+    texts = salted_join(numbered, texts, PAGE_ID, "inner", ["chapter_id"], rows=n_chapters)
     texts = text.content_filter(texts, "content", replace_list).withColumn(
         "content", text.html_decode(F.col("content")))
     pointers = incremental.last_children(saved, "book_id", ["id"], {

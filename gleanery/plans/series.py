@@ -11,7 +11,7 @@ from gleanery.operators import extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, relevant, salted_join
 from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
 from gleanery.schemas import with_defaults
-from gleanery.session import write_out
+from gleanery.session import counted, write_out
 from gleanery.sources.catalog import Catalog
 from gleanery.sources.rules import PATTERNS, SERIES
 
@@ -75,7 +75,7 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     opened = site.open(listed, "html", "SiteName", "SourceBaiduRule", "SourceKuaibRule", "InfoRule", *AREA_RULES)
     opened = opened.withColumn("info_page", extract.first_match(F.col("html"), F.col("InfoRule"), INFO_FIELDS))
     opened = opened.withColumns({kind: area_items(F.col("html"), kind) for kind in KINDS})
-    opened = write_out(opened.withColumn("missing", F.col("found").isNull()).drop(
+    opened, n_pages = counted(opened.withColumn("missing", F.col("found").isNull()).drop(
         "found", "html", "InfoRule", "SourceBaiduRule", "SourceKuaibRule", *AREA_RULES), "info")
 
     # Stored series by title.
@@ -87,7 +87,7 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
         hits = relevant(stored, opened, ["title"]).groupBy("title").agg(F.min("id").alias("known_id"))
     else:
         hits = lookup.contains_match(opened, stored).select("title", F.col("id").alias("known_id"))
-    matched = write_out(salted_join(opened, hits, ["title"], "left", PAGE_ID), "matched")
+    matched = write_out(salted_join(opened, hits, ["title"], "left", PAGE_ID, rows=n_pages), "matched")
 
     def chain(field: str, *rest: str) -> Column:
         return first_filled(F.col(field), F.col(f"info_page.{field}"), *rest)
@@ -126,15 +126,15 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     # The series of every info page: matched by the list title, else by its own.
     by_title = relevant(stored, candidates, ["title"]).select("title", "id").unionByName(fresh.select("title", "id"))
     by_title = by_title.groupBy("title").agg(F.min("id").alias("movie_id"))
-    own = salted_join(candidates.select(*PAGE_ID, "title"), by_title, ["title"], "inner", PAGE_ID)
+    own = salted_join(candidates.select(*PAGE_ID, "title"), by_title, ["title"], "inner", PAGE_ID, rows=n_pages)
     owners = matched.where("known_id is not null").select(*PAGE_ID, F.col("known_id").alias("movie_id")).unionByName(
         own.select(*PAGE_ID, "movie_id"))
     owners = write_out(owners, "owners")
     names = stored.select(F.col("id").alias("movie_id"), F.col("title").alias("movie_title"))
     names = relevant(names, owners, ["movie_id"]).unionByName(
         fresh.select(F.col("id").alias("movie_id"), F.col("title").alias("movie_title")))
-    owners = salted_join(owners, names, ["movie_id"], "inner", PAGE_ID)
-    areas = salted_join(matched.select(*PAGE_ID, "url", *KINDS), owners, PAGE_ID, "inner", PAGE_ID)
+    owners = salted_join(owners, names, ["movie_id"], "inner", PAGE_ID, rows=n_pages)
+    areas = salted_join(matched.select(*PAGE_ID, "url", *KINDS), owners, PAGE_ID, "inner", PAGE_ID, rows=n_pages)
     owner_columns = ["rule", "movie_id", "movie_title"]
 
     def items_of(kind: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions.urls import url_key
 from gleanery.operators import chains, extract, quarantine
-from gleanery.operators.skew import is_small, relevant, salted_join
+from gleanery.operators.skew import is_small, salted_join
 from gleanery.session import write_out
 from gleanery.sources import pages as page_source
 from gleanery.sources.rules import PATTERNS, compile_rules
@@ -62,8 +62,14 @@ class Site:
         """
         of_page = [c for c in columns if c in self.pages.columns]
         of_rule = [c for c in columns if c in self.rules.columns]
-        pages = relevant(self.pages.select("key", F.lit(True).alias("found"), *of_page), links, ["key"])
-        opened = salted_join(links, pages, ["key"], "left", links.columns)
+        pages = self.pages.select("key", F.lit(True).alias("found"), *of_page)
+        keys = links.select("key")
+        if is_small(keys):
+            # The pages are only scanned, and so few links have no hot key.
+            pages = pages.join(F.broadcast(keys.distinct()), "key", "left_semi")
+            opened = links.join(pages, "key", "left")
+        else:
+            opened = salted_join(links, pages, ["key"], "left", links.columns)
         return self._with_rules(opened, self.rules.select("rule", *of_rule), "rule", links.columns)
 
     def _with_rules(self, rows: DataFrame, rules: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
