@@ -104,9 +104,13 @@ def is_match(text: Column, pattern: Pattern | str | Column) -> Column:
     return (ref.java != "") & F.rlike(text, ref.java)
 
 
-def all_matches(text: Column, pattern: Pattern | str | Column, fields: Sequence[str]) -> Column:
-    """Array of structs, one per match in page order; a missing group gives ''."""
+def all_matches(text: Column, pattern: Pattern | str | Column, fields: Sequence[str] | None = None) -> Column:
+    """Array of structs, one per match in page order; a missing group gives ''.
+
+    A literal pattern may do without ``fields``: its group names are the record.
+    """
     ref = Ref.of(pattern)
+    fields = list(ref.groups) if fields is None else fields
     whole = F.regexp_extract_all(text, ref.java, F.lit(0))
 
     # One pass over the page finds the matches, the groups are taken from them.

@@ -48,7 +48,8 @@ def take_until_known(items: DataFrame, known: DataFrame, group: str, rows: int |
     """
     items = filled_keys(items, ["title"])
     heads = _first_positions(items, group)
-    stored = heads.join(known.select(group, "title").distinct(), [group, "title"], "left_semi")
+    # An inner join: a semi join would be pushed below the aggregate, to all items.
+    stored = heads.join(known.select(group, "title").distinct(), [group, "title"])
     stops = heads.where("title = ''").unionByName(stored).groupBy(group).agg(F.min("pos").alias("_stop"))
     cut = salted_join(items, stops, [group], "left", ["pos"], rows=rows)
     return cut.where("_stop is null or pos < _stop").drop("_stop")
@@ -129,7 +130,7 @@ def refetch_covers(matched: DataFrame, stored: DataFrame) -> DataFrame:
     """
     lacking = stored.where("coalesce(face_image, '') = ''").select("id")
     asked = matched.where("image_url <> ''").groupBy("id").agg(F.min("image_url").alias("image_url"))
-    return cover_worklist(asked.join(lacking, "id", "left_semi"))
+    return cover_worklist(asked.join(lacking, "id"))
 
 
 def cover_worklist(rows: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def contains_match(harvested: DataFrame, stored: DataFrame, broadcast: bool | No
         pieces = pieces.join(F.broadcast(wanted), "short_title", "left_semi")
         first = pieces.groupBy("short_title").agg(F.min("id").alias("id"))
     else:
-        first = pieces.groupBy("short_title").agg(F.min("id").alias("id")).join(wanted, "short_title", "left_semi")
+        # An inner join stays above the aggregate, which shrinks hot substrings first.
+        first = pieces.groupBy("short_title").agg(F.min("id").alias("id")).join(wanted, "short_title")
     first = write_out(first, "first-hits")
     titles = relevant(stored.select("id", F.col("title").alias("stored_title")), first, ["id"])
     found = salted_join(first, titles, ["id"], "inner", ["short_title"])

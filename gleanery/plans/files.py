@@ -91,7 +91,7 @@ def stream_dedup(spark, sf_dir):
         "p_partkey", F.col("p_size").cast("long").alias("movie_id"), F.col("p_name").alias("title"))
     for n in (0, 1):
         parts.where(F.col("p_partkey") % 2 == n).coalesce(1).write.mode("append").parquet(folder)
-    catalog = Catalog.create(spark, new_path(spark, "catalog"))
+    catalog = Catalog.create(spark, new_path(spark, "catalog"), ["episode"])
 
     def work(batch_rows, batch):
         first = batch_rows.select("p_partkey", "movie_id", "title", F.lit("qvod").alias("kind"),

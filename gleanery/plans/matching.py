@@ -110,7 +110,7 @@ SELECT kind, movie_id, title, id, true AS enable FROM k
 UNION ALL SELECT kind, movie_id, title, id, true FROM f""")
 def append_new_episodes(spark, sf_dir):
     candidates = episodes_of(spark, sf_dir)
-    catalog = Catalog.create(spark, new_path(spark, "catalog"))
+    catalog = Catalog.create(spark, new_path(spark, "catalog"), ["episode"])
     for batch, rows in enumerate([candidates.where("stored"), candidates], start=1):
         stored = catalog.table("episode", before=batch)
         catalog.commit(batch, {"episode": incremental.get_or_create(rows, stored, EPISODE_KEY, "episode",

@@ -8,6 +8,7 @@ which the newest counts.  Running a batch again replaces its own folders only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,11 +25,11 @@ class Catalog:
     path: str
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str) -> Catalog:
+    def create(cls, spark: SparkSession, path: str, tables: Sequence[str] = tuple(TABLES)) -> Catalog:
         """An empty catalog that knows the class ``其他``."""
         catalog = cls(spark, path.rstrip("/"))
-        other = spark.createDataFrame([(1, fixed.DEFAULT_CLASS, 0, fixed.BOOK_MODEL_ID)], TABLES["class"])
-        catalog.commit(0, {name: spark.createDataFrame([], ddl) for name, ddl in TABLES.items()} | {"class": other})
+        seed = {"class": [(1, fixed.DEFAULT_CLASS, 0, fixed.BOOK_MODEL_ID)]}
+        catalog.commit(0, {t: spark.createDataFrame(seed.get(t, []), TABLES[t]).coalesce(1) for t in tables})
         return catalog
 
     def last_batch(self) -> int:

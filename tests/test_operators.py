@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import sites
 from gleanery.operators import chains, extract, incremental, lookup, quarantine, skew
 from gleanery.sources import pages as page_source
-from gleanery.sources.rules import BOOK, compile_rules
+from gleanery.sources import wordlists
+from gleanery.sources.rules import BOOK, SERIES, compile_rules, read_rules, write_rules
 
 
 def rows(df, *columns):
@@ -299,3 +300,45 @@ def test_rules_side_is_broadcast_and_text_stays_home(spark):
     plan = extract.explode_matches(joined, ["page_id"], extract.all_matches(F.col("html"), F.col("ListRule"), ["url"]))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_pre_aggregation_stays_below_the_join(spark):
+    """Copies of a title are reduced before the join with the known titles."""
+    items = spark.range(100).select((F.col("id") % 2).alias("book"), F.col("id").alias("pos"), F.lit("t").alias("title"))
+    known = spark.range(5).select(F.col("id").alias("book"), F.lit("t").alias("title"))
+    plan = incremental.take_until_known(items, known, "book")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+    assert incremental.take_until_known(items, known, "book").count() == 0
+
+
+def test_group_names_are_the_record(spark):
+    df = spark.createDataFrame([("a=1 b=2",)], "t string")
+    got = df.select(F.explode(extract.all_matches(F.col("t"), r"(?<name>[a-z])=(?<size>[0-9])")).alias("r")).select("r.*")
+    assert got.columns == ["name", "size"] and rows(got) == [("a", "1"), ("b", "2")]
+
+
+def test_rule_files(spark, tmp_path):
+    """One rule per file, with a byte order mark, a namespace and empty elements."""
+    xml = ('<?xml version="1.0" encoding="utf-8"?>\n<MovieRule xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">\n'
+           "  <Name>某影院</Name><IsMovie>false</IsMovie><Encoding>gb2312</Encoding>\n"
+           '  <ListInfoRule>&lt;a href="(?&lt;url&gt;.*?)"&gt;(?&lt;title&gt;.*?)&lt;/a&gt;&amp;nbsp;</ListInfoRule>\n'
+           "  <KuaibAreaRule />\n</MovieRule>")
+    (tmp_path / "a.xml").write_bytes(b"\xef\xbb\xbf" + xml.encode())
+    (tmp_path / "b.txt").write_text(xml.replace("某影院", "b"))
+    got = read_rules(spark, str(tmp_path), SERIES)
+    assert rows(got, "Name", "IsMovie", "Encoding", "KuaibAreaRule", "InfoRule", "ListInfoRule") == [
+        ("某影院", False, "gb2312", "", "", '<a href="(?<url>.*?)">(?<title>.*?)</a>&nbsp;')]
+    assert read_rules(spark, str(tmp_path), SERIES, glob="*").count() == 2
+
+
+def test_rules_survive_a_round_trip(spark, tmp_path):
+    rules = sites.book_rules(spark).na.fill("")
+    write_rules(rules, str(tmp_path / "out"), BOOK)
+    assert read_rules(spark, str(tmp_path / "out"), BOOK, glob="*").collect() == rules.collect()
+
+
+def test_blacklist_file(spark, tmp_path):
+    (tmp_path / "blacklist.txt").write_bytes("甲\r\n\r\n乙\n".encode())
+    listed = wordlists.blacklist(wordlists.read_lines(spark, str(tmp_path / "blacklist.txt")))
+    items = spark.createDataFrame([("甲", 1), ("乙", 2), ("丙", 3)], "title string, n long")
+    assert rows(lookup.exclude(items, listed, "title", ["n"])) == [("丙", 3)]
