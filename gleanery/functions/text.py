@@ -54,42 +54,49 @@ def trim_dots(title: Column) -> Column:
 # ------------------------------------------------------- replace until stable
 #
 # A clean-up chain is a list of steps, applied to a column one projection each:
-# a step uses its input several times, which would multiply when nested.
+# a step uses its input several times, which would multiply when nested.  Steps
+# that repeat are written in SQL, where nested lambdas are short.
 
-Step = Callable[[Column], Column]
+Step = Callable[[str], Column]
+Sql = Callable[[str], str]
 
 
 def apply_steps(df: DataFrame, column: str, steps: Sequence[Step]) -> DataFrame:
     for step in steps:
-        df = df.withColumn(column, step(F.col(column)))
+        df = df.withColumn(column, step(column))
     return df
 
 
-def until_stable(once: Step, matches: Step, *, shrinks: bool = True) -> Step:
+def quote(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def until_stable(once: Sql, matches: Sql, *, shrinks: bool = True) -> Step:
     """Step that applies ``once`` while ``matches`` holds.
 
     Nearly every text is stable after one round; that takes two tests.  Text
     that is not goes on in at most as many rounds as it has characters, enough
     for a replacement that shrinks the text.  These rounds come in blocks that
     are skipped when the text is stable.  A replacement that may not shrink
-    ends after ``PASSES`` rounds; see ``not_converged``.
+    ends after ``PASSES`` rounds; see ``apply_replace_list``.
     """
 
-    def rounds(v: Column, count: Column, body: Step) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), count), v,
-                           lambda acc, _: F.when(matches(acc), body(acc)).otherwise(acc))
+    def rounds(value: str, count: str, inner: Sql, acc: str) -> str:
+        return (f"aggregate(sequence(1, {count}), {value}, "
+                f"({acc}, {acc}_n) -> CASE WHEN {matches(acc)} THEN {inner(acc)} ELSE {acc} END)")
 
-    def rest(v: Column) -> Column:
-        if not shrinks:
-            return rounds(v, F.lit(PASSES - 1), once)
-        block = F.ceil(F.sqrt(F.length(v))).cast("int") + 1
-        return rounds(v, block, lambda w: rounds(w, block, once))
+    block = "int(ceil(sqrt(length(w)))) + 1"
+    if shrinks:
+        rest = rounds("w", block, lambda a: rounds(a, block, once, "b"), "a")
+    else:
+        rest = rounds("w", str(PASSES - 1), once, "a")
 
-    def step(text: Column) -> Column:
-        again = let(once(text), lambda v: F.when(matches(v), rest(v)).otherwise(v))
-        return F.when(matches(text), again).otherwise(text)
+    def step(column: str) -> Column:
+        again = f"transform(array({once(column)}), w -> CASE WHEN {matches('w')} THEN {rest} ELSE w END)[0]"
+        return F.expr(f"CASE WHEN {matches(column)} THEN {again} ELSE {column} END")
 
-    return step
+    return lambda column: step(f"`{column}`")
 
 
 def delete_pattern(pattern: str, hint: str | None = None, test: str | None = None) -> Step:
@@ -98,38 +105,29 @@ def delete_pattern(pattern: str, hint: str | None = None, test: str | None = Non
     ``hint`` is a plain string that any match must hold, ``test`` a pattern
     that matches exactly where the pattern does and is cheaper to look for.
     """
-    java, sign = to_java(pattern).java, to_java(test or pattern).java
-
-    def matches(v: Column) -> Column:
-        hit = F.rlike(v, F.lit(sign))
-        return F.contains(v, F.lit(hint)) & hit if hint else hit
-
-    return until_stable(lambda v: F.regexp_replace(v, java, ""), matches)
+    java, sign = quote(to_java(pattern).java), quote(to_java(test or pattern).java)
+    first = f"contains({{v}}, {quote(hint)}) AND " if hint else ""
+    return until_stable(lambda v: f"regexp_replace({v}, {java}, '')",
+                        lambda v: first.replace("{v}", v) + f"rlike({v}, {sign})")
 
 
 def delete_strings(strings: Sequence[str]) -> Step:
     """Delete plain strings until none is left."""
 
-    def matches(v: Column) -> Column:
-        hit = F.contains(v, F.lit(strings[0]))
-        for s in strings[1:]:
-            hit = hit | F.contains(v, F.lit(s))
-        return hit
-
-    def once(v: Column) -> Column:
+    def once(v: str) -> str:
         for s in strings:
-            v = F.replace(v, F.lit(s), F.lit(""))
+            v = f"replace({v}, {quote(s)}, '')"
         return v
 
-    return until_stable(once, matches)
+    return until_stable(once, lambda v: "(" + " OR ".join(f"contains({v}, {quote(s)})" for s in strings) + ")")
 
 
 def replace_step(pattern: str, replacement: str) -> Step:
     """One rule of a replace list: the test is case-sensitive, the replacement is not."""
     java = to_java(pattern).java
     return until_stable(
-        lambda v: F.regexp_replace(v, "(?iu)" + java, to_java_replacement(replacement)),
-        lambda v: F.rlike(v, F.lit(java)),
+        lambda v: f"regexp_replace({v}, {quote('(?iu)' + java)}, {quote(to_java_replacement(replacement))})",
+        lambda v: f"rlike({v}, {quote(java)})",
         shrinks=replacement == "",
     )
 
@@ -153,7 +151,7 @@ DROP_SYNOPSIS_LEAD = [delete_pattern(fixed.SYNOPSIS_LEAD, "简单介绍:</strong
 DROP_URLS = [delete_strings([p]) for p in fixed.URL_PREFIXES] + [
     delete_pattern(fixed.SITE_NAME, test=fixed.SITE_NAME_TEST)]
 CONTENT_FILTER = [
-    lambda v: F.lower(to_halfwidth(drop_symbols(v))), *DROP_BLOCKS, *DROP_BARE_TAGS, *DROP_SYNOPSIS_LEAD, *DROP_URLS
+    lambda column: F.lower(to_halfwidth(drop_symbols(F.col(column)))), *DROP_BLOCKS, *DROP_BARE_TAGS, *DROP_SYNOPSIS_LEAD, *DROP_URLS
 ]
 
 

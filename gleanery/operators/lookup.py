@@ -62,15 +62,16 @@ def contains_match(harvested: DataFrame, stored: DataFrame, broadcast: bool | No
     asked = asked.where("short_title <> ''")
     wanted = asked.select("short_title").distinct()
     pieces = substrings(stored, wanted.select(F.length("short_title").alias("n")).distinct())
+    titles = stored.select("id", F.col("title").alias("stored_title"))
     if is_small(wanted) if broadcast is None else broadcast:
         pieces = pieces.join(F.broadcast(wanted), "short_title", "left_semi")
         first = pieces.groupBy("short_title").agg(F.min("id").alias("id"))
+        # There are at most as many hits as wanted titles.
+        found = titles.join(F.broadcast(first), "id")
     else:
         # An inner join stays above the aggregate, which shrinks hot substrings first.
         first = pieces.groupBy("short_title").agg(F.min("id").alias("id")).join(wanted, "short_title")
-    first = write_out(first, "first-hits")
-    titles = relevant(stored.select("id", F.col("title").alias("stored_title")), first, ["id"])
-    found = salted_join(first, titles, ["id"], "inner", ["short_title"])
+        found = salted_join(write_out(first, "first-hits"), titles, ["id"], "inner", ["short_title"])
     return asked.join(found, "short_title").select("title", "short_title", "id", "stored_title")
 
 

@@ -47,6 +47,19 @@ def test_replacement_backslash_is_text(value):
     assert value(lambda c: F.regexp_replace(c, "(b)", to_java_replacement(r"\n$1")), "abc") == r"a\nbc"
 
 
+def test_functions_travel_to_workers_without_the_package(tmp_path):
+    """A worker elsewhere unpickles them by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(lambda p: to_java(p).java)
+    code = f"import pickle; print(pickle.loads({data!r})('(?<a>x)'))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "(?d)(x)", done.stderr
+
+
 # ----------------------------------------------------------------------- text
 
 def run_filter(spark, s, steps=None, replace_list=()):
