@@ -35,10 +35,12 @@ END = 0
 #: Tokens of a file, about; a single longer document has a file of its own size.
 FILE_TOKENS = 4_000_000
 SAMPLE = 256
-#: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
-#: Longer pieces are encoded each time.
-CACHE_CHARS = 64
+#: Rows of an Arrow batch and bytes of text that a task holds at a time.
+BATCH_ROWS = "1000"
+TEXT_BYTES = 2 << 20
+#: Words whose ids a worker remembers before it forgets them all, and new words that are encoded together.
+CACHE_WORDS = 250_000
+LINES_AT_ONCE = 50
 
 
 class EliasFano:
@@ -106,34 +108,36 @@ class EliasFano:
 
 
 class Encoder:
-    """Encodes texts with a tokenizer, remembering the ids of pieces.
+    """Encodes texts with a tokenizer, remembering the ids of words.
 
     A byte-level BPE never joins across a single blank or line feed between two characters that are not white
     space: a blank goes with the word after it, a line feed stands alone.  Texts are cut there, and the ids
-    of the pieces, joined, are the ids of the text.  Other white space is left inside the pieces.
+    of the pieces, joined, are the ids of the text.  New words are encoded together, each in a line of its
+    own.  Texts with other white space are encoded whole.
     """
 
     _last: tuple[str, Encoder] | None = None
-    _blanks = re.compile(r"\s\s|\A\s|\s\Z")
-    _safe = re.compile(r"(?<=\S) (?=\S)")
+    _other_white = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
     def __init__(self, path: str) -> None:
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.joins = self._piecewise()
-
-    def _piecewise(self) -> bool:
-        """Whether the tokenizer is one that may be fed piece by piece."""
-        import json
-
         parts = json.loads(self.tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
-        return (parts["normalizer"] is None and before.get("type") == "ByteLevel"
-                and not before.get("add_prefix_space") and before.get("use_regex", True))
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # Whether the tokenizer is one that may be fed piece by piece.
+        self.joins = (parts["normalizer"] is None and before.get("type") == "ByteLevel" and len(line) == 1
+                      and not before.get("add_prefix_space") and before.get("use_regex", True))
+        self.line, self.line_bytes = line[0], np.array(line, self.kind).tobytes()
+        self.first: dict[str, bytes] = {}  # words at the beginning of a line
+        self.after: dict[str, bytes] = {}  # words after a blank
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -141,38 +145,50 @@ class Encoder:
             cls._last = path, cls(path)
         return cls._last[1]
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in made]
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.joins:
-            return [text]
-        if self._blanks.search(text):
-            first, *rest = self._safe.split(text)
-            return [first, *[" " + x for x in rest]]
-        out: list[str] = []
-        for line in text.split("\n"):
-            if out:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def cut(self, text: str) -> list[list[str]] | None:
+        """The words of each line, if no white space but single blanks and line feeds parts them."""
+        if (not self.joins or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+                or text[:1] in ("", " ", "\n") or text[-1] in " \n" or self._other_white.search(text)):
+            return None
+        return [line.split(" ") for line in text.split("\n")]
+
+    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Take up new words."""
+        new = [w for w in words if w not in known]
+        groups = [new[i:i + LINES_AT_ONCE] for i in range(0, len(new), LINES_AT_ONCE)]
+        for i in range(0, len(groups), 40):
+            some = groups[i:i + 40]
+            made = self.tokenizer.encode_batch_fast([lead + ("\n" + lead).join(g) for g in some], add_special_tokens=False)
+            for group, one in zip(some, made):
+                ids = np.array(one.ids, self.kind)
+                size, ends, ids = self.kind.itemsize, np.flatnonzero(ids == self.line).tolist(), ids.tobytes()
+                start = 0
+                for word, end in zip(group, [*ends, len(ids) // size], strict=True):
+                    known[word] = ids[start * size:end * size]
+                    start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list(set().union(*cut) - self.cache.keys()) if cut else []
-        ids = dict(zip(new, self.raw(new)))
-        kept = self.cache
-        kept.update(ids)
-        out = [b"".join(map(kept.__getitem__, c)) for c in cut]
-        for piece in new:
-            if len(piece) > CACHE_CHARS:
-                del kept[piece]
+        cuts = [self.cut(t) for t in texts]
+        for known in (self.first, self.after):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+        self.learn(self.first, {line[0] for c in cuts if c for line in c}, "")
+        after: set[str] = set()
+        for c in cuts:
+            for line in c or ():
+                after.update(line[1:])
+        self.learn(self.after, after, " ")
+        first, rest = self.first.__getitem__, self.after.__getitem__
+        out = []
+        for text, c in zip(texts, cuts):
+            if c is None:
+                out.append(self.whole(text))
+            else:
+                out.append(self.line_bytes.join([first(line[0]) + b"".join(map(rest, line[1:])) for line in c]))
         return out
 
 
@@ -242,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, file_tokens: int =
                                               ["part", "number", "file", "docs", "tokens"])
 
         for batch in batches:
-            for start, end in sliced(batch, batch.column(1)):
+            for start, end in sliced(batch, batch.column(1), TEXT_BYTES):
                 rows = batch.slice(start, end - start)
                 for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
                     file.add(doc_id, ids)
@@ -253,7 +269,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, file_tokens: int =
 
     store, folder = filesystem(path)
     store.create_dir(folder, recursive=True)
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(rows)
+    conf.set(rows, BATCH_ROWS)
+    try:
+        ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    finally:
+        conf.set(rows, usual)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
