@@ -46,7 +46,7 @@ PART_BITS = 1 << 16
 #: 64-bit words of the short sketch.
 SKETCH = 16
 #: Rounds with other pivots before all remaining pairs are tested; they only save work.
-PIVOTS = 2
+PIVOTS = 1
 WORD_CACHE = 500_000
 
 
@@ -257,11 +257,25 @@ class Join:
 
         return write_out(both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "links")
 
+    def more(self, links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links with those among ``pairs``, and the components."""
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = write_out(links.unionByName(self.verify(ordered)), "links")
+        return links, components(links)
+
     def join(self) -> DataFrame:
         """doc_id, component of the classes' documents that have a link; classes by their least doc_id."""
         met = write_out(meetings(self.classes), "met")
-        links = self.verify(met.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        # Each class against one pivot first; then against others, where these are not of its component by now.
+        star = met.where("node != pivot")
+        links = self.verify(star.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
         labels = components(links)
+        for_node = labels.withColumnRenamed("component", "_ln")
+        for_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("_lp"))
+        pairs = write_out(star.select("node", "pivot").distinct(), "pairs").join(for_node, "node", "left")
+        apart = spread_fetch(pairs, "pivot", "node", for_pivot, self.salts).where("_ln IS NULL OR _ln != _lp").select("node", "pivot")
+        alone = pairs.select("node", "pivot").join(labels.select(F.col("node").alias("pivot")).hint("merge"), "pivot", "left_anti")
+        links, labels = self.more(links, apart.unionByName(alone).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         crowded = met.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 2").select("key")
         members = write_out(met.join(crowded, "key", "left_semi"), "members")
         for turn in range(PIVOTS + 1):
@@ -278,9 +292,7 @@ class Join:
                 pairs = members.join(drawn, "key").where("label != _label AND node != _pivot AND other != pivot")
             else:
                 pairs = self.rest(members)
-            new = self.verify(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-            links = write_out(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(new).distinct(), "links")
-            labels = components(links)
+            links, labels = self.more(links, pairs.select(F.col("node").alias("a"), F.col("other").alias("b")))
             members = members.select("key", "node", "pivot")
         return labels
 
