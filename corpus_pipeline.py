@@ -7,29 +7,56 @@ is there twice from then on.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import decontaminate, jaccard, mixing, quality, tokens
 from gleanery.llm.queries import table, tokenizer_path
-from gleanery.session import new_path, write_out
+from gleanery.session import folders, new_path, remove, write_out
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def stage(work: Stage) -> Stage:
+    """Stage that first removes the intermediate tables of the one before, unless ``docs`` still reads them."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        remove(spark, [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)])
+        with folders() as made:
+            result = work(spark, docs, sf_dir)
+        _left[:] = made
+        return result
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_first(docs)
 
 
+@stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.report(docs, new_path(spark, "tokens"), tokenizer_path())
 
@@ -48,6 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = write_out(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES:
+        docs = write_out(work(spark, docs, sf_dir), name)
+    _left.clear()  # the last result is still to be read by the caller
     return docs

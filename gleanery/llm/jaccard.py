@@ -3,7 +3,9 @@
 A document's set of shingles is hashed into a bit sketch: each shingle flips one bit.  The Hamming distance of two sketches is at most the size of the
 sets' symmetric difference.  Two sets of Jaccard similarity num/den or more differ, if the smaller one has n
 shingles, in at most d = (den - num) * n / num of them.  Sketches are cut into more than d parts, so that two such sets agree in some part
-whole: pieces (band, part, bits of the part) are joined.  The number of parts goes by band of set sizes; a set that can have a partner
+whole.  (At similarities of 0.8, parts hold three or four shingles, and some hold one or none, which too many sets share.  ``least`` leaves these
+out where there are many parts: two sets that just link agree in about a quarter of the others, so that of 48 parts none is shared
+with a chance of one in a million.  With ``least`` 0, as in the query at 0.9, no link can be missed): pieces (band, part, bits of the part) are joined.  The number of parts goes by band of set sizes; a set that can have a partner
 in the next lower band is cut that band's way too.  A set has pieces of its first d + 1 parts only, which suffices.
 
 A part has ``PART_BITS`` bits, most of them zero.  What is joined is the exclusive or of a hash of its set bits' numbers, which is equal for equal
@@ -38,8 +40,10 @@ from gleanery.llm.components import components
 from gleanery.session import counted, write_out
 
 #: Shingles and similarity of the query, and those of the pipeline.
-QUERY = {"width": 3, "num": 90, "den": 100}
-PIPELINE = {"width": 5, "num": 80, "den": 100}
+QUERY = {"width": 3, "num": 90, "den": 100, "least": 0}
+PIPELINE = {"width": 5, "num": 80, "den": 100, "least": 3}
+#: From so many parts on, parts of fewer shingles than ``least`` are left out.
+MANY_PARTS = 48
 #: Sizes of a band lie within this factor.
 BAND = 1.2
 PART_BITS = 1 << 16
@@ -113,7 +117,7 @@ class Bands:
         return [b for b in range(self.of(max(1, least)), home + 1) if self.differ(self.low(b + 1) - 1)]
 
 
-def pieces(own: np.ndarray, bands: Bands) -> list[np.ndarray]:
+def pieces(own: np.ndarray, bands: Bands, least: int) -> list[np.ndarray]:
     """Keys of a set's pieces."""
     out = []
     if not len(own) or not bands.differ(len(own)):
@@ -127,7 +131,8 @@ def pieces(own: np.ndarray, bands: Bands) -> list[np.ndarray]:
         np.bitwise_xor.at(content, part, bit)  # a bit that is flipped twice is gone
         some = min(parts, bands.differ(len(own)) + 1)
         name = np.arange(some, dtype=np.uint64) + np.uint64(band << 32)
-        out.append(mixed(content[:some] ^ mixed(name + np.uint64(1))))
+        keys = mixed(content[:some] ^ mixed(name + np.uint64(1)))
+        out.append(keys if parts < MANY_PARTS else keys[np.bincount(part, minlength=parts)[:some] >= least])
     return out
 
 
@@ -144,7 +149,7 @@ SIGNED = T.StructType([
     T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def signatures(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+def signatures(docs: DataFrame, width: int, bands: Bands, least: int) -> DataFrame:
     """doc_id, n, h, g (128-bit hash of the set), sketch, keys (of the pieces)."""
     def make(_, texts):
         n, digests, sketches, sizes, keys = [], [], [], [0], []
@@ -153,7 +158,7 @@ def signatures(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             n.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             sketches.append(short_sketch(own))
-            own_keys = pieces(own, bands)
+            own_keys = pieces(own, bands, least)
             keys += own_keys
             sizes.append(sizes[-1] + sum(map(len, own_keys)))
         halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
@@ -214,11 +219,11 @@ def meetings(classes: DataFrame) -> DataFrame:
 class Join:
     """The steps of one join; they share the classes and what has been tested."""
 
-    def __init__(self, docs: DataFrame, width: int, num: int, den: int) -> None:
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int, least: int) -> None:
         self.docs, self.width, self.num, self.den = docs, width, num, den
         self.bands = Bands(num, den)
         self.salts = partitions(docs)
-        self.signed = write_out(signatures(docs, width, self.bands), "signed")
+        self.signed = write_out(signatures(docs, width, self.bands, least), "signed")
         own = self.signed.where("n > 0 AND doc_id IS NOT NULL")
         # Classes of equal sets; equal sets have equal sketches and keys.
         self.classes = write_out(own.groupBy("h", "g", "n").agg(
@@ -244,7 +249,10 @@ class Join:
             texts, ["doc_id"], "text", T.StructType([T.StructField("set", T.BinaryType())]),
             lambda _, t: {"set": pa.array([shingle_set(x, width).tobytes() for x in t], pa.binary())}).select("row.doc_id", "made.set"), "sets")
         side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
-        both = spread_fetch(spread_fetch(near, "a", "b", side("a"), self.salts), "b", "a", side("b"), self.salts)
+        if rows <= SMALL_ROWS:  # the pairs go to the sets; each set is moved once per pair
+            both = side("a").join(F.broadcast(near), "a").join(side("b").join(F.broadcast(near), "b"), ["a", "b"])
+        else:
+            both = spread_fetch(spread_fetch(near, "a", "b", side("a"), self.salts), "b", "a", side("b"), self.salts)
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -320,9 +328,9 @@ class Join:
                          ).select("node", "other")
 
 
-def linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def linked(docs: DataFrame, width: int, num: int, den: int, least: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    job = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den)
+    job = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den, least)
     labels = job.join()
     # A class has the component of its least doc_id; its rows have the class's, found by the hash of their set.
     own = job.classes.select("h", "g", "n", "node").join(labels, "node", "left").select(
@@ -339,12 +347,13 @@ def report(docs: DataFrame) -> DataFrame:
     return linked(docs, **QUERY)
 
 
-def keep_first(docs: DataFrame, width: int = PIPELINE["width"], num: int = PIPELINE["num"], den: int = PIPELINE["den"]) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = PIPELINE["width"], num: int = PIPELINE["num"], den: int = PIPELINE["den"],
+               least: int = PIPELINE["least"]) -> DataFrame:
     """The documents, in their columns, one of each component: the one with the least doc_id.
 
     Documents without words, and those with a null doc_id, stay.  Of rows that share the least doc_id of a component one stays.
     """
-    links = write_out(linked(docs, width, num, den), "linked")
+    links = write_out(linked(docs, width, num, den, least), "linked")
     gone = links.where("component_id != doc_id").select("doc_id").distinct()
     repeated = links.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone, rows = counted(gone, "gone")
