@@ -72,5 +72,6 @@ ONGOING_STATUS = "连载中"
 BOOK_MODEL_ID = 4
 SERIES_MODEL_ID = 6
 COVER_PATH = "/u/MovieFace/%d.jpg"
+BOOK_COVER_PATH = "e/api/xmlrpc.aspx?a=savebookface&id="
 EPISODE_NUMBER = "第%s集"
 MAX_TRIES = 3

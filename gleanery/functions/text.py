@@ -9,12 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gleanery.functions import fixed_values as fixed
 from gleanery.functions.regex import to_java, to_java_replacement
+from gleanery.session import write_out
 
-PASSES = 4
+# Rounds of a replacement that puts text in before the text is written out and looked at again.
+ROUNDS = 8
+# Rules that become one plan, and how much longer a rule may make a text.
+RULES_AT_ONCE = 100
+GROWTH = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,7 +84,7 @@ def until_stable(once: Sql, matches: Sql, *, shrinks: bool = True) -> Step:
     that is not goes on in at most as many rounds as it has characters, enough
     for a replacement that shrinks the text.  These rounds come in blocks that
     are skipped when the text is stable.  A replacement that may not shrink
-    ends after ``PASSES`` rounds; see ``apply_replace_list``.
+    does ``ROUNDS`` rounds; ``apply_replace_list`` goes on where that is not enough.
     """
 
     def rounds(value: str, count: str, inner: Sql, acc: str) -> str:
@@ -90,7 +95,7 @@ def until_stable(once: Sql, matches: Sql, *, shrinks: bool = True) -> Step:
     if shrinks:
         rest = rounds("w", block, lambda a: rounds(a, block, once, "b"), "a")
     else:
-        rest = rounds("w", str(PASSES - 1), once, "a")
+        rest = rounds("w", str(ROUNDS - 1), once, "a")
 
     def step(column: str) -> Column:
         again = f"transform(array({once(column)}), w -> CASE WHEN {matches('w')} THEN {rest} ELSE w END)[0]"
@@ -159,16 +164,47 @@ def apply_replace_list(df: DataFrame, column: str, rules: Sequence[tuple[str, st
                        flag: str | None = None) -> DataFrame:
     """Apply (pattern, replacement) rules in order, each until stable.
 
-    ``flag`` names a column that tells whether a rule that puts text in did not
-    converge: it still matches after the last round.
+    Rules are applied in groups.  After each, texts in which a rule that puts text in
+    still matches are counted; the rule goes on as long as it changes any of them, however many
+    rounds that takes.  A rule that grows a text beyond ``GROWTH`` times its first length, or that
+    leaves it as it is and still matches, has no end; ``flag`` names a column that marks such texts.
     """
-    if flag:
-        df = df.withColumn(flag, F.lit(False))
-    for pattern, replacement in rules:
-        df = apply_steps(df, column, [replace_step(pattern, replacement)])
-        if flag and replacement != "":
-            df = df.withColumn(flag, F.col(flag) | F.rlike(F.col(column), F.lit(to_java(pattern).java)))
-    return df
+    endless = "_endless"
+    df = df.withColumns({"_first": F.length(column), endless: F.lit(False)})
+    for i in range(0, len(rules), RULES_AT_ONCE):
+        group = rules[i:i + RULES_AT_ONCE]
+        growing = [(p, r) for p, r in group if r != ""]
+        if not growing:
+            for pattern, replacement in group:
+                df = apply_steps(df, column, [replace_step(pattern, replacement)])
+            if len(rules) > RULES_AT_ONCE:
+                df = write_out(df, "replaced")
+            continue
+        for pattern, replacement in group:
+            df = apply_steps(df, column, [replace_step(pattern, replacement)])
+            if replacement != "":
+                df = _to_the_end(df, column, pattern, replacement, endless)
+    df = df.drop("_first")
+    return df.withColumnRenamed(endless, flag) if flag else df.drop(endless)
+
+
+def _to_the_end(df: DataFrame, column: str, pattern: str, replacement: str, endless: str) -> DataFrame:
+    """Go on with a rule on the texts that it still matches."""
+    matches = F.rlike(F.col(column), F.lit(to_java(pattern).java)) & ~F.col(endless)
+    df = df.withColumn("_again", F.coalesce(matches, F.lit(False)))
+    if df.where("_again").limit(1).count() == 0:
+        return df.drop("_again")
+    step = replace_step(pattern, replacement)
+    while True:
+        before = df.withColumn("_before", F.col(column))
+        after = before.withColumn(column, F.when(F.col("_again"), step(column)).otherwise(F.col(column)))
+        stuck = F.col("_again") & ((F.col(column) == F.col("_before")) | (F.length(column) > GROWTH * (F.col("_first") + 1)))
+        after = after.withColumn(endless, F.col(endless) | stuck).drop("_before")
+        seen = Observation()
+        after = after.withColumn("_again", F.coalesce(matches, F.lit(False)))
+        df = write_out(after.observe(seen, F.count_if("_again").alias("left")), "replaced")
+        if not seen.get["left"]:
+            return df.drop("_again")
 
 
 def content_filter(df: DataFrame, column: str, replace_list: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -192,8 +228,8 @@ def html_decode(text: Column) -> Column:
 
     def piece(p: Column) -> Column:
         name = F.regexp_extract(p, "^([^;&]+);", 1)
-        dec = F.regexp_extract(name, "^#([0-9]{1,7})$", 1).try_cast("bigint")
-        hexa = F.conv(F.nullif(F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,6})$", 1), F.lit("")), 16, 10)
+        dec = F.regexp_extract(name, "^#0*([0-9]{1,7})$", 1).try_cast("bigint")
+        hexa = F.conv(F.nullif(F.regexp_extract(name, "^#[xX]0*([0-9a-fA-F]{1,6})$", 1), F.lit("")), 16, 10)
         char = F.coalesce(_code_point(F.coalesce(dec, hexa.try_cast("bigint"))), F.try_element_at(names, name))
         return F.when(name == "", F.concat(F.lit("&"), p)).otherwise(
             F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p)))

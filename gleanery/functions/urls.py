@@ -13,7 +13,10 @@ def origin(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
+    """Lower-case host, with its port unless that is the scheme's own."""
+    named = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1)
+    own = F.when(F.rlike(url, F.lit("^(?i)http://")), ":80$").when(F.rlike(url, F.lit("^(?i)https://")), ":443$")
+    return F.regexp_replace(named, F.coalesce(own, F.lit("$^")), F.lit(""))
 
 
 def site_root(domain: Column) -> Column:

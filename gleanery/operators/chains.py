@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from gleanery.operators.skew import salted_join
 from gleanery.session import write_out
 
-# Parts per stitched segment; all but extreme chains have a single segment.
-SEGMENT_PARTS = 1024
-
 
 def walk(seeds: DataFrame, edges: DataFrame, max_steps: int | None = None) -> DataFrame:
     """(seed, node, step) of every page reached from a seed by next links.
@@ -51,18 +48,13 @@ def _written(reached: DataFrame, jumps: DataFrame) -> tuple[DataFrame, DataFrame
             seen.get["reached"], seen.get["jumps"])
 
 
-def stitch(parts: DataFrame, group: list[str], segment_parts: int = SEGMENT_PARTS) -> DataFrame:
-    """Parts (group, step, text) joined to one text in step order.
-
-    A chain beyond ``segment_parts`` parts yields several numbered segments,
-    so that no task has to hold an unbounded chain.
-    """
+def stitch(parts: DataFrame, group: list[str]) -> DataFrame:
+    """Parts (group, step, text) joined to one text per chain, in step order."""
     ordered = F.array_sort(F.collect_list(F.struct("step", "text")))
     return (
-        parts.withColumn("segment", F.floor(F.col("step") / segment_parts))
-        .groupBy(*group, "segment")
+        parts.groupBy(*group)
         .agg(ordered.alias("_parts"))
-        .select(*group, "segment", F.size("_parts").cast("bigint").alias("parts"),
+        .select(*group, F.size("_parts").cast("bigint").alias("parts"),
                 F.array_join(F.col("_parts.text"), "").alias("content"))
     )
 

@@ -40,17 +40,16 @@ def walk_list(spark, sf_dir):
 
 
 @query(f"""{WALK_SQL} SELECT w.conv_id, w.step, substring(text, 1, 40) AS title,
-       CAST(length(text) AS INT) AS text_length FROM w JOIN conversations USING (conv_id, turn)""")
+       CAST(length(text) AS INT) AS text_length, text AS content FROM w JOIN conversations USING (conv_id, turn)""")
 def walk_chapters(spark, sf_dir):
     pages, seeds, edges = chain_of(spark, sf_dir)
     reached = chains.walk(seeds, edges)
     return reached.join(pages, "node").select(
         F.col("seed").alias("conv_id"), "step", F.substring("text", 1, 40).alias("title"),
-        F.length("text").alias("text_length"))
+        F.length("text").alias("text_length"), F.col("text").alias("content"))
 
 
-@query(f"""{WALK_SQL} SELECT conv_id, step // {chains.SEGMENT_PARTS} AS segment, count(*) AS parts,
-       string_agg(text, '' ORDER BY step) AS content
+@query(f"""{WALK_SQL} SELECT conv_id, count(*) AS parts, string_agg(text, '' ORDER BY step) AS content
 FROM w JOIN conversations USING (conv_id, turn) GROUP BY ALL""")
 def stitch_content(spark, sf_dir):
     pages, seeds, edges = chain_of(spark, sf_dir)
@@ -67,7 +66,7 @@ def chapter_content(spark, sf_dir):
         F.col("doc_id").alias("chapter_id"), F.concat(F.lit("ch "), F.col("doc_id")).alias("title"),
         F.concat(F.lit("<p>&copy; "), "text", F.lit("</p>")).alias("content"))
     cleaned = text.content_filter(docs, "content").withColumn("content", text.html_decode(F.col("content")))
-    return with_defaults(cleaned, "chapter_content").drop("segment")
+    return with_defaults(cleaned, "chapter_content")
 
 
 @query("""

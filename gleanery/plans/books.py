@@ -12,7 +12,7 @@ from gleanery.functions import fixed_values as fixed, text
 from gleanery.functions.urls import resolve, site_root, url_key
 from gleanery.operators import chains, extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, lookup_join, salted_join
-from gleanery.schemas import with_defaults
+from gleanery.schemas import MAX_LENGTHS, with_defaults
 from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
 from gleanery.session import counted, write_out
 from gleanery.sources.catalog import Catalog
@@ -24,7 +24,7 @@ CHAPTER_FIELDS = ["title", "user", "content"]
 
 def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
                   blacklist: DataFrame | None = None, replace_list: list[tuple[str, str]] = (),
-                  as_of: Column | None = None) -> None:
+                  as_of: Column | None = None, writer: str = "") -> None:
     """Harvest one crawl pass into batch ``batch`` of the catalog."""
     local_time = F.convert_timezone(F.current_timezone(), F.lit("+08:00"), F.localtimestamp())
     now = (local_time if as_of is None else as_of).cast("timestamp_ntz")
@@ -89,7 +89,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     covers = owned.where("image <> ''").select(
         F.lit("book").alias("parent"), F.col("book_id").alias("id"),
         resolve(F.col("image"), F.col("root")).alias("image_url"),
-        F.concat("TargetSiteUrl", F.lit("e/api/xmlrpc.aspx?a=savebookface&id="), "book_id").alias("path"))
+        F.concat("TargetSiteUrl", F.lit(fixed.BOOK_COVER_PATH), "book_id").alias("path"))
 
     # Chapter lists: on a page of their own or on the info page.
     target = owned.select("source", "rule", F.coalesce(url_key(F.col("list_link")), F.col("key")).alias("key"))
@@ -126,24 +126,24 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     heads = heads.select("seed.*", "title", "text_length", "reason")
     judged = salted_join(chapters, heads, PAGE_ID, "inner", ["source", "pos", "step"], rows=n_chapters)
     judged = write_out(judged.withColumn("reason", F.coalesce("reason", F.when(
-        F.length("title") > 200, "too_long:title"))), "judged")
+        F.length("title") > MAX_LENGTHS["chapter"]["title"], "too_long:title"))), "judged")
     failed = judged.where("reason is not null")
     aside.append(set_aside(failed, "chapter", F.col("reason"), url="key"))
     # The first chapter that fails ends the pass for its book.
-    ends = failed.where("reason not like 'too_long%'").groupBy("source").agg(
+    ends = failed.groupBy("source").agg(
         F.min(F.struct("pos", "step")).alias("_end"))
     kept = salted_join(judged.where("reason is null"), ends, ["source"], "left", ["pos", "step"],
                        rows=n_chapters)
     kept = kept.where(F.col("_end").isNull() | (F.struct("pos", "step") < F.col("_end"))).drop("_end", "reason")
     kept = salted_join(kept, owned.select("source", "book_id", "book_title", "class_id", "class_name"), ["source"],
                        "inner", ["pos", "step"], rows=n_chapters)
-    kept = lookup.new_rows(write_out(kept, "kept"), catalog.table("chapter", before=batch), ["book_id", "title"],
-                           ["rule", "source", "pos", "step"])
+    # A page that is reached twice is saved once; equal titles of different pages are different chapters.
+    kept = write_out(first_per_key(kept, ["book_id", *PAGE_ID], ["source", "pos", "step"]), "kept")
     saved = write_out(incremental.assign_ids(kept, ["book_id", "source", "pos", "step"],
                                              catalog.table("chapter", before=batch)), "chapters")
 
     texts = chains.stitch(parts.where("reason is null").select("seed", "step", "text"), ["seed"])
-    texts = texts.select("seed.*", "segment", "content")
+    texts = texts.select("seed.*", "content")
     numbered = saved.select(*PAGE_ID, F.col("id").alias("chapter_id"), "title")
     texts = salted_join(numbered, texts, PAGE_ID, "inner", ["chapter_id"], rows=n_chapters)
     texts = text.content_filter(texts, "content", replace_list).withColumn(
@@ -159,4 +159,4 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
         "pointer": pointers.withColumnRenamed("book_id", "parent_id").withColumn("parent", F.lit("book")),
         "cover": covers,
         "quarantine": stack(aside),
-    })
+    }, writer)

@@ -95,23 +95,25 @@ def to_halfwidth(spark, sf_dir):
         "doc_id", text.to_halfwidth(F.concat(F.lit("ＡＢＣ１２３！　"), "text")).alias("text"))
 
 
-REPLACE_FILE = "the|DE\r\n\r\n|x\r\nq[a-z]\r\nund|&|ignored"
+REPLACE_FILE = "the|DE\r\n\r\n|x\r\nq[a-z]\r\nund|&|ignored\r\naa|a"
+MANY_ROUNDS = "a" * 3000  # twelve rounds of the last rule
 
 
-def sql_replace_rule(source: str, pattern: str, to: str) -> str:
-    """Rounds of one replace rule; the test is case-sensitive, the replacement is not."""
-    for _ in range(ROUNDS):
-        source = f"""(SELECT doc_id, CASE WHEN regexp_matches(text, '{pattern}')
-            THEN regexp_replace(text, '(?i){pattern}', '{to}', 'g') ELSE text END AS text FROM {source})"""
-    return source
+def sql_replace_rule(name: str, source: str, pattern: str, to: str) -> str:
+    """CTEs that loop over one rule until it no longer matches; the test is case-sensitive, the replacement is not."""
+    return f"""{name}_r AS (SELECT doc_id, text, 0 AS n FROM {source} UNION ALL
+      SELECT doc_id, regexp_replace(text, '(?i){pattern}', '{to}', 'g'), n + 1 FROM {name}_r WHERE regexp_matches(text, '{pattern}')),
+    {name} AS (SELECT doc_id, arg_max(text, n) AS text FROM {name}_r GROUP BY doc_id)"""
 
 
-@query("SELECT doc_id, text FROM " + sql_replace_rule(sql_replace_rule(sql_replace_rule(
-    "documents", "the", "DE"), "q[a-z]", ""), "und", "&"))
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text || '{MANY_ROUNDS}' AS text FROM documents),
+{sql_replace_rule('r1', 'd', 'the', 'DE')}, {sql_replace_rule('r2', 'r1', 'q[a-z]', '')},
+{sql_replace_rule('r3', 'r2', 'und', '&')}, {sql_replace_rule('r4', 'r3', 'aa', 'a')}
+SELECT doc_id, text FROM r4""")
 def replace_list(spark, sf_dir):
     lines = wordlists.split_lines(spark.createDataFrame([(REPLACE_FILE,)], "value string"), "value")
     rules = wordlists.load_replace_list(wordlists.replace_rules(lines))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(MANY_ROUNDS)).alias("text")))
     return text.apply_replace_list(docs, "text", rules)
 
 

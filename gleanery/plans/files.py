@@ -60,15 +60,6 @@ def quarantine_retry(spark, sf_dir):
     return quarantine.retry(quarantine.as_quarantine(failed, "chapter"))
 
 
-@query("""
-SELECT 'chapter' AS step, '' AS rule, url, sum(page_id % 4 + 1) AS attempts FROM pages
-WHERE page_id % 2 = 0 GROUP BY url HAVING sum(page_id % 4 + 1) < 3""")
-def quarantine_retry(spark, sf_dir):
-    failed = pages_of(spark, sf_dir).where("page_id % 2 = 0").select(
-        "url", F.lit("").alias("rule"), (F.col("page_id") % 4 + 1).alias("attempts"))
-    return quarantine.retry(quarantine.as_quarantine(failed, "chapter"))
-
-
 @query(f"SELECT page_id, {HOST_SQL} AS host, length(html) AS n_chars FROM pages")
 def stream_pages(spark, sf_dir):
     out = new_path(spark, "polled")

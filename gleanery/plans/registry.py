@@ -14,6 +14,8 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
+        if (name or f.__name__) in QUERIES:
+            raise ValueError(f"there is a query {name or f.__name__} already")
         QUERIES[name or f.__name__] = f
         if sql is not None:
             ORACLES[name or f.__name__] = sql

@@ -43,7 +43,7 @@ def area_items(html: Column, kind: str) -> Column:
 
 
 def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
-                   as_of: Column | None = None, older: bool = False) -> None:
+                   as_of: Column | None = None, older: bool = False, writer: str = "") -> None:
     """Harvest one crawl pass into batch ``batch`` of the catalog.
 
     ``older`` gives the results of the older version: stored series are found
@@ -196,4 +196,4 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
         "pointer": pointers.withColumnRenamed("movie_id", "parent_id").withColumn("parent", F.lit("series")),
         "cover": covers.withColumn("parent", F.lit("series")),
         "quarantine": stack(aside),
-    })
+    }, writer)

@@ -35,7 +35,7 @@ TABLES: dict[str, str] = {
                 "add_time timestamp_ntz, update_time timestamp_ntz",
     "chapter": "id bigint, book_id bigint, book_title string, class_id bigint, class_name string, title string, "
                    "text_length int, chapter_index int, enable boolean, is_free boolean, update_time timestamp_ntz",
-    "chapter_content": "chapter_id bigint, segment bigint, title string, content string, "
+    "chapter_content": "chapter_id bigint, title string, content string, "
                            "is_image_chapter boolean, is_temp boolean",
     "series": "id bigint, class_id bigint, class_name string, title string, standard_title string, "
                   "director string, actors string, location string, public_year string, intro string, info string, "

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -20,6 +22,7 @@ SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_made: list[str] = []
 
 
 def build_session(app: str = "gleanery", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,7 +54,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh folder; all folders of an application lie below one of its own."""
-    return f"{shared_dir(spark)}/gleanery/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/gleanery/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def folders() -> Iterator[list[str]]:
+    """The folders that ``new_path`` hands out meanwhile, known when the block ends."""
+    start, made = len(_made), []
+    try:
+        yield made
+    finally:
+        made += _made[start:]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def write_out(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,26 +30,58 @@ class Catalog:
         """An empty catalog that knows the class ``其他``."""
         catalog = cls(spark, path.rstrip("/"))
         seed = {"class": [(1, fixed.DEFAULT_CLASS, 0, fixed.BOOK_MODEL_ID)]}
+        spark.createDataFrame([], "batch bigint, writer string").coalesce(1).write.mode("append").parquet(f"{catalog.path}/_claims")
         catalog.commit(0, {t: spark.createDataFrame(seed.get(t, []), TABLES[t]).coalesce(1) for t in tables})
         return catalog
 
     def last_batch(self) -> int:
-        commits = self.spark.read.schema("batch bigint").parquet(f"{self.path}/_commits")
-        return commits.agg(F.max("batch")).first()[0]
+        return self._commits().agg(F.max("batch")).first()[0]
+
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema("batch bigint, writer string").parquet(f"{self.path}/_commits")
+
+    def _claims(self) -> DataFrame:
+        return self.spark.read.schema("batch bigint, writer string").parquet(f"{self.path}/_claims")
+
+    def claim(self, writer: str) -> int:
+        """The batch number of a writer's unit of work.
+
+        A name, such as stream and micro-batch, that has a number keeps it, so that a repeated try
+        replaces its own folders only; a new name gets the next number.
+        """
+        claims = self._claims()
+        mine = claims.where(F.col("writer") == writer).agg(F.min("batch")).first()[0]
+        if mine is not None:
+            return mine
+        number = max(claims.agg(F.max("batch")).first()[0] or 0, self.last_batch()) + 1
+        self.spark.createDataFrame([(number, writer)], "batch bigint, writer string").coalesce(1).write.mode(
+            "append").parquet(f"{self.path}/_claims")
+        return number
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
         """Rows of the committed batches, of those before ``before`` if given."""
-        last = self.last_batch()
+        commits = self._commits().select("batch").distinct()
         if before is not None:
-            last = min(last, before - 1)
+            commits = commits.where(F.col("batch") < before)
+        done = sorted(r["batch"] for r in commits.collect())
+        # Runs of numbers, so that a long history is a short filter on the folders.
+        runs: list[list[int]] = []
+        for n in done:
+            if runs and n == runs[-1][1] + 1:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
         stored = self.spark.read.schema(f"{TABLES[name]}, batch bigint").parquet(f"{self.path}/{name}")
-        return stored.where(F.col("batch") <= last)
+        return stored.where(reduce(lambda a, b: a | b, [F.col("batch").between(*r) for r in runs], F.lit(False)))
 
-    def commit(self, batch: int, tables: dict[str, DataFrame]) -> None:
+    def commit(self, batch: int, tables: dict[str, DataFrame], writer: str = "") -> None:
+        """Write a batch and make it visible; refuses a number that another writer has committed."""
+        if batch and self._commits().where((F.col("batch") == batch) & (F.coalesce("writer", F.lit("")) != writer)).limit(1).count():
+            raise ValueError(f"batch {batch} was committed by another writer")
         for name, rows in tables.items():
             with_defaults(rows, name).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-        self.spark.createDataFrame([(batch,)], "batch bigint").coalesce(1).write.mode("append").parquet(
-            f"{self.path}/_commits")
+        self.spark.createDataFrame([(batch, writer)], "batch bigint, writer string").coalesce(1).write.mode(
+            "append").parquet(f"{self.path}/_commits")
 
     def books(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
         """Books with their last chapter; only those in ``of`` (title, author) if given."""

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Replace rules become part of the plan, so their number is checked.
-MAX_REPLACE_RULES = 2000
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line) of a text file, without carriage returns."""
     whole = spark.read.text(path, wholetext=True)
@@ -19,6 +15,11 @@ def split_lines(df: DataFrame, text: str) -> DataFrame:
         "pos", F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
 
 
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a text file whose order does not matter; read in splits."""
+    return spark.read.text(path).select(F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+
+
 def blacklist(lines: DataFrame) -> DataFrame:
     """Titles to leave out, one per line."""
     return lines.select(F.col("line").alias("title")).distinct()
@@ -34,8 +35,5 @@ def replace_rules(lines: DataFrame) -> DataFrame:
 
 
 def load_replace_list(rules: DataFrame) -> list[tuple[str, str]]:
-    """The replace rules in file order, to be built into a plan."""
-    rows = rules.orderBy("pos").limit(MAX_REPLACE_RULES + 1).collect()
-    if len(rows) > MAX_REPLACE_RULES:
-        raise ValueError(f"a replace list may hold {MAX_REPLACE_RULES} rules")
-    return [(r["pattern"], r["replacement"]) for r in rows]
+    """The replace rules in file order, to be built into plans."""
+    return [(r["pattern"], r["replacement"]) for r in rules.orderBy("pos").toLocalIterator()]

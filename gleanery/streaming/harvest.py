@@ -1,12 +1,14 @@
 """The jobs as endless polls of a page folder.
 
-A micro-batch is a crawl pass: the crawler lands the pages of a pass together.
-What a pass lacks (a page that is not there yet) ends up in the quarantine and
-is tried again by the next pass, which reads the lists anew.
+Every page that lands joins a page table of the stream; a micro-batch harvests the pages seen so far, so that
+lists, info pages and chapters may land in any order.  What is in the catalog already is not inserted
+again.  A micro-batch takes its batch number from the catalog: a repeated try replaces its own folders, and other writers have
+other numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,17 +16,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.plans.books import harvest_books
 from gleanery.plans.series import harvest_series
+from gleanery.schemas import PAGE
 from gleanery.sources.catalog import Catalog
 from gleanery.streaming.poll import page_stream, poll
 
+Harvest = Callable[..., None]
+
+
+def _poll(harvest: Harvest, name: str, catalog: Catalog, rules: DataFrame, landing: str, checkpoint: str,
+          every: str | None, files_per_batch: int | None, options: dict[str, Any]) -> StreamingQuery:
+    spark, seen = catalog.spark, f"{checkpoint.rstrip('/')}/pages"
+
+    def work(pages: DataFrame, batch: int) -> None:
+        pages.write.mode("overwrite").parquet(f"{seen}/pass={batch}")
+        known = spark.read.schema(f"{PAGE}, pass bigint").parquet(seen).where(f"pass <= {batch}").drop("pass")
+        writer = f"{name}:{checkpoint}:{batch}"
+        harvest(catalog, rules, known, catalog.claim(writer), writer=writer, **options)
+
+    return poll(page_stream(spark, landing, files_per_batch=files_per_batch), work, f"{checkpoint.rstrip('/')}/state", every)
+
 
 def poll_books(catalog: Catalog, rules: DataFrame, landing: str, checkpoint: str, every: str | None = None,
                files_per_batch: int | None = None, **options: Any) -> StreamingQuery:
-    pages = page_stream(catalog.spark, landing, files_per_batch=files_per_batch)
-    return poll(pages, lambda df, batch: harvest_books(catalog, rules, df, batch, **options), checkpoint, every)
+    return _poll(harvest_books, "books", catalog, rules, landing, checkpoint, every, files_per_batch, options)
 
 
 def poll_series(catalog: Catalog, rules: DataFrame, landing: str, checkpoint: str, every: str | None = None,
                 files_per_batch: int | None = None, **options: Any) -> StreamingQuery:
-    pages = page_stream(catalog.spark, landing, files_per_batch=files_per_batch)
-    return poll(pages, lambda df, batch: harvest_series(catalog, rules, df, batch, **options), checkpoint, every)
+    return _poll(harvest_series, "series", catalog, rules, landing, checkpoint, every, files_per_batch, options)

@@ -48,9 +48,8 @@ def test_chapters(books):
 
 
 def test_chapter_texts(books):
-    got = rows(books.table("chapter_content").where("batch = 1"), "chapter_id", "segment", "content")
-    assert got == [(1, 0, "b one"), (2, 0, "b one more"), (3, 0, "一&amp;二三".replace("&amp;", "&")), (4, 0, "abx"),
-                   (5, 0, "third")]
+    got = rows(books.table("chapter_content").where("batch = 1"), "chapter_id", "content")
+    assert got == [(1, "b one"), (2, "b one more"), (3, "一&amp;二三".replace("&amp;", "&")), (4, "abx"), (5, "third")]
 
 
 def test_second_pass_adds_nothing(books):
@@ -142,3 +141,21 @@ def test_older_version(spark, tmp_path):
     assert rows(catalog.table("series").where("batch = 2"), "id", "title") == [(10, "老片")]
     assert rows(catalog.table("episode").where("movie_id = 9"), "kind", "title") == [
         ("baidu", "[]show01"), ("baidu", "show-01"), ("baidu", "show国语02"), ("qvod", "show03上")]
+
+
+def test_chapters_without_titles_are_all_kept(spark, tmp_path):
+    catalog = Catalog.create(spark, str(tmp_path))
+    rules = sites.book_rules(spark, ContentRule=r"<article>(?<content>[\s\S]*?)</article>")
+    harvest_books(catalog, rules, sites.book_pages(spark, without=()), 1, as_of=at(1))
+    assert catalog.table("chapter").count() == 5
+
+
+def test_numbers_are_claimed_once(spark, tmp_path):
+    catalog = Catalog.create(spark, str(tmp_path))
+    assert [catalog.claim(w) for w in ("a", "b", "a")] == [1, 2, 1]
+    empty = {"class": spark.createDataFrame([(5, "x", 0, 4)], "id long, class_name string, parent_id long, model_id int")}
+    catalog.commit(2, empty, "b")
+    catalog.commit(2, empty, "b")
+    assert catalog.table("class").count() == 2  # batch 1 is not committed, batch 2 counts once
+    with pytest.raises(ValueError):
+        catalog.commit(2, empty, "c")

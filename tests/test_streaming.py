@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 import sites
 from gleanery.plans.books import harvest_books
@@ -16,7 +17,8 @@ def test_polled_passes_equal_batches(spark, tmp_path):
     rules, landing = sites.book_rules(spark), str(tmp_path / "landing")
     streamed = Catalog.create(spark, str(tmp_path / "streamed"))
     batched = Catalog.create(spark, str(tmp_path / "batched"))
-    passes = [sites.book_pages(spark), sites.book_pages(spark, extra_chapters=(4,))]
+    # The page ids of the second pass are higher: a later copy of a page counts.
+    passes = [sites.book_pages(spark), sites.book_pages(spark, extra_chapters=(4,)).withColumn("page_id", F.col("page_id") + 100)]
     for n, pages in enumerate(passes, start=1):
         pages.coalesce(1).write.mode("append").parquet(landing)
         poll_books(streamed, rules, landing, str(tmp_path / "checkpoint")).awaitTermination()
@@ -39,3 +41,19 @@ def test_one_file_per_batch_and_restart(spark, tmp_path):
     assert seen == [(1, 1), (2, 1), (3, 1)]
     poll(page_stream(spark, landing), work, str(tmp_path / "checkpoint")).awaitTermination()
     assert len(seen) == 3
+
+
+def test_pages_in_any_order_and_other_writers(spark, tmp_path):
+    """Lists, info pages and chapters land one after the other, in a catalog that has been harvested into before."""
+    rules, landing = sites.book_rules(spark), str(tmp_path / "landing")
+    whole, polled = (Catalog.create(spark, str(tmp_path / n)) for n in ("whole", "polled"))
+    old = spark.createDataFrame([(0, "http://b.example/x", "x")], "page_id long, url string, html string")
+    harvest_books(polled, rules, old, polled.claim("first"), writer="first")
+    pages = sites.book_pages(spark)
+    kind = F.when(F.col("url").contains("list"), 0).when(F.col("url").rlike("/[a-z]+[.]html$"), 1).otherwise(2)
+    for n in range(3):
+        pages.where(kind == n).coalesce(1).write.mode("append").parquet(landing)
+        poll_books(polled, rules, landing, str(tmp_path / "checkpoint"), files_per_batch=1).awaitTermination()
+    harvest_books(whole, rules, pages, 1)
+    assert [t[1:] for t in titles(polled)] == [t[1:] for t in titles(whole)]
+    assert sorted(r["batch"] for r in polled._commits().collect()) == [0, 1, 2, 3, 4]
