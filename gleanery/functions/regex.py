@@ -54,6 +54,8 @@ class Pattern:
 def _char_class(text: str) -> str:
     if text in ANY_CHAR:
         return "(?s:.)"
+    if re.search(r"(?<!\\)-\[", text[2:]):
+        raise ValueError("a class minus a class")
 
     # Java reads '[' and '&&' inside a class as set syntax; .NET does not.
     def translate(m: re.Match) -> str:
@@ -70,6 +72,7 @@ def _char_class(text: str) -> str:
 
 
 def to_java(pattern: str | None) -> Pattern:
+    """Translate a pattern; ValueError, KeyError or IndexError for what has no counterpart."""
     if not pattern:
         return Pattern("")
     tokens = list(TOKEN.finditer(pattern))
@@ -111,18 +114,6 @@ def to_java(pattern: str | None) -> Pattern:
     return Pattern("(?d)" + "".join(out), groups, alone)
 
 
-def check(pattern: str | None) -> None:
-    """Raise ValueError for a pattern that no engine accepts."""
-    try:
-        import regex
-    except ImportError:
-        return
-    try:
-        regex.compile(pattern or "")
-    except regex.error as e:
-        raise ValueError(str(e)) from e
-
-
 def to_java_replacement(text: str) -> str:
     """Replacement text: ``$1`` means the same, a backslash is plain text."""
     return text.replace("\\", "\\\\")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import fixed_values as fixed
-from gleanery.functions.regex import Pattern, check, to_java
+from gleanery.functions.regex import Pattern, to_java
 from gleanery.functions.text import first_filled, let
 from gleanery.functions.titles import media_file_name, media_kind
 from gleanery.functions.urls import resolve
@@ -65,7 +65,8 @@ class Ref:
 def compile_patterns(rules: DataFrame, names: Sequence[str]) -> DataFrame:
     """Replace the pattern columns of a rule table by compiled patterns.
 
-    A pattern that cannot be compiled is switched off and carries its error.
+    A pattern that cannot be translated, or that the engine which will run it does not take, is switched off
+    and carries its error.
     """
 
     @F.pandas_udf(COMPILED)
@@ -73,7 +74,6 @@ def compile_patterns(rules: DataFrame, names: Sequence[str]) -> DataFrame:
         done, errors = [], []
         for pattern in patterns:
             try:
-                check(pattern)
                 done.append(to_java(pattern))
                 errors.append(None)
             except (ValueError, KeyError, IndexError) as e:
@@ -86,7 +86,13 @@ def compile_patterns(rules: DataFrame, names: Sequence[str]) -> DataFrame:
             "error": errors,
         })
 
-    return rules.withColumns({n: compiled(F.coalesce(F.col(n), F.lit(""))) for n in names})
+    def tried(c: Column) -> Column:
+        taken = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), c["java"]).isNotNull()
+        refused = F.lit("not taken by java.util.regex")
+        return F.when(taken, c).otherwise(c.withField("java", F.lit("")).withField("error", refused))
+
+    translated = rules.withColumns({n: compiled(F.coalesce(F.col(n), F.lit(""))) for n in names})
+    return translated.withColumns({n: tried(F.col(n)) for n in names})
 
 
 def pattern_error(names: Sequence[str]) -> Column:

@@ -13,7 +13,7 @@ from gleanery.functions.urls import resolve, site_root, url_key
 from gleanery.operators import chains, extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, lookup_join, salted_join
 from gleanery.schemas import MAX_LENGTHS, with_defaults
-from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
+from gleanery.plans.site import PAGE_ID, NextLinks, Site, set_aside, stack, usable_rules
 from gleanery.session import counted, write_out
 from gleanery.sources.catalog import Catalog
 from gleanery.sources.rules import BOOK, PATTERNS
@@ -22,6 +22,21 @@ LIST_FIELDS = ["title", "url"]
 INFO_FIELDS = ["title", "author", "intro", "length", "status", "cls", "image"]
 CHAPTER_FIELDS = ["title", "user", "content"]
 
+
+def heads_of(items: DataFrame, steps: DataFrame, rows: int) -> DataFrame:
+    """Wanted chapters (source, rule, pos, key) but those that follow an earlier one of their list by one next link.
+
+    Whatever the walk from such a chapter reaches, the walk from the earlier one reaches too, under the earlier position.  On
+    a list in reading order whose chapters are linked, one walk per book is left of as many as there are chapters.
+    ``steps``: next links (rule, key, next).
+    """
+    follows = salted_join(items, steps, PAGE_ID, "inner", ["source", "pos"], rows=rows).select(
+        "source", "rule", F.col("next").alias("key"), "pos")
+    first = follows.groupBy("source", *PAGE_ID).agg(F.min("pos").alias("_before"))
+    judged = items.join(first, ["source", *PAGE_ID], "left")
+    return judged.where(F.col("_before").isNull() | (F.col("_before") >= F.col("pos"))).drop("_before")
+
+
 def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
                   blacklist: DataFrame | None = None, replace_list: list[tuple[str, str]] = (),
                   as_of: Column | None = None, writer: str = "") -> None:
@@ -32,20 +47,18 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
 
     rules, bad_rules = usable_rules(rules, BOOK)
     aside.append(set_aside(bad_rules, "rule", F.col("reason"), url="ListUrl"))
-    rules = rules.select("rule", F.col("SiteDomain").alias("host"), site_root(F.col("SiteDomain")).alias("root"),
-                         "TargetSiteUrl", "ListUrl", *PATTERNS[BOOK])
+    rules = rules.select("rule", site_root(F.col("SiteDomain")).alias("root"), "TargetSiteUrl", "ListUrl", *PATTERNS[BOOK])
     site = Site.of(pages, rules)
 
     def link(rule_field: str) -> Column:
         return extract.next_link(F.col("html"), F.col(rule_field), F.col("root"), whole=True)
 
-    edges = write_out(site.own_pages().select(
-        *PAGE_ID, link("ListUrlNextRule").alias("next_list"), link("NextContentRule").alias("next_content"),
-        link("NextChapterUrlRule").alias("next_chapter")), "edges")
+    onward = NextLinks(site, {"next_list": link("ListUrlNextRule"), "next_content": link("NextContentRule"),
+                              "next_chapter": link("NextChapterUrlRule")})
 
     # Lists and the books on them.
     starts = rules.select(F.col("rule").alias("seed"), "rule", url_key(F.col("ListUrl")).alias("key"))
-    opened = site.open(walk_pages(starts, edges, "next_list").select(*PAGE_ID, "step"), "html", "root", "ListRule")
+    opened = site.open(onward.walk(starts, "next_list").select(*PAGE_ID, "step"), "html", "root", "ListRule")
     aside.append(set_aside(opened.where("found is null"), "list", "missing_page", url="key"))
     listed = extract.explode_matches(
         opened.where("found"), ["rule", "step", "root"],
@@ -109,11 +122,12 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
         "source", "rule", "pos", url_key(resolve(F.col("url"), F.col("root"))).alias("key")), "wanted-chapters")
 
     # Chapter pages, the pages that continue a chapter, the chapters that follow.
-    chapters = walk_pages(items.select(F.struct("source", "pos").alias("seed"), *PAGE_ID), edges, "next_chapter")
+    chapters = onward.walk(heads_of(items, onward.steps(items, "next_chapter"), n_items).select(
+        F.struct("source", "pos").alias("seed"), *PAGE_ID), "next_chapter")
     chapters = chapters.select("seed.*", *PAGE_ID, "step")
     n_chapters = chapters.count()
     starts = chapters.select(F.struct(*PAGE_ID).alias("seed"), *PAGE_ID).distinct()
-    parts = walk_pages(starts, edges, "next_content").withColumnRenamed("step", "part")
+    parts = onward.walk(starts, "next_content").withColumnRenamed("step", "part")
     content = extract.first_match(F.col("html"), F.col("ContentRule"), CHAPTER_FIELDS)
     parts = site.open(parts, "html", "ContentRule").withColumn("_content", content)
     parts = write_out(parts.select(

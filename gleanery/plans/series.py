@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import fixed_values as fixed, text, titles
 from gleanery.functions.text import first_filled
-from gleanery.functions.urls import host, resolve, url_key
+from gleanery.functions.urls import resolve, url_key
 from gleanery.operators import extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, relevant, salted_join
-from gleanery.plans.site import PAGE_ID, Site, set_aside, stack, usable_rules, walk_pages
+from gleanery.plans.site import PAGE_ID, NextLinks, Site, set_aside, stack, usable_rules
 from gleanery.schemas import with_defaults
 from gleanery.session import counted, write_out
 from gleanery.sources.catalog import Catalog
@@ -56,14 +56,14 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
 
     rules, bad_rules = usable_rules(rules, SERIES)
     aside.append(set_aside(bad_rules, "rule", F.col("reason"), url="ListPageUrl"))
-    rules = rules.select("rule", host(F.col("ListPageUrl")).alias("host"), "SiteName", "ListPageUrl",
+    rules = rules.select("rule", "SiteName", "ListPageUrl",
                          "SourceBaiduRule", "SourceKuaibRule", *PATTERNS[SERIES])
     site = Site.of(pages, rules)
 
     # Lists.
-    edges = site.own_pages().select(*PAGE_ID, extract.next_link(F.col("html"), F.col("NextListRule"), F.col("url")).alias("next"))
+    onward = NextLinks(site, {"next": extract.next_link(F.col("html"), F.col("NextListRule"), F.col("url"))})
     starts = rules.select(F.col("rule").alias("seed"), "rule", url_key(F.col("ListPageUrl")).alias("key"))
-    opened = site.open(walk_pages(starts, edges, "next").select(*PAGE_ID, "step"), "html", "url", "ListInfoRule")
+    opened = site.open(onward.walk(starts, "next").select(*PAGE_ID, "step"), "html", "url", "ListInfoRule")
     aside.append(set_aside(opened.where("found is null"), "list", "missing_page", url="key"))
     listed = extract.list_records(opened.where("found").withColumnRenamed("url", "base"),
                                   ["rule", "step", "base"], F.col("html"), F.col("ListInfoRule"))

@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.functions.urls import url_key
+from gleanery.functions.urls import host, url_key
 from gleanery.operators import chains, extract, quarantine
-from gleanery.operators.skew import is_small, salted_join
-from gleanery.session import write_out
+from gleanery.operators.skew import is_small, lookup_join, salted_join
+from gleanery.session import counted, write_out
 from gleanery.sources import pages as page_source
 from gleanery.sources.rules import PATTERNS, compile_rules
 
@@ -39,7 +39,7 @@ def usable_rules(rules: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class Site:
-    """The pages of a pass, one per URL, and the rules (with ``rule``, ``host``)."""
+    """The pages of a pass, one per URL, and the rules (with ``rule``)."""
 
     pages: DataFrame
     rules: DataFrame
@@ -50,9 +50,10 @@ class Site:
         keyed = page_source.latest_pages(pages).withColumn("key", url_key(F.col("url")))
         return cls(keyed, rules, is_small(rules))
 
-    def own_pages(self) -> DataFrame:
-        """Every rule with the pages of its host."""
-        return self._with_rules(page_source.with_host(self.pages), self.rules, "host", ["page_id"])
+    def pages_of(self, hosts: DataFrame) -> DataFrame:
+        """Rules with all pages of the hosts that are given for them (rule, host)."""
+        rules = lookup_join(self.rules, hosts, ["rule"], "inner", ["rule"])
+        return page_source.rule_pages(page_source.with_host(self.pages), rules)
 
     def open(self, links: DataFrame, *columns: str) -> DataFrame:
         """Links (rule, key, ...) with the page they point to, whatever its host.
@@ -84,3 +85,42 @@ def walk_pages(seeds: DataFrame, edges: DataFrame, link: str) -> DataFrame:
     hops = edges.where(F.col(link).isNotNull()).select(
         node, F.struct("rule", url_key(F.col(link)).alias("key")).alias("next"))
     return chains.walk(seeds.select("seed", node), hops).select("seed", "node.*", "step")
+
+
+class NextLinks:
+    """The next links of all pages that walks can meet, whatever their hosts.
+
+    ``links`` gives the column of each kind of link.  A rule is held against the pages of a host once a walk
+    can get there: the hosts of the seeds first, then those that links lead to.  Rounds
+    grow with the hosts in a row, not with the pages.
+    """
+
+    def __init__(self, site: Site, links: dict[str, Column]) -> None:
+        self.site, self.links = site, links
+        self.hosts: list[DataFrame] = []
+        self.edges: list[DataFrame] = []
+
+    def walk(self, seeds: DataFrame, link: str) -> DataFrame:
+        """``walk_pages`` over the links of one kind."""
+        self._reach(seeds.select("rule", host(F.col("key")).alias("host")))
+        return walk_pages(seeds, stack(self.edges), link)
+
+    def steps(self, pages: DataFrame, link: str) -> DataFrame:
+        """(rule, key, next) of the next links of one kind, on the hosts of ``pages`` and beyond."""
+        self._reach(pages.select("rule", host(F.col("key")).alias("host")))
+        return stack(self.edges).groupBy(*PAGE_ID).agg(F.min(url_key(F.col(link))).alias("next")).where("next is not null")
+
+    def _reach(self, met: DataFrame) -> None:
+        while True:
+            new = met.where("host <> ''").distinct()
+            if self.hosts:
+                new = new.join(stack(self.hosts), ["rule", "host"], "left_anti")
+            new, count = counted(new, "hosts")
+            if self.edges and not count:
+                return
+            self.hosts.append(new)
+            found = write_out(self.site.pages_of(new).select(
+                *PAGE_ID, *[link.alias(name) for name, link in self.links.items()]), "edges")
+            self.edges.append(found)
+            met = found.select("rule", F.explode(F.array(*self.links)).alias("link")).select(
+                "rule", host(F.col("link")).alias("host"))

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Accept every charset of the JVM in decode(), legacy ones included.
     "spark.sql.legacy.javaCharsets": "true",
+    # A malformed byte becomes a replacement character.
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gleanery.functions.urls import host, url_key
 from gleanery.operators.skew import lookup_join
 from gleanery.schemas import PAGE
-from gleanery.session import write_out
+from gleanery.session import counted, write_out
 
-# Charsets that decode() takes without the legacy setting.
-BUILT_IN_CHARSETS = ["utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"]
+# Pages in these charsets use characters of a superset.
+SUPERSETS = {"gb2312": "gb18030", "gbk": "gb18030"}
+# With these, decode() takes every charset of the JVM and puts U+FFFD for malformed bytes.
+JVM_SETTINGS = ["spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -31,43 +33,56 @@ def read_raw(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
 def _legacy_decode(content: Column, charset: Column) -> Column:
     @F.pandas_udf("string")
     def decoded(data: pd.Series, names: pd.Series) -> pd.Series:
-        # gb2312 pages use characters of its superset.
-        superset = {"gb2312": "gb18030", "gbk": "gb18030"}
-        return pd.Series([
-            None if d is None else bytes(d).decode(superset.get(n.lower(), n), "replace")
-            for d, n in zip(data, names)
-        ])
+        def one(data: bytes | None, name: str) -> str | None:
+            try:
+                return None if data is None else bytes(data).decode(name, "replace")
+            except LookupError:
+                return None
+
+        return pd.Series([one(d, n) for d, n in zip(data, names)], dtype=object)
 
     return decoded(content, charset)
 
 
 def decode_pages(raw: DataFrame, content: str = "content", charset: str = "charset") -> DataFrame:
-    """Raw bytes to the text column ``html`` by the charset of each row.
+    """Raw bytes to the text column ``html`` by the charset of each row; none counts as UTF-8.
 
-    Standard charsets, and all others where the session allows them, are
-    decoded in the JVM; only the rest takes the Arrow path.
+    A malformed byte becomes U+FFFD.  An unknown charset gives a null ``html``: such rows are for
+    the quarantine.  UTF-8, and all charsets where the session allows it, is decoded in the JVM; only the rest takes
+    the Arrow path.
     """
     name = F.lower(F.coalesce(F.nullif(F.col(charset), F.lit("")), F.lit("utf-8")))
     named = raw.withColumn(charset, name)
-    in_jvm = F.call_function("decode", F.col(content), F.col(charset))
-    if raw.sparkSession.conf.get("spark.sql.legacy.javaCharsets") == "true":
-        return named.withColumn("html", in_jvm).drop(content)
-    common = F.col(charset).isin(BUILT_IN_CHARSETS)
-    direct = named.where(common).withColumn("html", in_jvm)
-    legacy = named.where(~common).withColumn("html", _legacy_decode(F.col(content), F.col(charset)))
+    wide = F.lit(None)
+    for narrow, superset in SUPERSETS.items():
+        wide = F.when(F.col(charset) == narrow, superset).otherwise(wide)
+    wide = F.coalesce(wide, F.col(charset))
+    if all(raw.sparkSession.conf.get(s, "false") == "true" for s in JVM_SETTINGS):
+        known = F.try_reflect(F.lit("java.nio.charset.Charset"), F.lit("isSupported"), wide) == "true"
+        decoded = F.when(known, F.call_function("decode", F.col(content), wide))
+        return named.withColumn("html", decoded).drop(content)
+    common = F.col(charset) == "utf-8"
+    direct = named.where(common).withColumn("html", F.make_valid_utf8(F.col(content).cast("string")))
+    legacy = named.where(~common).withColumn("html", _legacy_decode(F.col(content), wide))
     return direct.unionByName(legacy).drop(content)
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
-    """One page per URL, the one with the highest id.
+    """One page per URL, the one with the highest id; of rows that share an id as well, one.
 
-    Only the ids of outdated pages are joined; page text is not sorted.
+    Only the ids of outdated and of repeated pages are joined; page text is not sorted.
     """
     keys = pages.select("page_id", url_key(F.col("url")).alias("_url"))
     newest = keys.groupBy("_url").agg(F.max("page_id").alias("_newest"), F.count("*").alias("_copies"))
     repeated = newest.where("_copies > 1").select("_url", "_newest")
     outdated = write_out(keys.join(repeated, "_url").where("page_id < _newest").select("page_id"), "outdated")
-    return lookup_join(pages, outdated, ["page_id"], "left_anti", ["page_id"])
+    pages = lookup_join(pages, outdated, ["page_id"], "left_anti", ["page_id"])
+    same, rows = counted(keys.groupBy("page_id").count().where("count > 1").select("page_id"), "same-id")
+    if not rows:
+        return pages
+    twice = lookup_join(pages, same, ["page_id"], "left_semi", ["page_id"])
+    once = lookup_join(pages, same, ["page_id"], "left_anti", ["page_id"])
+    return once.unionByName(twice.withColumn("_url", url_key(F.col("url"))).dropDuplicates(["page_id", "_url"]).drop("_url"))
 
 
 def rule_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:

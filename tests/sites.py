@@ -79,15 +79,15 @@ def book_pages(spark, *, extra_chapters=(), without=()):
 SERIES = {
     "Name": "series", "SiteName": "某影院", "Encoding": "gb2312", "ListPageUrl": "http://s.example/new/list.html",
     "NextListRule": r'<a rel="next" href="(?<key>.*?)">',
-    "ListInfoRule": r'<span class="li2"><a href="(?<url>.*?)" title=".*?" target="_blank">(?<title>.*?)</a></span>',
+    "ListInfoRule": r'<h3 class="film"><a href=(?<url>\S*?) lang=zh>(?<title>.*?)</a></h3>',
     "InfoRule": r'<a href="/c">(?<class>.*?)</a>[\s\S]*?<img src="(?<image>.*?)"/>[\s\S]*?《(?<title>.*?)》[\s\S]*?'
                 r'类型: (?<class>.*?) 地区: (?<location>.*?) <p>(?<intro>[\s\S]*?)</p>',
     "KuaibAreaRule": r"<h2>qvod</h2>(?<key>[\s\S]*?)</ul>",
     "BaiduAreaRule": r"<h2>baidu</h2>(?<key>[\s\S]*?)</ul>",
     "KuaibDramaRule": r"<li q='(?<url>.*?)'>(?<title>.*?)</li>",
-    "BaiduDramaRule": r"<li><a title='.*?' href='(?<playurl>.*?)' target=\"_blank\">(?<title>.*?)</a></li>",
+    "BaiduDramaRule": r"<em data-play='(?<playurl>.*?)'>(?<title>.*?)</em>",
     "DramaPageKuaibRule": "",
-    "DramaPageBaiduRule": r'<!-- player -->[\s]*?<script type="text/javascript" src="(?<source>.*?)"></script>',
+    "DramaPageBaiduRule": r'<object id="box">\s*<param value="(?<source>.*?)">',
     "SourceKuaibRule": "", "SourceBaiduRule": r"{title}\$(?<key>.*?)\$bdhd",
 }
 
@@ -97,7 +97,7 @@ def series_rules(spark, **changes):
 
 
 def listed(url, title):
-    return f'<span class="li2"><a href="{url}" title="{title}" target="_blank">{title}</a></span>'
+    return f'<h3 class="film"><a href={url} lang=zh>{title}</a></h3>'
 
 
 def series_info(title, area, image="../i/x.jpg", first="动作", second="喜剧"):
@@ -107,7 +107,7 @@ def series_info(title, area, image="../i/x.jpg", first="动作", second="喜剧"
 
 def played(*links):
     return "<h2>baidu</h2>" + "".join(
-        f"<li><a title='x' href='{u}' target=\"_blank\">{t}</a></li>" for u, t in links) + "</ul>"
+        f"<em data-play='{u}'>{t}</em>" for u, t in links) + "</ul>"
 
 
 def inline(*links):
@@ -128,7 +128,7 @@ def series_pages(spark, source=SOURCE):
         "http://s.example/s/2.html": series_info("老片", inline(("qvod://9|9|x.rmvb", "上"), ("qvod://8|8|y.rmvb", ""))),
         "http://s.example/s/3.html": series_info("x", ""),
         "http://s.example/s/4.html": "<h1>no match</h1>",
-        "http://s.example/p/1.html": '<!-- player -->\n<script type="text/javascript" src="http://cdn.example/1.js"></script>',
+        "http://s.example/p/1.html": '<object id="box">\n<param value="http://cdn.example/1.js">',
         "http://s.example/p/2.html": "never opened",
         "http://cdn.example/1.js": source,
     }

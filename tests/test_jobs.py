@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sites
-from gleanery.plans.books import harvest_books
+from gleanery.plans.books import harvest_books, heads_of
 from gleanery.plans.series import harvest_series
 from gleanery.sources.catalog import Catalog
 
@@ -159,3 +159,47 @@ def test_numbers_are_claimed_once(spark, tmp_path):
     assert catalog.table("class").count() == 2  # batch 1 is not committed, batch 2 counts once
     with pytest.raises(ValueError):
         catalog.commit(2, empty, "c")
+
+
+def item_pages(spark, pages):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages.items())], sites.PAGE)
+
+
+def test_bad_patterns_stop_no_other_rule(spark, tmp_path):
+    catalog = Catalog.create(spark, str(tmp_path))
+    bad = {"python name": "(?P<title>x)", "branch reset": "(?|(x)|(y))", "open class": "[a", "subtraction": "[a-z-[x]]+",
+           "no such group": r"\k<x>"}
+    rules = sites.book_rules(spark)
+    for name, pattern in bad.items():
+        rules = rules.unionByName(sites.book_rules(spark, Name=name, ContentRule=pattern))
+    harvest_books(catalog, rules, sites.book_pages(spark), 1, as_of=at(1))
+    assert catalog.table("chapter").count() == 5
+    assert rows(catalog.table("quarantine").where("step = 'rule'"), "rule", "reason") == sorted(
+        (name, "bad_pattern:ContentRule") for name in bad)
+
+
+def test_walks_go_on_from_other_hosts(spark, tmp_path):
+    catalog = Catalog.create(spark, str(tmp_path))
+    far, farther = "http://c.example:8080", "http://d.example"
+    more = {
+        f"{far}/2.html": sites.chapter("far", "two", onward=f"{far}/3.html", more=f"{farther}/2b.html"),
+        f"{farther}/2b.html": sites.chapter("", " and more", more=f"{farther}/2c.html"),
+        f"{farther}/2c.html": sites.chapter("", " to the end"),
+        f"{far}/3.html": sites.chapter("farther", "three"),
+    }
+    pages = {r.url: r.html for r in sites.book_pages(spark).where("page_id >= 0").collect()}
+    pages["http://b.example/a/3.html"] = sites.chapter("near", "one", onward=f"{far}/2.html")
+    harvest_books(catalog, sites.book_rules(spark), item_pages(spark, {**pages, **more}), 1, as_of=at(1))
+    texts = catalog.table("chapter_content").select("title", "content").where("title in ('near', 'far', 'farther')")
+    assert rows(texts, "title", "content") == [("far", "two and more to the end"), ("farther", "three"), ("near", "one")]
+
+
+def test_listed_chapters_that_are_linked_are_walked_once(spark):
+    n = 50
+    items = spark.createDataFrame([("s", "r", i, f"http://a/{i}") for i in range(n)], "source string, rule string, pos int, key string")
+    steps = spark.createDataFrame([("r", f"http://a/{i}", f"http://a/{i + 1}") for i in range(n) if i != 30],
+                                  "rule string, key string, next string")
+    assert rows(heads_of(items, steps, n), "pos") == [(0,), (31,)]
+    # A link back to an earlier chapter takes no seed away.
+    back = spark.createDataFrame([("r", "http://a/9", "http://a/2")], "rule string, key string, next string")
+    assert heads_of(items, back, n).count() == n

@@ -261,14 +261,23 @@ def test_latest_page_counts(spark):
     assert rows(page_source.latest_pages(pages), "page_id") == [(2,), (5,)]
 
 
+def test_copies_of_a_page_with_one_id_count_once(spark):
+    pages = spark.createDataFrame([(1, "http://a/x", "old"), (5, "http://a/x", "same"), (5, "http://a:80/x", "same"),
+                                   (5, "http://a/y", "y")], "page_id long, url string, html string")
+    assert rows(page_source.latest_pages(pages), "page_id", "html") == [(5, "same"), (5, "y")]
+
+
 @pytest.mark.parametrize("legacy", ["true", "false"])
 def test_charsets(spark, legacy):
     raw = spark.createDataFrame([
         (1, "gb2312", bytearray("中文".encode("gb2312"))), (2, "utf-8", bytearray("é".encode())),
-        (3, "", bytearray(b"x")), (4, "utf-16", bytearray("é".encode("utf-16")))], "id long, charset string, content binary")
+        (3, "", bytearray(b"x")), (4, "utf-16", bytearray("é".encode("utf-16"))),
+        (5, "GB2312", bytearray("镕".encode("gbk"))), (6, "utf-8", bytearray(b"a\xffb")), (7, "no-such", bytearray(b"x")),
+        (8, "us-ascii", bytearray(b"a\xe9b")), (9, None, None)], "id long, charset string, content binary")
     spark.conf.set("spark.sql.legacy.javaCharsets", legacy)
     try:
-        assert rows(page_source.decode_pages(raw), "id", "html") == [(1, "中文"), (2, "é"), (3, "x"), (4, "é")]
+        assert rows(page_source.decode_pages(raw), "id", "html") == [
+            (1, "中文"), (2, "é"), (3, "x"), (4, "é"), (5, "镕"), (6, "a\ufffdb"), (7, None), (8, "a\ufffdb"), (9, None)]
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
