@@ -244,26 +244,33 @@ class Join:
             return near
         nodes = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
         width, num, den = self.width, self.num, self.den
-        texts = semi_by_id(self.docs.select("doc_id", "text"), nodes, "doc_id", "nodes")
-        sets = write_out(with_made(
-            texts, ["doc_id"], "text", T.StructType([T.StructField("set", T.BinaryType())]),
-            lambda _, t: {"set": pa.array([shingle_set(x, width).tobytes() for x in t], pa.binary())}).select("row.doc_id", "made.set"), "sets")
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
-        if rows <= SMALL_ROWS:  # the pairs go to the sets; each set is moved once per pair
+        width, num, den = self.width, self.num, self.den
+        # Texts are moved, not sets: they shrink to a half when written, hashes don't.
+        texts = write_out(semi_by_id(self.docs.select("doc_id", "text"), nodes, "doc_id", "nodes"), "texts")
+        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+        if rows <= SMALL_ROWS:  # the pairs go to the texts; each text is moved once per pair
             both = side("a").join(F.broadcast(near), "a").join(side("b").join(F.broadcast(near), "b"), ["a", "b"])
         else:
             both = spread_fetch(spread_fetch(near, "a", "b", side("a"), self.salts), "b", "a", side("b"), self.salts)
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = [(None, None), (None, None)]  # text and set of either side; rows come sorted by one of them
+
+            def own(side: int, text: pa.Scalar) -> np.ndarray:
+                given = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if last[side][0] != given:
+                    last[side] = given, shingle_set(given, width)
+                return last[side][1]
+
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                for a, b in zip(batch.column(2), batch.column(3)):
+                    x, y = own(0, a), own(1, b)
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * shared >= num * (len(x) + len(y) - shared))
+                    keep.append(shared > 0 and den * shared >= num * (len(x) + len(y) - shared))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        return write_out(both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "links")
+        return write_out(both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct(), "links")
 
     def more(self, links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links with those among ``pairs``, and the components."""
