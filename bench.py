@@ -20,7 +20,7 @@ from gleanery.session import build_session  # noqa: E402
 
 HEADLINE = ["extract_links", "content_filter", "contains_match", "new_episodes", "resume_after_last",
             "take_until_known", "stitch_content", "media_links", "update_last_pointer", "first_item_per_group",
-            "harvest_overview"]
+            "harvest_overview", "book_job", "series_job"]
 RUNS = 3
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A key is hot from this many rows on; every HOT_ROWS of it form one share.
 HOT_ROWS = 100_000
-# Bounds of the table of hot keys, which is broadcast: 1024 rows of 12 bytes.
-# A key outside the first 1024 holds less than a thousandth of all rows.
-MAX_HOT_KEYS = 1024
+# Bounds of the table of hot keys, which is broadcast: 65,536 rows of 12 bytes.
+# A key outside the first 65,536 holds less than that part of all rows, which is no more than a task's fair share.
+MAX_HOT_KEYS = 1 << 16
 MAX_SHARES = 4096
 # A table is broadcast only if a check finds it within these bounds.
 BROADCAST_ROWS = 10_000

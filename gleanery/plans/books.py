@@ -40,14 +40,18 @@ def heads_of(items: DataFrame, steps: DataFrame, rows: int) -> DataFrame:
 def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
                   blacklist: DataFrame | None = None, replace_list: list[tuple[str, str]] = (),
                   as_of: Column | None = None, writer: str = "") -> None:
-    """Harvest one crawl pass into batch ``batch`` of the catalog."""
+    """Harvest one crawl pass into batch ``batch`` of the catalog.
+
+    ``pages`` hold page_id, url and html, or, as bytes, content: these are decoded by the charset of the rule that reads them.
+    """
     local_time = F.convert_timezone(F.current_timezone(), F.lit("+08:00"), F.localtimestamp())
     now = (local_time if as_of is None else as_of).cast("timestamp_ntz")
     aside: list[DataFrame] = []
 
-    rules, bad_rules = usable_rules(rules, BOOK)
+    rules, bad_rules = usable_rules(rules, BOOK, pages)
     aside.append(set_aside(bad_rules, "rule", F.col("reason"), url="ListUrl"))
-    rules = rules.select("rule", site_root(F.col("SiteDomain")).alias("root"), "TargetSiteUrl", "ListUrl", *PATTERNS[BOOK])
+    rules = rules.select("rule", "_charset", site_root(F.col("SiteDomain")).alias("root"), "TargetSiteUrl", "ListUrl",
+                         *PATTERNS[BOOK])
     site = Site.of(pages, rules)
 
     def link(rule_field: str) -> Column:

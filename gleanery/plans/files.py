@@ -39,13 +39,18 @@ def rule_roundtrip(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16be' ELSE 'windows-1252' END AS charset, html
+SELECT page_id, CASE WHEN page_id % 11 = 5 THEN 'x-unheard-of' WHEN page_id % 3 = 0 THEN 'utf-8'
+                     WHEN page_id % 3 = 1 THEN 'utf-16be' ELSE 'windows-1252' END AS charset,
+       CASE WHEN page_id % 11 = 5 THEN NULL WHEN page_id % 6 = 0 THEN html || chr(65533) ELSE html END AS html
 FROM pages""")
 def page_decode(spark, sf_dir):
-    charset = F.when(F.col("page_id") % 3 == 0, "utf-8").when(F.col("page_id") % 3 == 1, "utf-16be").otherwise(
-        "windows-1252")
+    """Pages in three charsets; every second page in UTF-8 ends in a stray byte, some charsets are unknown."""
+    charset = F.when(F.col("page_id") % 11 == 5, "x-unheard-of").when(F.col("page_id") % 3 == 0, "utf-8").when(
+        F.col("page_id") % 3 == 1, "utf-16be").otherwise("windows-1252")
     # The letters of the pages have the same bytes in Latin-1 and windows-1252.
-    content = (F.when(charset == "utf-8", F.encode("html", "UTF-8"))
+    utf8 = F.encode("html", "UTF-8")
+    stray = F.concat(utf8, F.unhex(F.lit("FF")))
+    content = (F.when(charset == "utf-8", F.when(F.col("page_id") % 6 == 0, stray).otherwise(utf8))
                .when(charset == "utf-16be", F.encode("html", "UTF-16BE")).otherwise(F.encode("html", "ISO-8859-1")))
     raw = pages_of(spark, sf_dir).select("page_id", charset.alias("charset"), content.alias("content"))
     return page_source.decode_pages(raw)
@@ -76,12 +81,12 @@ def stream_pages(spark, sf_dir):
 @query("SELECT p_size AS movie_id, p_name AS title, min(p_partkey) % 2 AS first_file FROM part WHERE false GROUP BY ALL"
        " UNION ALL SELECT CAST(p_size AS BIGINT), p_name, min(p_partkey % 2) FROM part GROUP BY ALL")
 def stream_dedup(spark, sf_dir):
-    """Two files that overlap are polled one by one; a known title is not inserted again."""
+    """Files that overlap are polled one by one; a known title is not inserted again."""
     folder = new_path(spark, "landing")
     parts = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_size").cast("long").alias("movie_id"), F.col("p_name").alias("title"))
     for n in (0, 1):
-        parts.where(F.col("p_partkey") % 2 == n).coalesce(1).write.mode("append").parquet(folder)
+        parts.where(F.col("p_partkey") % 2 == n).write.mode("append").parquet(folder)
     catalog = Catalog.create(spark, new_path(spark, "catalog"), ["episode"])
 
     def work(batch_rows, batch):

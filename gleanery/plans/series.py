@@ -44,7 +44,7 @@ def area_items(html: Column, kind: str) -> Column:
 
 def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
                    as_of: Column | None = None, older: bool = False, writer: str = "") -> None:
-    """Harvest one crawl pass into batch ``batch`` of the catalog.
+    """Harvest one crawl pass into batch ``batch`` of the catalog; ``pages`` as in ``harvest_books``.
 
     ``older`` gives the results of the older version: stored series are found
     by equal title instead of by a title that contains the harvested one,
@@ -54,9 +54,9 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     now = (F.current_timestamp() if as_of is None else as_of).cast("timestamp_ntz")
     aside: list[DataFrame] = []
 
-    rules, bad_rules = usable_rules(rules, SERIES)
+    rules, bad_rules = usable_rules(rules, SERIES, pages)
     aside.append(set_aside(bad_rules, "rule", F.col("reason"), url="ListPageUrl"))
-    rules = rules.select("rule", "SiteName", "ListPageUrl",
+    rules = rules.select("rule", "_charset", "SiteName", "ListPageUrl",
                          "SourceBaiduRule", "SourceKuaibRule", *PATTERNS[SERIES])
     site = Site.of(pages, rules)
 

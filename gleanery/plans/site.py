@@ -12,7 +12,7 @@ from gleanery.operators import chains, extract, quarantine
 from gleanery.operators.skew import is_small, lookup_join, salted_join
 from gleanery.session import counted, write_out
 from gleanery.sources import pages as page_source
-from gleanery.sources.rules import PATTERNS, compile_rules
+from gleanery.sources.rules import CHARSETS, PATTERNS, compile_rules
 
 # A page as a rule sees it.
 PAGE_ID = ["rule", "key"]
@@ -30,10 +30,18 @@ def set_aside(rows: DataFrame, step: str, reason: Column | str, url: str = "url"
         rows.select("rule", F.col(url).alias("url"), title.alias("title"), reason.alias("reason")), step)
 
 
-def usable_rules(rules: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(compiled rules, rules with a bad pattern): one bad rule stops no other."""
-    compiled = write_out(compile_rules(rules.na.fill(""), kind).withColumn(
-        "reason", extract.pattern_error(PATTERNS[kind])), "rules").withColumnRenamed("Name", "rule")
+def is_raw(pages: DataFrame) -> bool:
+    """Whether pages come as bytes (``content``), to be decoded by the charset of the rule that reads them."""
+    return "html" not in pages.columns
+
+
+def usable_rules(rules: DataFrame, kind: str, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(compiled rules, rules with a bad pattern or, for raw pages, an unknown charset): one bad rule stops no other."""
+    field = CHARSETS[kind]
+    bad_charset = F.when(F.lit(is_raw(pages)) & ~page_source.is_charset(F.col(field)), f"bad_charset:{field}")
+    compiled = compile_rules(rules.na.fill(""), kind).withColumn(
+        "reason", F.coalesce(extract.pattern_error(PATTERNS[kind]), bad_charset))
+    compiled = write_out(compiled.withColumn("_charset", F.col(field)), "rules").withColumnRenamed("Name", "rule")
     return compiled.where("reason is null").drop("reason"), compiled.where("reason is not null")
 
 
@@ -53,7 +61,10 @@ class Site:
     def pages_of(self, hosts: DataFrame) -> DataFrame:
         """Rules with all pages of the hosts that are given for them (rule, host)."""
         rules = lookup_join(self.rules, hosts, ["rule"], "inner", ["rule"])
-        return page_source.rule_pages(page_source.with_host(self.pages), rules)
+        return self._as_text(page_source.rule_pages(page_source.with_host(self.pages), rules))
+
+    def _as_text(self, read: DataFrame) -> DataFrame:
+        return page_source.decode_pages(read, charset="_charset") if is_raw(self.pages) else read
 
     def open(self, links: DataFrame, *columns: str) -> DataFrame:
         """Links (rule, key, ...) with the page they point to, whatever its host.
@@ -61,6 +72,8 @@ class Site:
         ``found`` is null if the page is missing.  To look at that alone does
         not read any page text.
         """
+        raw = "html" in columns and is_raw(self.pages)
+        columns = (*columns, "content", "_charset") if raw else columns
         of_page = [c for c in columns if c in self.pages.columns]
         of_rule = [c for c in columns if c in self.rules.columns]
         pages = self.pages.select("key", F.lit(True).alias("found"), *of_page)
@@ -71,7 +84,8 @@ class Site:
             opened = links.join(pages, "key", "left")
         else:
             opened = salted_join(links, pages, ["key"], "left", links.columns)
-        return self._with_rules(opened, self.rules.select("rule", *of_rule), "rule", links.columns)
+        opened = self._with_rules(opened, self.rules.select("rule", *of_rule), "rule", links.columns)
+        return self._as_text(opened).drop("_charset") if raw else opened
 
     def _with_rules(self, rows: DataFrame, rules: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
         if self.small:

@@ -44,6 +44,24 @@ def _legacy_decode(content: Column, charset: Column) -> Column:
     return decoded(content, charset)
 
 
+def charset_name(charset: Column) -> Column:
+    return F.lower(F.coalesce(F.nullif(charset, F.lit("")), F.lit("utf-8")))
+
+
+def superset(charset: Column) -> Column:
+    """The charset that pages in ``charset`` are read by."""
+    wide = F.lit(None)
+    for narrow, wider in SUPERSETS.items():
+        wide = F.when(charset == narrow, wider).otherwise(wide)
+    return F.coalesce(wide, charset)
+
+
+def is_charset(charset: Column) -> Column:
+    """Whether the JVM knows a charset; no name counts as UTF-8."""
+    supported = F.try_reflect(F.lit("java.nio.charset.Charset"), F.lit("isSupported"), superset(charset_name(charset)))
+    return F.coalesce(supported == "true", F.lit(False))
+
+
 def decode_pages(raw: DataFrame, content: str = "content", charset: str = "charset") -> DataFrame:
     """Raw bytes to the text column ``html`` by the charset of each row; none counts as UTF-8.
 
@@ -51,15 +69,10 @@ def decode_pages(raw: DataFrame, content: str = "content", charset: str = "chars
     the quarantine.  UTF-8, and all charsets where the session allows it, is decoded in the JVM; only the rest takes
     the Arrow path.
     """
-    name = F.lower(F.coalesce(F.nullif(F.col(charset), F.lit("")), F.lit("utf-8")))
-    named = raw.withColumn(charset, name)
-    wide = F.lit(None)
-    for narrow, superset in SUPERSETS.items():
-        wide = F.when(F.col(charset) == narrow, superset).otherwise(wide)
-    wide = F.coalesce(wide, F.col(charset))
+    named = raw.withColumn(charset, charset_name(F.col(charset)))
+    wide = superset(F.col(charset))
     if all(raw.sparkSession.conf.get(s, "false") == "true" for s in JVM_SETTINGS):
-        known = F.try_reflect(F.lit("java.nio.charset.Charset"), F.lit("isSupported"), wide) == "true"
-        decoded = F.when(known, F.call_function("decode", F.col(content), wide))
+        decoded = F.when(is_charset(F.col(charset)), F.call_function("decode", F.col(content), wide))
         return named.withColumn("html", decoded).drop(content)
     common = F.col(charset) == "utf-8"
     direct = named.where(common).withColumn("html", F.make_valid_utf8(F.col(content).cast("string")))
@@ -74,8 +87,9 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     """
     keys = pages.select("page_id", url_key(F.col("url")).alias("_url"))
     newest = keys.groupBy("_url").agg(F.max("page_id").alias("_newest"), F.count("*").alias("_copies"))
-    repeated = newest.where("_copies > 1").select("_url", "_newest")
-    outdated = write_out(keys.join(repeated, "_url").where("page_id < _newest").select("page_id"), "outdated")
+    repeated = write_out(newest.where("_copies > 1").select("_url", "_newest"), "repeated")
+    older = lookup_join(keys, repeated, ["_url"], "inner", ["page_id"]).where("page_id < _newest")
+    outdated = write_out(older.select("page_id"), "outdated")
     pages = lookup_join(pages, outdated, ["page_id"], "left_anti", ["page_id"])
     same, rows = counted(keys.groupBy("page_id").count().where("count > 1").select("page_id"), "same-id")
     if not rows:

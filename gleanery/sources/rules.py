@@ -9,6 +9,8 @@ from gleanery.schemas import BOOK_RULE, SERIES_RULE
 
 BOOK, SERIES = "BookRule", "MovieRule"
 SCHEMAS = {BOOK: BOOK_RULE, SERIES: SERIES_RULE}
+# The field that names the charset of a site's pages.
+CHARSETS = {BOOK: "CharSet", SERIES: "Encoding"}
 PATTERNS = {
     BOOK: ["ListUrlNextRule", "ListRule", "InfoRule", "ChapterListUrlRule", "ChapterListRule", "ContentRule",
            "NextContentRule", "NextChapterUrlRule"],

@@ -194,6 +194,18 @@ def test_walks_go_on_from_other_hosts(spark, tmp_path):
     assert rows(texts, "title", "content") == [("far", "two and more to the end"), ("farther", "three"), ("near", "one")]
 
 
+def test_raw_pages_are_decoded_by_the_charset_of_the_rule(spark, tmp_path):
+    pages = sites.book_pages(spark, without=())
+    raw = spark.createDataFrame([(r.page_id, r.url, bytearray(r.html.encode("gb18030"))) for r in pages.collect()],
+                                "page_id bigint, url string, content binary")
+    rules = sites.book_rules(spark, CharSet="gb2312").unionByName(sites.book_rules(spark, Name="odd", CharSet="x-unheard-of"))
+    decoded = Catalog.create(spark, str(tmp_path))
+    harvest_books(decoded, rules, raw, 1, as_of=at(1))
+    assert rows(decoded.table("chapter_content"), "chapter_id", "content") == [
+        (1, "b one"), (2, "b one more"), (3, "一&二三"), (4, "abx"), (5, "third")]
+    assert rows(decoded.table("quarantine").where("step = 'rule'"), "rule", "reason") == [("odd", "bad_charset:CharSet")]
+
+
 def test_listed_chapters_that_are_linked_are_walked_once(spark):
     n = 50
     items = spark.createDataFrame([("s", "r", i, f"http://a/{i}") for i in range(n)], "source string, rule string, pos int, key string")
