@@ -1,7 +1,8 @@
 """Substring dedup by sliding runs of sentences.
 
-From each sentence on, the shortest run of consecutive sentences with at least ``RUN_WORDS`` words, and at least ``RUN_SENTENCES``
-sentences or ``LONG_WORDS`` words, is hashed.  Equal runs meet in a global join; of each, the occurrence
+A run is a number of consecutive sentences with at least ``RUN_WORDS`` words, and at least ``RUN_SENTENCES`` sentences or
+``LONG_WORDS`` words.  The shortest run that begins at each sentence and the shortest that ends there are hashed; within a longer
+run that repeats, these cover every sentence, so that the result is that of all runs.  Equal runs meet in a global join; of each, the occurrence
 in the least document, at the first place, is the first.  Sentences that any other occurrence covers are removed.
 
 Runs are counted by their hash below the shuffle, so that a passage which a third of all documents share costs no task more than
@@ -55,23 +56,32 @@ def keys_of(text: str) -> list[list[bytes]]:
     return [w for part in END.split(text) if (w := part.encode().translate(ALNUM).split())]
 
 
-def runs_of(sentences: list[list[bytes]], run_sentences: int, run_words: int, long_words: int) -> list[tuple[int, int]]:
-    """(first, number) of the run that begins at each sentence, where the text has enough after it."""
+def shortest(sizes: list[int], run_sentences: int, run_words: int, long_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the shortest run that begins at each sentence, of sizes in words, where enough come after it."""
     out, end, words = [], 0, 0
-    for start in range(len(sentences)):
+    for start in range(len(sizes)):
         if end < start:
             end, words = start, 0
-        while end < len(sentences) and (
+        while end < len(sizes) and (
                 words < run_words or end - start < run_sentences and words < long_words):
-            words += len(sentences[end])
+            words += sizes[end]
             end += 1
         if words >= run_words and (end - start >= run_sentences or words >= long_words):
-            out.append((start, end - start))
+            out.append((start, end))
         if end > start:
-            words -= len(sentences[start])
+            words -= sizes[start]
     return out
 
 
+def runs_of(sentences: list[list[bytes]], run_sentences: int, run_words: int, long_words: int) -> list[tuple[int, int]]:
+    """(first, number) of the shortest runs that begin, and of those that end, at each sentence; each run once."""
+    sizes = [len(w) for w in sentences]
+    limits = run_sentences, run_words, long_words
+    n = len(sizes)
+    ending = [(n - end, n - start) for start, end in shortest(sizes[::-1], *limits)]
+    return [(start, end - start) for start, end in sorted({*shortest(sizes, *limits), *ending})]
+
+
 def tie_of(text: bytes | None) -> int:
     return int(np.int32(np.uint32(xxhash.xxh3_64_intdigest(text or b"") & 0xFFFFFFFF)))
 

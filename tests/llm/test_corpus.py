@@ -177,6 +177,45 @@ def test_spans_of_all_documents(docs, rows):
     assert {r["doc_id"]: r["n_removed"] for r in spans.report(docs).where("n_removed > 0").collect()} == brute_spans(rows)
 
 
+def brute_all_runs(rows):
+    """Like brute_spans, over all runs."""
+    first, spots, ids = {}, {}, {}
+    for doc, text in sorted(rows, key=lambda r: (r[0], spans.tie_of((r[1] or "").encode()))):
+        keys = [tuple(w) for w in spans.keys_of(text or "")]
+        for start in range(len(keys)):
+            run, n, last = None, 0, start
+            for end in range(start + 1, len(keys) + 1):
+                run = ids.setdefault((run, keys[end - 1]), len(ids))  # one number to each run of sentences
+                n += len(keys[end - 1])
+                if n >= 20 and (end - start >= 2 or n >= 25) and first.setdefault(run, (doc, start)) != (doc, start):
+                    last = end
+            if last > start:
+                spots.setdefault(doc, set()).update(range(start, last))
+    return {d: len(s) for d, s in spots.items()}
+
+
+def test_spans_cover_the_tail_of_a_passage(spark):
+    sentence = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + "."
+    passage = f"{sentence('a', 30)} {sentence('b', 24)}"
+    texts = [(1, f"One. {passage} {sentence('c', 9)}"), (2, f"Two. {passage} {sentence('d', 9)}")]
+    result = {r["doc_id"]: r for r in spans.report(frame(spark, texts)).collect()}
+    assert result[1]["n_removed"] == 0 and result[2]["n_removed"] == 2
+    assert result[2]["text"] == f"Two. {sentence('d', 9)}"
+
+
+def test_spans_are_those_of_all_runs(spark):
+    random = np.random.default_rng(5)
+    made = [" ".join(f"s{i}w{k}" for k in range(n)) + "." for i, n in enumerate((1, 3, 8, 12, 19, 21, 24, 25, 30, 40))]
+    texts = [(d, " ".join(made[i] for i in random.integers(0, len(made), random.integers(1, 9)))) for d in range(60)]
+    result = spans.report(frame(spark, texts)).where("n_removed > 0").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in result} == brute_all_runs(texts)
+
+
+def test_spans_of_all_documents_over_all_runs(docs, rows):
+    result = spans.report(docs).where("n_removed > 0").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in result} == brute_all_runs(rows)
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
