@@ -4,7 +4,8 @@ A page is read into blocks of text, each with its path of block elements from th
 path of the page, the length and the punctuation of its texts, less those of links, are added up and divided by the number of
 its blocks.  The ratios are laid along the page, smoothed with their neighbours, and fused: a block counts by its path, its
 surroundings and how far its path agrees with the best one.  Blocks above a threshold
-are content.  The smallest container that holds nearly all content is the article, and all of it is returned but what is marked as something else.
+are content.  A form, or an element whose tag, role, class or id marks it as something else than the article, is left out,
+but not if it wraps the page: if it holds half of the text outside links or more, with an article or a heading in it and no article beside it.  The smallest container that holds nearly all content is the article, and all of it is returned but what is marked as something else.
 
 Pages are independent, so tasks read them where they lie, and nothing is shuffled.  A path's sums are those of one page.
 
@@ -38,8 +39,10 @@ BLOCKS = frozenset(
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that are never part of an article's text.
 DROPPED = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input iframe svg math canvas object "
-    "video audio dialog menu search fieldset label title".split())
+    "head script style noscript template button select option textarea input iframe svg math canvas object "
+    "video audio label title".split())
+#: Elements that are something else than the article, unless they hold most of the page.
+MARKED = frozenset("nav footer aside form dialog menu search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 #: Words of a class or id that mark something else than the article.
 OTHER = frozenset(
@@ -71,13 +74,17 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "in_article", "has_heading", "score", "start")
+    __slots__ = ("tag", "path", "parent", "depth", "dropped", "wrap", "chars", "holds", "out", "in_article", "has_heading", "score", "start")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool) -> None:
+    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, marked: bool = False) -> None:
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{label}" if parent else label
         self.depth = parent.depth + 1 if parent else 0
         self.dropped = dropped
+        #: The nearest marked element, itself or around it; of a marked one: its text outside links, whether it holds an
+        #: article or a heading, and whether it is left out.
+        self.wrap: Node | None = self if marked else parent.wrap if parent else None
+        self.chars, self.holds, self.out = 0, False, marked
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.has_heading = False
         self.score = 0.0
@@ -91,20 +98,27 @@ class Block:
         self.node, self.text, self.linked, self.keep = node, text, linked, keep
 
 
-def drops(tag: str, attrs: str, parent: Node) -> bool:
-    """Whether an element is something else than the article's text."""
+def drops(tag: str, attrs: str) -> bool:
+    """Whether an element is never seen as text."""
     if tag in DROPPED:
         return True
-    if tag == "header" and not parent.in_article:
-        return True
-    if not attrs.strip():
-        return False
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
+    return False
+
+
+def marks(tag: str, attrs: str, parent: Node) -> bool:
+    """Whether an element is marked as something else than the article's text."""
+    if tag in MARKED:
+        return True
+    if tag == "header" and not parent.in_article:
+        return True
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
@@ -114,8 +128,43 @@ def drops(tag: str, attrs: str, parent: Node) -> bool:
     return False
 
 
+def wraps(node: Node | None):
+    """The marked elements around a node, from within."""
+    at = node.wrap if node else None
+    while at:
+        yield at
+        at = at.parent.wrap if at.parent else None
+
+
+def unmarked(blocks: list[Block]) -> list[Block]:
+    """The blocks outside marked elements, but for those elements that wrap the page."""
+    marked: dict[Node, None] = {}
+    total = 0
+    for b in blocks:
+        chars = len(b.text) - b.linked
+        total += chars
+        for w in wraps(b.node):
+            marked[w] = None
+            w.chars += chars
+            w.holds = w.holds or b.node.tag in HEADINGS or b.node.in_article and not (w.parent and w.parent.in_article)
+    if not marked:
+        return blocks
+    left = lambda: [b for b in blocks if not any(w.out for w in wraps(b.node))]
+    for w in sorted(marked, key=lambda w: w.depth):  # outer ones first
+        if w.chars and 2 * w.chars >= total and w.holds and not any(w.out for w in wraps(w.parent)):
+            w.out = any(b.node.in_article and w not in wraps(b.node) for b in left()) and not (w.parent and w.parent.in_article)
+    kept = left()
+    while not kept:  # nothing is left without them: those that hold most of the page, from without
+        wrapping = [w for w in marked if w.out and 2 * w.chars >= total > 0]
+        if not wrapping:
+            break
+        min(wrapping, key=lambda w: w.depth).out = False
+        kept = left()
+    return kept
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text, in order; those of dropped elements are left out."""
+    """The page's blocks of text, in order; those of dropped and marked elements are left out."""
     root = Node("html", "html", None, False)
     stack = [root]
     out: list[Block] = []
@@ -193,7 +242,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCKS:
             if tag == "input" or stack[-1].dropped:
                 continue
-            if tag not in VOID and drops(tag, attrs, stack[-1]):
+            if tag not in VOID and attrs.strip() and (drops(tag, attrs) or marks(tag, attrs, stack[-1])):
                 # An inline element that is marked as something else: skipped up to its end.
                 at = past(page, at, tag)
             continue
@@ -219,9 +268,10 @@ def blocks_of(page: str) -> list[Block]:
         if attrs.endswith("/") and tag in ("svg", "math", "object", "video", "audio", "canvas"):
             continue
         parent = stack[-1]
-        stack.append(Node(tag, tag, parent, parent.dropped or drops(tag, attrs, parent)))
+        gone = parent.dropped or drops(tag, attrs)
+        stack.append(Node(tag, tag, parent, gone, not gone and marks(tag, attrs, parent)))
     flush()
-    return [b for b in out if b.keep]
+    return unmarked([b for b in out if b.keep])
 
 
 def past(page: str, at: int, tag: str) -> int:

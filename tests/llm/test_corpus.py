@@ -92,6 +92,16 @@ def test_html_odd(page, text):
     assert html_text.article(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ["form method=post", 'div class="has-sidebar"', 'div id="content-with-sidebar"', 'div class="nav-open"',
+                                     'form class="layout-notice"'])
+@pytest.mark.parametrize("around", ["", '<div class="ad">Buy now, it is cheap.</div>'])
+def test_html_wrapped_page(wrapper, around):
+    text = [f"Paragraph {i} of the page has words, commas, and an end." for i in range(6)]
+    inside = f'<h1>Title</h1>{"".join(f"<p>{t}</p>" for t in text)}<div class="comments"><p>First!</p></div>'
+    page = f"<body>{around}<{wrapper}>{inside}</{wrapper.split()[0]}><footer>Imprint, address.</footer></body>"
+    assert html_text.article(page) == "\n\n".join(["Title", *text])
+
+
 def test_links(spark, docs, rows):
     for options in (jaccard.QUERY, jaccard.PIPELINE):
         want = brute.linked(rows, options["width"], options["num"], options["den"])
