@@ -5,7 +5,7 @@ path of the page, the length and the punctuation of its texts, less those of lin
 its blocks.  The ratios are laid along the page, smoothed with their neighbours, and fused: a block counts by its path, its
 surroundings and how far its path agrees with the best one.  Blocks above a threshold
 are content.  A form, or an element whose tag, role, class or id marks it as something else than the article, is left out,
-but not if it wraps the page: if it holds half of the text outside links or more, with an article or a heading in it and no article beside it.  The smallest container that holds nearly all content is the article, and all of it is returned but what is marked as something else.
+but not if it wraps the page: if it holds half of the text outside links or more, with an article or a heading in it and no article beside it.  The smallest container that holds all content is the article, and all of it is returned but what is marked as something else.
 
 Pages are independent, so tasks read them where they lie, and nothing is shuffled.  A path's sums are those of one page.
 
@@ -63,8 +63,6 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 #: How far the neighbours of a block count, and how much of the best score is content.
 SMOOTH = (0.1, 0.2, 0.4, 0.2, 0.1)
 THRESHOLD = 0.15
-#: Share of the content that the article must hold.
-HOLDS = 0.85
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -74,7 +72,7 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "wrap", "chars", "holds", "out", "in_article", "has_heading", "score", "start")
+    __slots__ = ("tag", "path", "parent", "depth", "dropped", "wrap", "chars", "holds", "out", "in_article", "has_heading", "content", "start")
 
     def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, marked: bool = False) -> None:
         self.tag, self.parent = tag, parent
@@ -87,7 +85,7 @@ class Node:
         self.chars, self.holds, self.out = 0, False, marked
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.has_heading = False
-        self.score = 0.0
+        self.content = 0
         self.start = -1
 
 
@@ -319,15 +317,13 @@ def article(page: str | None) -> str:
     score = scores(blocks)
     limit = THRESHOLD * max(score)
     content = [s >= limit for s in score]
-    total = 0.0
+    total = sum(content)
     at_children: dict[Node, set[Node]] = defaultdict(set)
     root = None
-    for b, s, chosen in zip(blocks, score, content):
-        weight = s if chosen else 0.0
-        total += weight
+    for b, chosen in zip(blocks, content):
         node: Node | None = b.node
         while node:
-            node.score += weight
+            node.content += chosen
             if node.parent:
                 at_children[node.parent].add(node)
             else:
@@ -335,7 +331,7 @@ def article(page: str | None) -> str:
             node = node.parent
     here = root
     while True:
-        below = [n for n in at_children[here] if n.tag in CONTAINERS and n.score >= HOLDS * total]
+        below = [n for n in at_children[here] if n.tag in CONTAINERS and n.content == total]
         if not below or here.has_heading or here.tag in ("article", "main"):
             break
         here = below[0]

@@ -92,6 +92,15 @@ def test_html_odd(page, text):
     assert html_text.article(page) == text
 
 
+def test_html_keeps_all_content():
+    lead = "A lead paragraph in a division of its own, with some words, that opens the page."
+    text = [f"Paragraph {i} of the page, " + "with many words, and more of them, " * 12 + "and an end." for i in range(10)]
+    close = "The closing section stands in another division, and is short, but it is text."
+    page = (f'<body><header><h1>Title</h1></header><div class=page><div class=intro><p>{lead}</p></div>'
+            f'<div class=text>{"".join(f"<p>{t}</p>" for t in text)}</div><div class=end><p>{close}</p></div></div></body>')
+    assert html_text.article(page) == "\n\n".join([lead, *text, close])
+
+
 @pytest.mark.parametrize("wrapper", ["form method=post", 'div class="has-sidebar"', 'div id="content-with-sidebar"', 'div class="nav-open"',
                                      'form class="layout-notice"'])
 @pytest.mark.parametrize("around", ["", '<div class="ad">Buy now, it is cheap.</div>'])
