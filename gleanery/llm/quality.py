@@ -4,10 +4,11 @@ Four measures of a text (marks per word, repeated lines, repeated words, word le
 whole numbers.  A sketch of a measure is a histogram whose buckets grow with the value
 (32 to each doubling, so that a bucket's lower end is within 1/32 of its values): counting
 rows per bucket builds it, adding counts merges it, the order of rows doesn't matter.  There is a sketch per
-measure, language and source; those of a language, and of the whole corpus, are merged from them.
-A document is held against the fences of its language and source, or, where these have too
-few documents, of its language or of the corpus.  A fence stands outside the middle half of the values by ``REACH``
-times its width and by a margin.
+measure, language and source; those of a language are merged from them.
+A document is held against the fences of its language and source.  The quartiles behind them are those of the
+language and source blended with those of the language, by weight of count: the language counts as ``WEIGHT`` documents, however many it
+has.  No language is judged by another.  A fence stands outside the middle half of the values by ``REACH``
+times its width and by a margin.  Word length has no fence in a language of fewer than ``MIN_LENGTH`` documents.
 
 Special cases.  A null or empty text has no words and fails the base rules.  Null languages
 and sources are groups of their own.  Every row is judged by itself; repeated rows count
@@ -34,8 +35,10 @@ MIN_WORDS = 10
 #: Percent of the words that may lie in repeated windows.
 MAX_REPEATED = 20
 WINDOW = 5
-#: Documents that a language and source need for fences of their own.
-MIN_GROUP = 300
+#: Documents of a language and source whose quartiles count as much as those of the language.
+WEIGHT = 300
+#: Documents that a language needs for fences of word length, the measure that differs by language.
+MIN_LENGTH = 20
 REACH = 3
 #: Least distance between the middle half and a fence, and whether the lower side has a fence.  Rates are per
 #: thousand words or lines, word length is in hundredths of a character.
@@ -119,8 +122,8 @@ def merge(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys, "measure", "bucket").agg(F.sum("docs").alias("docs"))
 
 
-def fences(cells: DataFrame, *keys: str, least: int = MIN_GROUP) -> DataFrame:
-    """The keys and a map from measure to low and high fence, where enough documents were counted.
+def quartiles(cells: DataFrame, *keys: str) -> DataFrame:
+    """The keys and a map from measure to lower and upper quartile and number of documents.
 
     The windows run over the buckets of one sketch, of which there are some hundred at most.
     """
@@ -128,16 +131,22 @@ def fences(cells: DataFrame, *keys: str, least: int = MIN_GROUP) -> DataFrame:
     so_far = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     run = cells.withColumn("upto", F.sum("docs").over(so_far)).withColumn("all", F.sum("docs").over(by))
     quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
-    margin = F.create_map(*[x for n, (m, _) in MEASURES.items() for x in (F.lit(n), F.lit(m))])
-    below = F.col("measure").isin([n for n, (_, two) in MEASURES.items() if two])
-    width = REACH * (F.col("q3") - F.col("q1")) + margin[F.col("measure")]
-    ends = (run.where(F.col("all") >= least).groupBy(*keys, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-            .select(*keys, "measure", F.struct(F.when(below, F.col("q1") - width).alias("low"),
-                                               (F.col("q3") + width).alias("high")).alias("ends")))
-    return ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", "ends"))).alias("fences"))
+    found = run.groupBy(*keys, "measure").agg(F.struct(
+        quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("all").alias("n")).alias("found"))
+    return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", "found"))).alias("quartiles"))
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, least: int = MIN_GROUP) -> DataFrame:
+def fences(name: str, weight: int) -> Column:
+    """Low and high fence of a measure from the quartiles ``own`` of a language and source and ``lang`` of the language."""
+    blend = lambda q: F.expr(
+        f"(own.{name}.n * own.{name}.{q} + {weight} * lang.{name}.{q}) DIV (own.{name}.n + {weight})")
+    margin, below = MEASURES[name]
+    width = REACH * (blend("q3") - blend("q1")) + margin
+    ends = F.struct((blend("q1") - width if below else F.lit(None).cast("long")).alias("low"), (blend("q3") + width).alias("high"))
+    return F.when(F.col("lang")[name]["n"] >= MIN_LENGTH, ends) if name == "length" else ends
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None, weight: int = WEIGHT) -> DataFrame:
     """Struct column ``row`` (the kept columns, all by default), the measures, base_failed and kept."""
     keep = docs.columns if keep is None else keep
     label = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
@@ -146,12 +155,10 @@ def judge(docs: DataFrame, keep: list[str] | None = None, least: int = MIN_GROUP
     metrics = write_out(made.select("row.*", "made.*"), "metrics")
     cells = write_out(sketches(metrics), "sketch")
     by_lang = merge(cells, "_lang")
-    whole = fences(merge(by_lang.withColumn("_all", F.lit(1)), "_all"), "_all", least=1).select(F.col("fences").alias("f0"))
-    groups = (cells.select("_lang", "_source").distinct()
-              .join(fences(cells, "_lang", "_source", least=least).withColumnRenamed("fences", "f2"), ["_lang", "_source"], "left")
-              .join(fences(by_lang, "_lang", least=least).withColumnRenamed("fences", "f1"), "_lang", "left")
-              .join(F.broadcast(whole), how="left"))  # one row
-    chosen = write_out(groups.select("_lang", "_source", F.coalesce("f2", "f1", "f0").alias("_fences")), "fences")
+    groups = (quartiles(cells, "_lang", "_source").withColumnRenamed("quartiles", "own")
+              .join(quartiles(by_lang, "_lang").withColumnRenamed("quartiles", "lang"), "_lang"))
+    ends = F.struct(*[fences(name, weight).alias(name) for name in MEASURES]).alias("_fences")
+    chosen = write_out(groups.select("_lang", "_source", ends), "fences")
     held = lookup_join(metrics, chosen, ["_lang", "_source"], "left", ["n_words", "word_chars"])
     within = F.lit(True)
     for name, value in measures():

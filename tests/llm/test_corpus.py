@@ -304,6 +304,31 @@ def test_quality_odd(spark):
     assert not verdicts[1000] and sum(verdicts.values()) == 400
 
 
+def test_quality_by_language(spark):
+    prose = lambda i, word: " ".join(f"{word}{(i * 7 + k * k) % 997:03}" for k in range(60))
+    short = [(i, prose(i, "w"), "en") for i in range(400)]
+    long = [(1000 + i, prose(i, "longwordsof"), "de") for i in range(30)]  # longer words than the majority's
+    rare = [(2000, prose(0, "w"), "fr"), (2001, prose(1, "muchlongerwordsofanother"), "fr")]
+    marked = [(3000, " ".join(f"longwordsof{k:03}###" for k in range(60)), "de"), (3001, prose(1, "w" * 40), "de")]
+    texts = [*short, *long, *rare, *marked]
+    docs = frame(spark, [(i, t) for i, t, _ in texts]).drop("lang").join(
+        spark.createDataFrame([(i, lang) for i, _, lang in texts], "doc_id long, lang string"), "doc_id")
+    verdicts = {r["doc_id"]: r["kept"] for r in quality.report(docs).collect()}
+    assert sorted(i for i, kept in verdicts.items() if not kept) == [3000, 3001]
+
+
+def test_quality_blends_by_count(spark):
+    prose = lambda i, word: " ".join(f"{word}{(i * 7 + k * k) % 997:03}" for k in range(60))
+
+    def kept(others):  # 10 documents of a small source, with words of 6 letters among those of 4
+        texts = [(i, prose(i, "w")) for i in range(others)]
+        small = frame(spark, [(9000 + i, prose(i, "www")) for i in range(10)], "small")
+        report = quality.judge(frame(spark, texts).unionByName(small), weight=5)
+        return report.where("kept AND row.doc_id >= 9000").count()
+
+    assert kept(100) == kept(1000) == 10  # its own count weighs, not the size of the table
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5))
 def test_repeated_words(texts):
