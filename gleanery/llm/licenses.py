@@ -1,14 +1,16 @@
 """License scans: canonical digests of whole texts, joined with those of known licenses.  DataFrame functions only.
 
-A text is brought to a canonical form: lines of copyright notices go, case, punctuation and white space
+A text is brought to a canonical form: lines of copyright notices and lines that are a license's title go, case, punctuation and white space
 no longer count, and words spelt in several ways are spelt in one.  Its SHA-256 is looked up among the digests of known licenses.
-The texts looked up are the whole document, each of its blocks (what stands between blank lines) and each line.
+The texts looked up are the whole document, each of its blocks (what stands between blank lines), each line, and the runs
+of blocks that have as many words as a known license of several paragraphs, wherever these are parted.  A run has the scope block and the position
+of its first block.
 
 A spelling replaces one word by one word.  So only texts with as many words as some known license are spelt, hashed
 and looked up, which leaves out nothing.  The table of known digests is broadcast after a check of its size.
 
 Special cases.  A null or empty text, or one without words, has no findings.  A document that is a single line is looked up once, as
-a document; a block of one line as a line.  Repeated rows give repeated findings, a null doc_id is carried along.  An empty
+a document; a block of one line as a line; a run of all blocks with words as the document.  Repeated rows give repeated findings, a null doc_id is carried along.  An empty
 table gives none.  Known licenses with equal canonical forms are all found.  Columns other than doc_id and text are not used.
 """
 
@@ -41,6 +43,13 @@ KNOWN = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
+_BSD = next(text for name, text in KNOWN if name == "BSD-2-Clause").split("\n\n")
+#: Further whole texts, which the SQL doesn't know.
+WHOLE = [
+    ("BSD-3-Clause", "\n\n".join([
+        *_BSD[:3], "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.", *_BSD[3:]])),
+]
 # Words that license texts spell in more than one way.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -58,14 +67,20 @@ SPELLINGS = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that names the holder of a copyright, or reserves the rights.
 COPYRIGHT = r"(?:^|\n)[^0-9a-z\n]*(?:copyright (?:\(c\)|©|[0-9])|\(c\) |© ?[0-9a-z]|all rights reserved)[^\n]*"
+#: A line that is a license's title.
+TITLE = (r"(?:the )?(?:mit|expat|isc|zlib|zlib/libpng|(?:(?:new|modified|revised|simplified|original) )?bsd(?: zero)?(?:[ -][0-3])?(?:[ -]clause)?|"
+         r"(?:[0-3]|two|three|zero)[ -]clause bsd|0bsd) licen[sc]e"
+         r"(?: ?\((?:mit|expat|isc|zlib|0bsd|bsd[ -][0-3][ -]clause)\))?|boost software license - version 1\.0 - august 17th, 2003")
+#: A line of either kind.  Titles stand alone.
+HEADLINE = COPYRIGHT.removesuffix(r"[^\n]*").replace(r"(?:copyright", r"(?:(?:copyright") + rf"[^\n]*|(?:{TITLE})[^0-9a-z\n]*(?=\n|$))"
 NO_WORD = r"[\x00-/:-`{-\x7F©“”‘’–—]+"
 BLANK_LINE = r"\n[ \t\r]*\n\s*"
 
 
 def plain(text: Column) -> Column:
-    """Lower case, without copyright lines, words parted by one blank."""
+    """Lower case, without lines of copyrights and titles, words parted by one blank."""
     lower = F.translate(text, UPPER, LOWER)
-    return F.trim(F.regexp_replace(F.regexp_replace(lower, COPYRIGHT, "\n"), NO_WORD, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(lower, HEADLINE, "\n"), NO_WORD, " "))
 
 
 def spelt(words: Column) -> Column:
@@ -75,13 +90,14 @@ def spelt(words: Column) -> Column:
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame(KNOWN + WHOLE, "license_id string, text string")
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """license_id, words and digest of known texts."""
+    """license_id, words, digest and whether there are several paragraphs, of known texts."""
     words = F.split(plain(F.col("text")), " ")
-    return known.select("license_id", F.size(words).alias("words"), F.sha2(spelt(words), 256).alias("digest")).distinct()
+    return known.select("license_id", F.size(words).alias("words"), F.sha2(spelt(words), 256).alias("digest"),
+                        (F.size(F.split("text", BLANK_LINE)) > 1).alias("whole")).distinct()
 
 
 def units(text: Column) -> Column:
@@ -99,15 +115,39 @@ def units(text: Column) -> Column:
             "array<struct<scope:string,position:bigint,body:string>>")))
 
 
+def runs(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, scope, position and words of the runs of blocks with a number of words that is among ``sizes``.
+
+    Two places in the running sums of words that differ by a size are the ends of a run, so no run but these is put together.
+    """
+    count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
+    sums = F.aggregate("blocks", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + count(x))))
+    place = lambda s: F.transform(
+        F.array_intersect("sums", F.transform("sums", lambda c: c + s)),
+        lambda end: F.struct((F.size("sums") - F.array_position(F.reverse("sums"), end - s)).cast("long").alias("first"),
+                             (F.array_position("sums", end) - 1).alias("end")))
+    found = (docs.where("text IS NOT NULL").select("doc_id", F.split("text", BLANK_LINE).alias("blocks")).where("size(blocks) > 1")
+             .select("doc_id", F.transform("blocks", plain).alias("blocks")).withColumn("sums", sums)
+             .select("doc_id", "blocks", "sums", F.explode(F.concat(*[place(s) for s in sizes])).alias("r")))
+    part = F.filter(F.slice("blocks", (F.col("r.first") + 1).cast("int"), (F.col("r.end") - F.col("r.first")).cast("int")), lambda x: x != "")
+    return (found.where("r.end - r.first > 1 AND NOT (sums[r.first] = 0 AND sums[r.end] = element_at(sums, -1))")
+            .select("doc_id", F.lit("block").alias("scope"), F.col("r.first").alias("position"),
+                    F.split(F.array_join(part, " "), " ").alias("words")))
+
+
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Findings: doc_id, scope (document, block, line), position (number of the block or line), license_id."""
     table = digests(known)
-    sizes = [r[0] for r in table.select("words").distinct().collect()]  # bounded by the known licenses
+    of = table.groupBy("words").agg(F.max("whole").alias("whole")).collect()  # bounded by the known licenses
+    sizes, whole = [r["words"] for r in of], [r["words"] for r in of if r["whole"]]
     bodies = docs.where("text IS NOT NULL").select("doc_id", F.explode(units(F.col("text"))).alias("u"))
     words = bodies.select("doc_id", "u.scope", "u.position", F.split(plain(F.col("u.body")), " ").alias("words"))
-    hashed = words.where(F.size("words").isin(sizes)).select(
+    words = words.where(F.size("words").isin(sizes))
+    if whole:
+        words = words.unionByName(runs(docs, whole))
+    hashed = words.select(
         "doc_id", "scope", "position", F.sha2(spelt(F.col("words")), 256).alias("digest"))
-    return lookup_join(hashed, table.select("digest", "license_id"), ["digest"], "inner", ["doc_id", "position"]).select(
+    return lookup_join(hashed, table.select("digest", "license_id").distinct(), ["digest"], "inner", ["doc_id", "position"]).select(
         "doc_id", "scope", "position", "license_id")
 
 

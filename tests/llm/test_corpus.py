@@ -287,6 +287,22 @@ def test_licenses(spark, docs):
         (20, "document", "MIT"), (21, "line", "MIT"), (22, "document", "Zlib")]
 
 
+def test_licenses_with_titles_and_in_runs_of_blocks(spark):
+    texts = dict((name, text) for name, text in licenses.KNOWN[:8])
+    bsd3 = licenses.WHOLE[0][1]
+    holder = "Copyright (c) 2020 Me"
+    files = [(1, f"MIT License\n\n{holder}\n\n{texts['MIT']}"), (2, f"The MIT License (MIT)\n{holder}\n\n{texts['MIT']}\n"),
+             (3, f"BSD 2-Clause License\n\n{holder}\n\n{texts['BSD-2-Clause']}"), (4, f"ISC License\n\n{texts['ISC']}"),
+             (5, f"zlib License\n\n{holder}\n\n{texts['Zlib']}"), (6, f"BSD 3-Clause License\n\n{holder}\n\n{bsd3}"),
+             (7, f"A manual.\n\nIts license:\n\n{holder}\n\n{texts['MIT']}\n\nThe end.\n\n{texts['ISC']}"),
+             (8, texts["BSD-2-Clause"].replace("\n\n2. ", "\n2. ") + "\n\nMore."), (9, "MIT License"),
+             (10, "A line on the MIT License here.\n\n" + texts["MIT"][:-5]), (11, texts["BSL-1.0"].partition("\n\n")[2])]
+    assert got(licenses.scan(frame(spark, files), licenses.known_texts(spark)), "doc_id", "scope", "position", "license_id") == [
+        (1, "document", 0, "MIT"), (2, "document", 0, "MIT"), (3, "document", 0, "BSD-2-Clause"), (4, "document", 0, "ISC"),
+        (5, "document", 0, "Zlib"), (6, "document", 0, "BSD-3-Clause"), (7, "block", 3, "MIT"), (7, "block", 7, "ISC"),
+        (8, "block", 0, "BSD-2-Clause"), (11, "document", 0, "BSL-1.0")]
+
+
 def test_quality(docs, rows):
     report = quality.report(docs)
     assert got(report.drop("kept"), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(brute.quality(rows))
