@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import chat, decontaminate, html_text, jaccard, licenses, lines, mixing, quality, spans, tokens
+from gleanery.llm import chat, decontaminate, fim, html_text, jaccard, licenses, lines, mixing, negatives, pii, quality, spans, tokens
 from gleanery.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,5 +33,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": lambda s, d: quality.report(table(s, d, "documents")),
     "op9_line_dedup": lambda s, d: lines.report(table(s, d, "documents")),
     "op10_tool_calls": lambda s, d: chat.report(table(s, d, "conversations")),
+    "op11_fill_in_middle": lambda s, d: fim.report(table(s, d, "documents")),
+    "op12_hard_negatives": lambda s, d: negatives.report(table(s, d, "embeddings")),
+    "op13_personal_data": lambda s, d: pii.report(table(s, d, "documents")),
 }
-ORACLES: dict[str, str] = {"op7_license_scan": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op7_license_scan": licenses.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op12_hard_negatives": negatives.ORACLE}

@@ -114,3 +114,70 @@ def water_fill(sizes, weights, epochs):
         if not over:
             return [epochs * s if i in clamped else level * weights[i] for i, s in enumerate(sizes)]
         clamped |= over
+
+
+def fill_in_middle(docs):
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        units = re.findall(r"[^\n]*\n|[^\n]+", text)
+        digest = hashlib.sha256(f"7:{'' if doc is None else doc}".encode()).hexdigest()
+        h = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)]
+        n = len(units)
+        a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        if not text or any(x in text for x in ("<P>", "<S>", "<M>")):
+            row = (n, "plain", None, None, text)
+        elif h[3] % 100 < 50:
+            row = (n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}")
+        else:
+            row = (n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+        out.append((doc, *row[:4], *[hashlib.sha256(t.encode()).hexdigest() for t in (row[4], text)]))
+    return out
+
+
+def hard_negatives(rows):
+    import math
+
+    used = {}
+    for one, vector, label in rows:
+        if one is None or label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        row = ((label + 1) % 10 if one % 7 == 0 else label, [math.floor(256 * x) for x in vector])
+        used[one] = min(used.get(one, row), row)
+    out = []
+    for anchor, (label, v) in used.items():
+        if anchor % 100:
+            continue
+        others = sorted((-sum(a * b for a, b in zip(v, w)), one, own == label) for one, (own, w) in used.items() if one != anchor)
+        for score, positive, _ in [o for o in others if o[2]][:5]:
+            fit = [o for o in others if not o[2] and 80 * -score <= 100 * -o[0] <= 100 * -score]
+            out += [(anchor, positive, k + 1, o[1], -score, -o[0]) for k, o in enumerate(fit[:5])]
+    return out
+
+
+def base_spans(text):
+    def luhn(digits):
+        total = 0
+        for i, d in enumerate(reversed(digits)):
+            d = int(d) * (1 + i % 2)
+            total += d - 9 if d > 9 else d
+        return total % 10 == 0
+
+    number = lambda m: re.sub("[^0-9]", "", m)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(number(m)) <= 19 and luhn(number(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(number(m)) <= 15)]
+    return [(k, *m.span()) for k, pattern, check in rules for m in re.finditer(pattern, text or "") if check(m[0])]
+
+
+def personal_data(docs):
+    out = []
+    for doc, text in docs:
+        spans = base_spans(text)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        counts = [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+        out.append((doc, *counts, hashlib.sha256(joined.encode()).hexdigest()))
+    return out
