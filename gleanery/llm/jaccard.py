@@ -2,13 +2,13 @@
 
 A document's set of shingles is hashed into a bit sketch: each shingle flips one bit.  The Hamming distance of two sketches is at most the size of the
 sets' symmetric difference.  Two sets of Jaccard similarity num/den or more differ, if the smaller one has n
-shingles, in at most d = (den - num) * n / num of them.  Sketches are cut into more than d parts, so that two such sets agree in some part
-whole.  (At similarities of 0.8, parts hold three or four shingles, and some hold one or none, which too many sets share.  ``least`` leaves these
-out where there are many parts: two sets that just link agree in about a quarter of the others, so that of 48 parts none is shared
-with a chance of one in a million.  With ``least`` 0, as in the query at 0.9, no link can be missed): pieces (band, part, bits of the part) are joined.  The number of parts goes by band of set sizes; a set that can have a partner
-in the next lower band is cut that band's way too.  A set has pieces of its first d + 1 parts only, which suffices.
+shingles, in at most d = (den - num) * n / num of them.  Sketches are cut into parts, more than d of which a set fills; its pieces (band, part, bits of
+the part) are those of its first d + 1 parts that are not empty, and pieces are joined.  No link is missed: at most d of the parts differ, so that
+the set whose first d + 1 filled parts end first has one among them that the other set has too, and has among its own first d + 1.  The number of
+parts goes by band of set sizes, and is such that sets fill enough of them; a set that can have a partner in the next lower band is cut that
+band's way too.  A set that fills too few all the same, by a chance of its hashes, is held against all sets of its sizes.
 
-A part has ``PART_BITS`` bits, most of them zero.  What is joined is the exclusive or of a hash of its set bits' numbers, which is equal for equal
+A part has 2 ** 64 bits, nearly all of them zero.  What is joined is the exclusive or of a hash of its set bits' numbers, which is equal for equal
 parts.  A second, short sketch of the whole set weeds out candidates by their Hamming distance before the sets themselves are
 compared, exactly, by 64-bit hashes of the shingles.
 
@@ -40,18 +40,21 @@ from gleanery.llm.components import components
 from gleanery.session import counted, write_out
 
 #: Shingles and similarity of the query, and those of the pipeline.
-QUERY = {"width": 3, "num": 90, "den": 100, "least": 0}
-PIPELINE = {"width": 5, "num": 80, "den": 100, "least": 3}
-#: From so many parts on, parts of fewer shingles than ``least`` are left out.
-MANY_PARTS = 48
+QUERY = {"width": 3, "num": 90, "den": 100}
+PIPELINE = {"width": 5, "num": 80, "den": 100}
 #: Sizes of a band lie within this factor.
-BAND = 1.2
-PART_BITS = 1 << 16
+BAND = 1.5
+#: A set fills enough parts unless it has fewer than expected by so many standard deviations.
+SURE = 6
+#: Parts of small sets, at least, and the sizes that count as small.
+FEW_PARTS, SMALL_SET = 256, 64
 #: 64-bit words of the short sketch.
 SKETCH = 16
 #: Rounds with other pivots before all remaining pairs are tested; they only save work.
 PIVOTS = 1
-WORD_CACHE = 500_000
+#: Members of a piece that a task pairs with the members outside its largest component.
+SHARE = 1000
+WORD_CACHE = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,7 +64,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, remembered by a task."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORD_CACHE:
@@ -70,15 +73,12 @@ class WordHashes(dict):
         return value
 
 
-_words = WordHashes()
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.translate(LOWER).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -91,6 +91,7 @@ class Bands:
 
     def __init__(self, num: int, den: int, factor: float = BAND) -> None:
         self.num, self.den, self.factor = num, den, max(factor, den / num + 0.05)
+        self.known: dict[int, int] = {}
 
     def differ(self, n: int) -> int:
         """Shingles by which a set of n and a larger one that links with it differ, at most."""
@@ -108,7 +109,18 @@ class Bands:
         return band
 
     def parts(self, band: int) -> int:
-        return self.differ(self.low(band + 1) - 1) + 1
+        """Parts, as few as the largest set that is cut this way may have."""
+        if band not in self.known:
+            n = (self.low(band + 1) - 1) * self.den // self.num
+            parts = FEW_PARTS if n < SMALL_SET else self.differ(n) + 1
+            while n >= SMALL_SET:
+                empty = math.exp(-n / parts)
+                spread = math.sqrt(parts * empty * max(0.0, 1 - (1 + n / parts) * empty))
+                if parts * (1 - empty) - SURE * spread > self.differ(n) + 1:
+                    break
+                parts += 1 + parts // 64
+            self.known[band] = parts
+        return self.known[band]
 
     def ways(self, n: int) -> list[int]:
         """Bands whose way a set of n shingles is cut."""
@@ -117,23 +129,21 @@ class Bands:
         return [b for b in range(self.of(max(1, least)), home + 1) if self.differ(self.low(b + 1) - 1)]
 
 
-def pieces(own: np.ndarray, bands: Bands, least: int) -> list[np.ndarray]:
-    """Keys of a set's pieces."""
-    out = []
-    if not len(own) or not bands.differ(len(own)):
-        return out
-    place = own >> np.uint64(32)
-    bit = mixed((own & np.uint64(0xFFFFFFFF)) % np.uint64(PART_BITS) + np.uint64(1 << 40))
+def pieces(own: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], bool]:
+    """Keys of a set's pieces, and whether it fills too few parts."""
+    out, short = [], False
+    need = bands.differ(len(own)) + 1
+    if need == 1:
+        return out, short
+    place, bit = own >> np.uint64(32), mixed(own + np.uint64(0x2545F4914F6CDD1D))
     for band in bands.ways(len(own)):
         parts = bands.parts(band)
-        part = (place % np.uint64(parts)).astype(np.int64)
         content = np.zeros(parts, np.uint64)
-        np.bitwise_xor.at(content, part, bit)  # a bit that is flipped twice is gone
-        some = min(parts, bands.differ(len(own)) + 1)
-        name = np.arange(some, dtype=np.uint64) + np.uint64(band << 32)
-        keys = mixed(content[:some] ^ mixed(name + np.uint64(1)))
-        out.append(keys if parts < MANY_PARTS else keys[np.bincount(part, minlength=parts)[:some] >= least])
-    return out
+        np.bitwise_xor.at(content, (place % np.uint64(parts)).astype(np.int64), bit)  # a bit that is flipped twice is gone
+        filled = np.flatnonzero(content)[:need]
+        short |= len(filled) < need
+        out.append(mixed(content[filled] ^ mixed(filled.astype(np.uint64) + np.uint64((band << 32) + 1))))
+    return out, short
 
 
 def short_sketch(own: np.ndarray) -> np.ndarray:
@@ -146,20 +156,24 @@ def short_sketch(own: np.ndarray) -> np.ndarray:
 
 SIGNED = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()),
-    T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())),
+    T.StructField("short", T.BooleanType())])
+
 
+def signatures(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """doc_id, n, h, g (128-bit hash of the set), sketch, keys (of the pieces), short (they may be too few)."""
+    known = WordHashes()  # each task gets its own
 
-def signatures(docs: DataFrame, width: int, bands: Bands, least: int) -> DataFrame:
-    """doc_id, n, h, g (128-bit hash of the set), sketch, keys (of the pieces)."""
     def make(_, texts):
-        n, digests, sketches, sizes, keys = [], [], [], [0], []
+        n, digests, sketches, sizes, keys, shorts = [], [], [], [0], [], []
         for text in texts:
-            own = shingle_set(text, width)
+            own = shingle_set(text, width, known)
             n.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             sketches.append(short_sketch(own))
-            own_keys = pieces(own, bands, least)
+            own_keys, short = pieces(own, bands)
             keys += own_keys
+            shorts.append(short)
             sizes.append(sizes[-1] + sum(map(len, own_keys)))
         halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -167,7 +181,8 @@ def signatures(docs: DataFrame, width: int, bands: Bands, least: int) -> DataFra
             "n": longs(n), "h": pa.array(halves[:, 0]), "g": pa.array(halves[:, 1]),
             "sketch": pa.ListArray.from_arrays(
                 pa.array(np.arange(len(texts) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate(sketches).view(np.int64))),
-            "keys": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))}
+            "keys": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64))),
+            "short": pa.array(shorts, pa.bool_())}
 
     made = with_made(docs, ["doc_id"], "text", SIGNED, make)
     return made.select("row.doc_id", "made.*")
@@ -219,15 +234,15 @@ def meetings(classes: DataFrame) -> DataFrame:
 class Join:
     """The steps of one join; they share the classes and what has been tested."""
 
-    def __init__(self, docs: DataFrame, width: int, num: int, den: int, least: int) -> None:
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int) -> None:
         self.docs, self.width, self.num, self.den = docs, width, num, den
         self.bands = Bands(num, den)
         self.salts = partitions(docs)
-        self.signed = write_out(signatures(docs, width, self.bands, least), "signed")
+        self.signed = write_out(signatures(docs, width, self.bands), "signed")
         own = self.signed.where("n > 0 AND doc_id IS NOT NULL")
         # Classes of equal sets; equal sets have equal sketches and keys.
         self.classes = write_out(own.groupBy("h", "g", "n").agg(
-            F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+            F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("short").alias("short")), "classes")
         self.links = None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -243,11 +258,11 @@ class Join:
         if not rows:
             return near
         nodes = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        width, num, den = self.width, self.num, self.den
+        width, num, den, known = self.width, self.num, self.den, WordHashes()
         texts = semi_by_id(self.docs.select("doc_id", "text"), nodes, "doc_id", "nodes")
         sets = write_out(with_made(
             texts, ["doc_id"], "text", T.StructType([T.StructField("set", T.BinaryType())]),
-            lambda _, t: {"set": pa.array([shingle_set(x, width).tobytes() for x in t], pa.binary())}).select("row.doc_id", "made.set"), "sets")
+            lambda _, t: {"set": pa.array([shingle_set(x, width, known).tobytes() for x in t], pa.binary())}).select("row.doc_id", "made.set"), "sets")
         side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
         if rows <= SMALL_ROWS:  # the pairs go to the sets; each set is moved once per pair
             both = side("a").join(F.broadcast(near), "a").join(side("b").join(F.broadcast(near), "b"), ["a", "b"])
@@ -272,7 +287,7 @@ class Join:
         return links, components(links)
 
     def join(self) -> DataFrame:
-        """doc_id, component of the classes' documents that have a link; classes by their least doc_id."""
+        """node, component of the classes that have a link; classes by their least doc_id."""
         met = write_out(meetings(self.classes), "met")
         # Each class against one pivot first; then against others, where these are not of its component by now.
         star = met.where("node != pivot")
@@ -302,6 +317,12 @@ class Join:
                 pairs = self.rest(members)
             links, labels = self.more(links, pairs.select(F.col("node").alias("a"), F.col("other").alias("b")))
             members = members.select("key", "node", "pivot")
+        few, rows = counted(self.classes.where("short").select(F.col("node").alias("b"), F.col("n").alias("m")), "short")
+        if rows:
+            sizes = (F.col("n") * self.den >= F.col("m") * self.num) & (F.col("m") * self.den >= F.col("n") * self.num)
+            near = F.broadcast(few) if rows <= SMALL_ROWS else few
+            pairs = self.classes.select(F.col("node").alias("a"), "n").join(near, sizes & (F.col("a") != F.col("b")))
+            links, labels = self.more(links, pairs.select("a", "b"))
         return labels
 
     def rest(self, members: DataFrame) -> DataFrame:
@@ -318,9 +339,11 @@ class Join:
         apart = F.aggregate(F.zip_with("sketch", "_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         fits = (F.least("n", "_n") * self.den >= F.greatest("n", "_n") * self.num) & (
             apart * (self.den + self.num) <= (F.col("n") + F.col("_n")) * (self.den - self.num))
-        salts = 16
-        spread = full.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
-        copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        # A piece is dealt out by its number of members.
+        shares = sizes.groupBy("key").agg(F.ceil(F.sum("rows") / SHARE).cast("int").alias("_shares"))
+        salt = F.pmod(F.xxhash64("node"), F.col("_shares")).cast("int")
+        spread = full.join(shares, "key").withColumn("_salt", salt).drop("_shares")
+        copies = few.join(shares, "key").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
         left, right = spread.alias("l"), copies.alias("r")
         return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._salt") == F.col("r._salt"))
                          & (F.col("label") != F.col("_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("other")))
@@ -328,9 +351,9 @@ class Join:
                          ).select("node", "other")
 
 
-def linked(docs: DataFrame, width: int, num: int, den: int, least: int = 0) -> DataFrame:
+def linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    job = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den, least)
+    job = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den)
     labels = job.join()
     # A class has the component of its least doc_id; its rows have the class's, found by the hash of their set.
     own = job.classes.select("h", "g", "n", "node").join(labels, "node", "left").select(
@@ -347,13 +370,12 @@ def report(docs: DataFrame) -> DataFrame:
     return linked(docs, **QUERY)
 
 
-def keep_first(docs: DataFrame, width: int = PIPELINE["width"], num: int = PIPELINE["num"], den: int = PIPELINE["den"],
-               least: int = PIPELINE["least"]) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = PIPELINE["width"], num: int = PIPELINE["num"], den: int = PIPELINE["den"]) -> DataFrame:
     """The documents, in their columns, one of each component: the one with the least doc_id.
 
     Documents without words, and those with a null doc_id, stay.  Of rows that share the least doc_id of a component one stays.
     """
-    links = write_out(linked(docs, width, num, den, least), "linked")
+    links = write_out(linked(docs, width, num, den), "linked")
     gone = links.where("component_id != doc_id").select("doc_id").distinct()
     repeated = links.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone, rows = counted(gone, "gone")
