@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import itertools
 import pickle
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -70,6 +72,7 @@ class Automaton:
 
     A state stands for the runs of words of length ``length[link] < n <= length`` that
     share their end positions; ``windows`` holds, for a state, its windows' lengths and items.
+    When it is built, the transitions of all states lie in two arrays, sorted by state and word.
     """
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int) -> None:
@@ -92,10 +95,27 @@ class Automaton:
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             up = self.link[state]
             self.above[state] = up if up in self.windows else self.above[up]
+        self._pack()
         self.width = min(GRAM, self.least)
         self.codes = np.unique(np.concatenate(
             [gram_codes(np.array(ids, np.int64), self.width) for _, ids in coded] or [np.zeros(0, np.uint64)]))
 
+    def _pack(self) -> None:
+        self.first, self.words, self.targets = array("i", [0]), array("i"), array("i")
+        for following in self.next:
+            for word in sorted(following):
+                self.words.append(word)
+                self.targets.append(following[word])
+            self.first.append(len(self.words))
+        self.link, self.length, self.above = (array("i", x) for x in (self.link, self.length, self.above))
+        del self.next
+
+    def step(self, state: int, word: int) -> int:
+        """The state that ``word`` leads to, -1 without one."""
+        end = self.first[state + 1]
+        at = bisect_left(self.words, word, self.first[state], end)
+        return self.targets[at] if at < end and self.words[at] == word else -1
+
     def dump(self) -> bytes:
         """Plain data, which any worker can load."""
         return pickle.dumps(self.__dict__)
@@ -151,10 +171,12 @@ class Automaton:
         """(end, state, length) of the longest match at each word where it has a window's length."""
         state = length = 0
         for end, word in enumerate(ids):
-            while state and word not in self.next[state]:
+            following = self.step(state, word)
+            while state and following < 0:
                 state = self.link[state]
                 length = self.length[state]
-            state = self.next[state].get(word, 0)
+                following = self.step(state, word)
+            state = max(following, 0)
             length = length + 1 if state else 0
             if length >= self.least:
                 yield end, state, length
@@ -177,21 +199,14 @@ class Automaton:
 
 
 class Scanner:
-    """Streams texts past some automata.  Lives in a worker, made once from their pickled form."""
-
-    _last: tuple[list[bytes], Scanner] | None = None
+    """Streams texts past some automata, which a task loads when it begins and lets go of when it ends."""
 
-    def __init__(self, automata: list[Automaton]) -> None:
-        self.automata = [(a, a.candidates()) for a in automata]
-
-    @classmethod
-    def of(cls, shared: Broadcast) -> Scanner:
-        blobs = shared.value  # the same object for all tasks of a worker
-        if cls._last is None or cls._last[0] is not blobs:
-            cls._last = blobs, cls([Automaton.load(blob) for blob in blobs])
-        return cls._last[1]
+    def __init__(self, shared: Broadcast) -> None:
+        self.shared, self.automata = shared, None
 
     def scan(self, texts: list[bytes | None]):
+        if self.automata is None:
+            self.automata = [(a, a.candidates()) for a in map(Automaton.load, self.shared.value)]
         words, counts = [], []
         for text in texts:
             own = words_of(text)
@@ -281,8 +296,10 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, windo
         shared = spark.sparkContext.broadcast(blobs)
         given = None if done is None else F.col("made")
 
-        def make(before, texts, shared=shared):
-            counts, spans, found, longest = Scanner.of(shared).scan(texts)
+        scanner = Scanner(shared)  # each task gets its own
+
+        def make(before, texts, scanner=scanner):
+            counts, spans, found, longest = scanner.scan(texts)
             for d, old in enumerate(before):
                 if old is not None:
                     spans[d] = merged(list(zip(spans[d][::2], spans[d][1::2])) + list(zip(old["spans"][::2], old["spans"][1::2])))

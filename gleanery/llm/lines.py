@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -156,14 +157,15 @@ class Shard:
 
 
 class Prober:
-    _last: tuple[list, dict[int, Shard]] | None = None
+    """The shards of a pass, which a task loads when it begins and lets go of when it ends."""
 
-    @classmethod
-    def of(cls, shared: Broadcast) -> dict[int, Shard]:
-        blobs = shared.value
-        if cls._last is None or cls._last[0] is not blobs:
-            cls._last = blobs, {n: Shard.load(b) for n, b in blobs}
-        return cls._last[1]
+    def __init__(self, shared: Broadcast) -> None:
+        self.shared, self.shards = shared, None
+
+    def items(self) -> Iterable[tuple[int, Shard]]:
+        if self.shards is None:
+            self.shards = [(n, Shard.load(b)) for n, b in self.shared.value]
+        return self.shards
 
 
 KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.StructType([
@@ -227,7 +229,9 @@ def drop_lines(docs: DataFrame, keep: list[str] | None = None, min_docs: int = M
         blobs = [tuple(r) for r in built.where(F.col("shard").between(i, i + per_pass - 1)).collect()]
         shared, last = spark.sparkContext.broadcast(blobs), i + per_pass >= shards
 
-        def make(given, texts, shared=shared, last=last):
+        prober = Prober(shared)  # each task gets its own
+
+        def make(given, texts, prober=prober, last=last):
             own, at, flat = [], [], []
             for d, text in enumerate(texts):
                 cut = (text or b"").split(b"\n")
@@ -241,7 +245,7 @@ def drop_lines(docs: DataFrame, keep: list[str] | None = None, min_docs: int = M
                 both = hashes(flat)
                 home = both[:, 1].astype("<u8").view(np.int64) % shards
                 ids = np.array([NO_ID if g["id"] is None else g["id"] for g in given], np.int64)
-                for number, shard in Prober.of(shared).items():
+                for number, shard in prober.items():
                     mine = np.flatnonzero(home == number)
                     found, largest = shard.probe(both[mine, 0], both[mine, 1])
                     for j in mine[found][ids[[at[m][0] for m in mine[found]]] != largest[found]]:
