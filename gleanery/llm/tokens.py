@@ -10,7 +10,8 @@ of documents without doc_id (they come first), of tokens, and the first doc_id;
 the first one; Elias-Fano list of the documents' ends, in tokens; the ids.
 
 An Elias-Fano list holds n rising numbers up to u in about n * (2 + log2(u / n)) bits: the low bits of each, packed, and the high
-bits in unary, as ones in a bit array; the position of every ``SAMPLE``-th one is noted, from which a lookup starts to count.
+bits in unary, as ones in a bit array; the position of every ``SAMPLE``-th one is noted, from which a lookup starts to count.  Reading selects the
+boundaries of some documents at a time; a file's whole list is never decoded.
 
 Special cases.  A null or empty text is just its end id.  Rows with equal doc_id are all written, ordered by their
 text; null doc_ids come first.  An empty table makes no file and reads as no rows.  Other columns are not used.
@@ -18,9 +19,13 @@ text; null doc_ids come first.  An empty table makes no file and reads as no row
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,13 @@ END = 0
 #: Tokens of a file, about; a single longer document has a file of its own size.
 FILE_TOKENS = 4_000_000
 SAMPLE = 256
+#: Documents whose boundaries are decoded at a time.
+SLICE_DOCS = 2000
 #: Rows of an Arrow batch and bytes of text that a task holds at a time.
 BATCH_ROWS = "1000"
 TEXT_BYTES = 2 << 20
-#: Words whose ids a worker remembers before it forgets them all, and new words that are encoded together.
-CACHE_WORDS = 250_000
-LINES_AT_ONCE = 50
+#: Words whose ids a task remembers before it lets go of those it met in one batch only.
+CACHE_WORDS = 150_000
 
 
 class EliasFano:
@@ -85,10 +91,8 @@ class EliasFano:
             out |= ((self.low[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(np.int64) << b
         return out
 
-    def __getitem__(self, i: int) -> int:
-        """One number, by select: from the sample before it, whole bytes of ones are counted off."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
+    def _one(self, i: int) -> int:
+        """Place of a one, by select: from the sample before it, whole bytes of ones are counted off."""
         place = int(self.samples[i // SAMPLE])
         left = i % SAMPLE
         byte, ones = place >> 3, int(self.high[place >> 3]) >> (place & 7) << (place & 7)
@@ -98,13 +102,28 @@ class EliasFano:
             ones = int(self.high[byte])
         for _ in range(left):
             ones &= ones - 1
-        at = 8 * byte + (ones & -ones).bit_length() - 1
-        return (at - i << self.low_bits) | int(self._low(np.array([i]))[0])
+        return 8 * byte + (ones & -ones).bit_length() - 1
+
+    def run(self, first: int, last: int) -> np.ndarray:
+        """The numbers from ``first`` up to ``last``: select finds the first, those after it follow in the bits."""
+        last = min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        place, ones = self._one(first), [np.zeros(0, np.int64)]
+        byte, left = place >> 3, last - first
+        while left:
+            step = 64 + left // 4
+            found = np.flatnonzero(np.unpackbits(self.high[byte:byte + step], bitorder="little")) + 8 * byte
+            found = found[found >= place][:left]
+            ones.append(found)
+            byte, left = byte + step, left - len(found)
+        rank = np.arange(first, last)
+        return (np.concatenate(ones) - rank << self.low_bits) | self._low(rank)
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        rank = np.arange(self.n)
-        return (ones - rank << self.low_bits) | self._low(rank)
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return int(self.run(i, i + 1)[0])
 
 
 class Encoder:
@@ -112,84 +131,89 @@ class Encoder:
 
     A byte-level BPE never joins across a single blank or line feed between two characters that are not white
     space: a blank goes with the word after it, a line feed stands alone.  Texts are cut there, and the ids
-    of the pieces, joined, are the ids of the text.  New words are encoded together, each in a line of its
-    own.  Texts with other white space are encoded whole.
+    of the pieces, joined, are the ids of the text.  A new word is split by the tokenizer's own first step, if it is not one of
+    letters alone, and goes through its model.  Texts with other white space are encoded whole.
+
+    The tokenizer stays in the worker; words are remembered by a task.
     """
 
-    _last: tuple[str, Encoder] | None = None
+    _last: tuple[str, tuple] | None = None
     _other_white = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+    #: Letters up to here are letters in every version of Unicode.
+    _plain = "\u0500"
 
     def __init__(self, path: str) -> None:
-        import json
-        import os
-
+        if Encoder._last is None or Encoder._last[0] != path:
+            Encoder._last = path, self._opened(path)
+        self.tokenizer, self.joins, self.signs, line = Encoder._last[1]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.split, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.line_bytes = self._bytes(line)
+        self.known: dict[str, bytes] = {}  # ids of words, with the blank before them
+        self.again: set[str] = set()  # words met in more than one batch
+
+    @staticmethod
+    def _opened(path: str) -> tuple:
+        """The tokenizer, whether it may be fed piece by piece, the characters that stand for bytes, the ids of a line feed."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        parts = json.loads(self.tokenizer.to_str())
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        parts = json.loads(tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        # Whether the tokenizer is one that may be fed piece by piece.
-        self.joins = (parts["normalizer"] is None and before.get("type") == "ByteLevel" and len(line) == 1
-                      and not before.get("add_prefix_space") and before.get("use_regex", True))
-        self.line, self.line_bytes = line[0], np.array(line, self.kind).tobytes()
-        self.first: dict[str, bytes] = {}  # words at the beginning of a line
-        self.after: dict[str, bytes] = {}  # words after a blank
-
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if cls._last is None or cls._last[0] != path:
-            cls._last = path, cls(path)
-        return cls._last[1]
+        line = tokenizer.encode("\n", add_special_tokens=False).ids
+        joins = (parts["normalizer"] is None and before.get("type") == "ByteLevel" and len(line) == 1
+                 and not before.get("add_prefix_space") and before.get("use_regex", True))
+        plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        signs = {b: plain.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)}
+        signs |= {b: plain.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)}
+        signs |= {b: plain.pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC2, 0xE0)}
+        return tokenizer, joins, signs, line
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def cut(self, text: str) -> list[list[str]] | None:
-        """The words of each line, if no white space but single blanks and line feeds parts them."""
+        """The words of each line, with the blank before them, if no white space but single blanks and line feeds parts them."""
         if (not self.joins or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
                 or text[:1] in ("", " ", "\n") or text[-1] in " \n" or self._other_white.search(text)):
             return None
-        return [line.split(" ") for line in text.split("\n")]
-
-    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Take up new words."""
-        new = [w for w in words if w not in known]
-        groups = [new[i:i + LINES_AT_ONCE] for i in range(0, len(new), LINES_AT_ONCE)]
-        for i in range(0, len(groups), 40):
-            some = groups[i:i + 40]
-            made = self.tokenizer.encode_batch_fast([lead + ("\n" + lead).join(g) for g in some], add_special_tokens=False)
-            for group, one in zip(some, made):
-                ids = np.array(one.ids, self.kind)
-                size, ends, ids = self.kind.itemsize, np.flatnonzero(ids == self.line).tolist(), ids.tobytes()
-                start = 0
-                for word, end in zip(group, [*ends, len(ids) // size], strict=True):
-                    known[word] = ids[start * size:end * size]
-                    start = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        return [line.replace(" ", "\n ").split("\n") for line in text.split("\n")]
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word that may have a blank before it."""
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isalpha() and (bare.isascii() or max(bare) < self._plain):
+            pieces = [word.encode().decode("latin-1").translate(self.signs)]
+        else:
+            pieces = [piece for piece, _ in self.split.pre_tokenize_str(word)]
+        return self._bytes([token.id for piece in pieces for token in self.model.tokenize(piece)])
+
+    def learn(self, words: set[str]) -> None:
+        """Take up new words; if there are too many, those met once are forgotten first."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {w: self.known[w] for w in islice(self.again, CACHE_WORDS // 2)}
+            self.again = set()
+        self.again |= words & self.known.keys()
+        for word in words - self.known.keys():
+            self.known[word] = self.word(word)
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        texts = list(texts)
         cuts = [self.cut(t) for t in texts]
-        for known in (self.first, self.after):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        self.learn(self.first, {line[0] for c in cuts if c for line in c}, "")
-        after: set[str] = set()
+        words: set[str] = set()
         for c in cuts:
             for line in c or ():
-                after.update(line[1:])
-        self.learn(self.after, after, " ")
-        first, rest = self.first.__getitem__, self.after.__getitem__
-        out = []
-        for text, c in zip(texts, cuts):
-            if c is None:
-                out.append(self.whole(text))
-            else:
-                out.append(self.line_bytes.join([first(line[0]) + b"".join(map(rest, line[1:])) for line in c]))
-        return out
+                words.update(line)
+        self.learn(words)
+        ids = self.known.__getitem__
+        return [self.whole(text) if c is None else self.line_bytes.join([b"".join(map(ids, line)) for line in c])
+                for text, c in zip(texts, cuts)]
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -220,15 +244,35 @@ class File:
         return [head, EliasFano.of(ids).dump(), EliasFano.of(ends).dump(), *self.ids]
 
 
-def load(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """(doc_ids, ends, ids) of a file."""
+def load(data: bytes) -> Loaded:
     if data[:4] != MAGIC:
         raise ValueError("not a file of token ids")
     docs, without, tokens, first = (int(x) for x in np.frombuffer(data, "<i8", 4, 8))
     known, at = EliasFano.load(memoryview(data), 40)
     ends, at = EliasFano.load(memoryview(data), at)
-    ids = known.values().view(np.uint64) + np.array([first], np.int64).view(np.uint64)
-    return [None] * without + ids.view(np.int64).tolist(), ends, np.frombuffer(data, f"<u{data[4]}", tokens, at)
+    return Loaded(without, first, known, ends, np.frombuffer(data, f"<u{data[4]}", tokens, at))
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """A file: documents without doc_id, the first doc_id, the others less that, ends, ids."""
+
+    without: int
+    first: int
+    known: EliasFano
+    ends: EliasFano
+    ids: np.ndarray
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        none = max(0, min(last, self.without) - first)
+        low = np.array([self.first], np.int64).view(np.uint64)
+        own = self.known.run(max(0, first - self.without), max(0, last - self.without)).view(np.uint64) + low
+        return [None] * none + own.view(np.int64).tolist()
+
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Where documents begin, and where the last of them ends."""
+        ends = self.ends.run(max(0, first - 1), last)
+        return ends if first else np.concatenate([[0], ends])
 
 
 MANIFEST = "part int, number int, file string, docs long, tokens long"
@@ -241,7 +285,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, file_tokens: int =
                .sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         store, folder = filesystem(path)
         file = File(encoder.kind)
 
@@ -297,18 +341,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_stream(f"{folder}/{name}") as stream:
-                    docs, ends, ids = load(stream.read())
-                ends = ends.values()
-                wide = pa.py_buffer(ids.astype("<u4"))
-                step = 2000
-                for i in range(0, len(docs), step):
-                    some = ends[i:i + step]
-                    starts = np.concatenate([[ends[i - 1] if i else 0], some[:-1]])
-                    bytes_at = np.concatenate([starts[:1], some]) * 4
+                    file = load(stream.read())
+                wide = pa.py_buffer(file.ids.astype("<u4"))
+                for i in range(0, file.ends.n, SLICE_DOCS):
+                    at = file.bounds(i, i + SLICE_DOCS)
                     cells = pa.LargeBinaryArray.from_buffers(
-                        pa.large_binary(), len(some), [None, pa.py_buffer(bytes_at.astype("<i8")), wide]).cast(pa.binary())
+                        pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype("<i8")), wide]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[i:i + step], pa.int64()), pa.array(starts + base, pa.int64()), cells],
+                        [pa.array(file.doc_ids(i, i + SLICE_DOCS), pa.int64()), pa.array(at[:-1] + base, pa.int64()), cells],
                         ["doc_id", "start", "ids"])
 
     return (placed.select("file", (F.col("start") + F.col("base")).alias("start"))
