@@ -41,7 +41,7 @@ NO_ID = -(1 << 63)
 END = re.compile("[.!?…。！？\n](?:(?<=[。！？\n])|\\s)\\s*")
 
 RUNS = T.StructType([T.StructField("tie", T.IntegerType()), T.StructField("runs", T.ArrayType(T.StructType([
-    T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()), T.StructField("at", T.IntegerType())])))])
+    T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()), T.StructField("at", T.LongType())])))])
 
 
 def places(text: str) -> list[tuple[int, int]]:
@@ -99,7 +99,7 @@ def span_rows(docs: DataFrame, run_sentences: int, run_words: int, long_words: i
             sizes.append(len(at))
         halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         rows = pa.StructArray.from_arrays(
-            [pa.array(halves[:, 0]), pa.array((halves[:, 1] >> 32).astype(np.int32)), pa.array(at, pa.int32())], ["h", "g", "at"])
+            [pa.array(halves[:, 0]), pa.array((halves[:, 1] >> 32).astype(np.int32)), pa.array(at, pa.int64())], ["h", "g", "at"])
         return {"tie": pa.array([tie_of(t) for t in texts], pa.int32()),
                 "runs": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)}
 

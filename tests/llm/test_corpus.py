@@ -137,7 +137,33 @@ def test_bands_cover_partners():
         for n in range(1, 3000):
             for m in {n, -(-n * bands.num // bands.den)}:  # the smallest partner
                 assert not bands.differ(m) or set(bands.ways(m)[-1:]) <= set(bands.ways(n))
-            assert all(bands.parts(b) > 0 for b in bands.ways(n))
+            assert all(bands.parts(b) > bands.differ(n) for b in bands.ways(n))
+
+
+def test_sets_with_too_few_pieces(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard.Bands, "parts", lambda self, band: 3)  # hardly any set fills more than d of three parts
+    for options in (jaccard.QUERY, jaccard.PIPELINE):
+        want = brute.linked(rows, options["width"], options["num"], options["den"])
+        assert got(jaccard.linked(docs, **options), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_pieces_meet():
+    """Sets that just link have a piece in common, whatever they are."""
+    random = np.random.default_rng(3)
+    for options in (jaccard.QUERY, jaccard.PIPELINE):
+        bands = jaccard.Bands(options["num"], options["den"])
+        for n in [*range(2, 90), *range(100, 2000, 97)]:
+            own = random.integers(0, 1 << 63, n).astype(np.uint64)
+            d = bands.differ(n)
+            for lost in {0, d // 2, d}:
+                other = np.concatenate([own[lost:], random.integers(0, 1 << 63, d - lost).astype(np.uint64)])
+                if min(n, len(other)) * options["den"] < max(n, len(other)) * options["num"] or (n - lost) * options["den"] < (
+                        n + d - lost) * options["num"]:
+                    continue
+                (keys, short), (others, other_short) = jaccard.pieces(own, bands), jaccard.pieces(other, bands)
+                if d and not short and not other_short:
+                    assert len(np.intersect1d(np.concatenate(keys), np.concatenate(others)))
+            assert not d or not jaccard.pieces(own, bands)[1]
 
 
 def test_mix(spark, docs, rows):
@@ -177,27 +203,8 @@ def test_spans(spark):
     assert spans.dedup_spans(frame(spark, texts)).columns == frame(spark, []).columns
 
 
-def brute_spans(rows):
-    first, spots = {}, {}
-    for doc, text in sorted(rows, key=lambda r: (r[0], spans.tie_of((r[1] or "").encode()))):
-        keys = spans.keys_of(text or "")
-        for start in range(len(keys)):
-            for end in range(start + 1, len(keys) + 1):
-                n = sum(map(len, keys[start:end]))
-                if n >= 20 and (end - start >= 2 or n >= 25):
-                    spot = (doc, start)
-                    if first.setdefault(tuple(map(tuple, keys[start:end])), spot) != spot:
-                        spots.setdefault(doc, set()).update(range(start, end))
-                    break
-    return {d: len(s) for d, s in spots.items()}
-
-
-def test_spans_of_all_documents(docs, rows):
-    assert {r["doc_id"]: r["n_removed"] for r in spans.report(docs).where("n_removed > 0").collect()} == brute_spans(rows)
-
-
 def brute_all_runs(rows):
-    """Like brute_spans, over all runs."""
+    """Sentences to remove per document, over all runs."""
     first, spots, ids = {}, {}, {}
     for doc, text in sorted(rows, key=lambda r: (r[0], spans.tie_of((r[1] or "").encode()))):
         keys = [tuple(w) for w in spans.keys_of(text or "")]
@@ -261,17 +268,28 @@ def test_token_files_odd(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab1 \n\t'.,s　\xa0é日。#<|endoftext>", max_size=40))
 def test_pieces_are_the_whole(text):
-    encoder = tokens.Encoder.of(queries.tokenizer_path())
+    encoder = tokens.Encoder(queries.tokenizer_path())
     assert encoder.encode([text])[0] == encoder.whole(text)
 
 
+def test_words_are_forgotten_by_use(rows, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    encoder, texts = tokens.Encoder(queries.tokenizer_path()), [t for _, t in rows if t]
+    for i in range(0, len(texts), 7):
+        some = texts[i:i + 7]
+        assert encoder.encode(some) == [encoder.whole(t) for t in some]
+    assert 0 < len(encoder.again) and encoder.again <= encoder.known.keys()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=700))
 def test_elias_fano(values):
     values = np.array(sorted(values), np.uint64)
     data = b"pad" + tokens.EliasFano.of(values).dump()
     coded, end = tokens.EliasFano.load(memoryview(data), 3)
-    assert end == len(data) and coded.values().tolist() == values.tolist()
+    assert end == len(data) and coded.run(0, len(values)).tolist() == values.tolist()
+    for first in range(0, len(values), 97):
+        assert coded.run(first, first + 130).tolist() == values[first:first + 130].tolist()
     assert [coded[i] for i in range(len(values))] == values.tolist()
 
 
