@@ -278,7 +278,7 @@ def test_words_are_forgotten_by_use(rows, monkeypatch):
     for i in range(0, len(texts), 7):
         some = texts[i:i + 7]
         assert encoder.encode(some) == [encoder.whole(t) for t in some]
-    assert 0 < len(encoder.again) and encoder.again <= encoder.known.keys()
+    assert encoder.again <= encoder.known.keys()
 
 
 @settings(max_examples=100, deadline=None)
