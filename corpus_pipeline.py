@@ -3,6 +3,10 @@
 Each stage gets the documents that its predecessor kept, in the columns of ``documents``; the last one writes the token files and
 returns what it reads back from them: doc_id, start, n_tokens, ids_crc32.  A document that the mix takes twice
 is there twice from then on.
+
+Special cases.  Documents with a null or empty text, or with fewer words than the base rules ask for, go in the first stage.  Of rows with equal
+doc_id and equal words one stays in the second.  A null doc_id, language or source is a value like any other; documents with a null doc_id have no near duplicates.
+An empty table gives an empty result.  Columns other than those of ``documents`` are carried along as far as the mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +23,21 @@ from gleanery.session import folders, new_path, remove, write_out
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
+#: Bytes of a batch of rows that goes to Python: a batch of whole texts is held several times, in the JVM and in a worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+#: Words of a matched span from which on it is cut out of a document that stays.
+MAX_SPAN = 50
 
 
 def stage(work: Stage) -> Stage:
-    """Stage that first removes the intermediate tables of the one before, unless ``docs`` still reads them."""
+    """Stage that first removes the intermediate tables of the one before, unless ``docs`` still reads them.
+
+    The bound on batches stays set: the caller writes the result.
+    """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(*BATCH_BYTES)
         read = docs.inputFiles()
         remove(spark, [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)])
         with folders() as made:
@@ -48,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), max_length=MAX_SPAN)
 
 
 @stage
