@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gleanery.session import counted
@@ -20,7 +21,9 @@ ALNUM = bytes(
     LOWER[b] if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256)
 )
 #: Bytes of text that a task holds as Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch that goes to Python where its rows are sets or whole texts.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 #: Rows of a fixed width of at most 32 bytes that may be broadcast (16 MB).
 SMALL_ROWS = 500_000
 
@@ -70,6 +73,17 @@ def with_made(
         packed.schema["row"], T.StructField("made", made)]))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, what is written goes to Python in batches of BATCH_BYTES."""
+    usual = spark.conf.get(BATCH_BYTES[0])
+    spark.conf.set(*BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES[0], usual)
+
+
 def longs(values) -> pa.Array:
     return pa.array(values, pa.int64())
 

@@ -9,7 +9,7 @@ parts goes by band of set sizes, and is such that sets fill enough of them; a se
 band's way too.  A set that fills too few all the same, by a chance of its hashes, is held against all sets of its sizes.
 
 A part has 2 ** 64 bits, nearly all of them zero.  What is joined is the exclusive or of a hash of its set bits' numbers, which is equal for equal
-parts.  A second, short sketch of the whole set weeds out candidates by their Hamming distance before the sets themselves are
+parts.  A second, short sketch of the whole set, as long in bits as the set has shingles, weeds out candidates by their Hamming distance before the sets themselves are
 compared, exactly, by 64-bit hashes of the shingles.
 
 Equal sets are one class first, so copies cost nothing further.  Classes that share a piece are not paired all with all: each is held against the
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import LOWER, SMALL_ROWS, longs, partitions, semi_by_id, spread_fetch, with_made
+from gleanery.llm.common import LOWER, SMALL_ROWS, WHITE, small_batches, longs, partitions, semi_by_id, spread_fetch, with_made
 from gleanery.llm.components import components
 from gleanery.session import counted, write_out
 
@@ -48,13 +48,14 @@ BAND = 1.5
 SURE = 6
 #: Parts of small sets, at least, and the sizes that count as small.
 FEW_PARTS, SMALL_SET = 256, 64
-#: 64-bit words of the short sketch.
-SKETCH = 16
+#: 64-bit words of the short sketch of a set, at least and at most; in between, as many bits as shingles or more.
+LEAST_SKETCH, MOST_SKETCH = 16, 1 << 12
 #: Rounds with other pivots before all remaining pairs are tested; they only save work.
 PIVOTS = 1
 #: Members of a piece that a task pairs with the members outside its largest component.
 SHARE = 1000
-WORD_CACHE = 100_000
+#: Bytes of text whose words are hashed together.
+BLOCK = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,24 +64,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered by a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: bytes | None, width: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    words = text.translate(LOWER).split() if text else []
-    if not words:
+def powers(of: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(BLOCK - 1, of, np.uint64))])
+
+
+#: A word's hash is a sum over its bytes, of a number for the byte times a power that goes by its place, modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+SIGNS = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+POWERS, INVERSE = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+IS_WHITE = np.isin(np.arange(256), list(WHITE))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where it begins, 64-bit hash) of each word of a lower-cased text."""
+    raw = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(IS_WHITE[raw], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out, first = np.zeros(len(starts), np.uint64), 0
+    while first < len(starts):
+        at = starts[first]
+        last = int(np.searchsorted(ends, at + BLOCK, "right"))
+        if last <= first:  # a word longer than a block
+            out[first] = xxhash.xxh3_64_intdigest(text[at:ends[first]])
+            first += 1
+            continue
+        own = SIGNS[raw[at:ends[last - 1]]] * POWERS[:ends[last - 1] - at]
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(own, dtype=np.uint64)])
+        begin = starts[first:last] - at
+        out[first:last] = (upto[ends[first:last] - at] - upto[begin]) * INVERSE[begin]
+        first = last
+    return starts, mixed(out)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    at, size = [], 0
+    for text in texts:
+        at.append(size)
+        size += len(text or b"") + 1
+    starts, hashed = word_hashes(b"\n".join(t or b"" for t in texts).translate(LOWER))
+    cuts = np.searchsorted(starts, [*at, size]).tolist()
+    return [shingle_set(hashed[a:b], width) for a, b in zip(cuts, cuts[1:])]
+
+
+def shingle_set(hashed: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's words."""
+    if not len(hashed):
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    width = min(width, len(hashed))
+    out = np.full(len(hashed) - width + 1, width, np.uint64)
     for i in range(width):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashed[i:i + len(out)])
     return np.unique(out)
@@ -147,13 +180,26 @@ def pieces(own: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], bool]:
 
 
 def short_sketch(own: np.ndarray) -> np.ndarray:
-    """SKETCH words in which each shingle has flipped a bit."""
-    spot = mixed(own ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH)
-    out = np.zeros(SKETCH, np.uint64)
+    """Words in which each shingle has flipped a bit; their number is a power of two."""
+    size = min(MOST_SKETCH, max(LEAST_SKETCH, 1 << max(0, (len(own) - 1) // 64).bit_length()))
+    spot = mixed(own ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * size)
+    out = np.zeros(size, np.uint64)
     np.bitwise_xor.at(out, (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
     return out
 
 
+def apart(left: str, right: str) -> Column:
+    """Hamming distance of two sketches, the longer one folded to the length of the other.
+
+    Sets that may link differ in size by less than a factor of two, so that one fold suffices.
+    """
+    def fitted(own: str, other: str) -> str:
+        half = f"CAST(size({own}) / 2 AS INT)"
+        return (f"IF(size({own}) > size({other}), zip_with(slice({own}, 1, {half}), slice({own}, {half} + 1, {half}), (x, y) -> x ^ y), {own})")
+
+    return F.expr(f"aggregate(zip_with({fitted(left, right)}, {fitted(right, left)}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+
+
 SIGNED = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()),
     T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())),
@@ -162,12 +208,9 @@ SIGNED = T.StructType([
 
 def signatures(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """doc_id, n, h, g (128-bit hash of the set), sketch, keys (of the pieces), short (they may be too few)."""
-    known = WordHashes()  # each task gets its own
-
     def make(_, texts):
         n, digests, sketches, sizes, keys, shorts = [], [], [], [0], [], []
-        for text in texts:
-            own = shingle_set(text, width, known)
+        for own in shingle_sets(texts, width):
             n.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             sketches.append(short_sketch(own))
@@ -180,7 +223,7 @@ def signatures(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
         return {
             "n": longs(n), "h": pa.array(halves[:, 0]), "g": pa.array(halves[:, 1]),
             "sketch": pa.ListArray.from_arrays(
-                pa.array(np.arange(len(texts) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate(sketches).view(np.int64))),
+                pa.array(np.cumsum([0, *map(len, sketches)]), pa.int32()), pa.array(np.concatenate(sketches).view(np.int64))),
             "keys": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64))),
             "short": pa.array(shorts, pa.bool_())}
 
@@ -250,19 +293,18 @@ class Join:
         about = self.classes.select("node", "n", "sketch")
         side = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         near = spread_fetch(spread_fetch(pairs, "a", "b", side("a"), self.salts), "b", "a", side("b"), self.salts)
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         small, large = F.least("na", "nb"), F.greatest("na", "nb")
         near = near.where(small * self.den >= large * self.num).where(
-            apart * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num))
+            apart("sa", "sb") * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num))
         near, rows = counted(near.select("a", "b").distinct(), "near")
         if not rows:
             return near
         nodes = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        width, num, den, known = self.width, self.num, self.den, WordHashes()
+        width, num, den = self.width, self.num, self.den
         texts = semi_by_id(self.docs.select("doc_id", "text"), nodes, "doc_id", "nodes")
         sets = write_out(with_made(
             texts, ["doc_id"], "text", T.StructType([T.StructField("set", T.BinaryType())]),
-            lambda _, t: {"set": pa.array([shingle_set(x, width, known).tobytes() for x in t], pa.binary())}).select("row.doc_id", "made.set"), "sets")
+            lambda _, t: {"set": pa.array([x.tobytes() for x in shingle_sets(t, width)], pa.binary())}).select("row.doc_id", "made.set"), "sets")
         side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
         if rows <= SMALL_ROWS:  # the pairs go to the sets; each set is moved once per pair
             both = side("a").join(F.broadcast(near), "a").join(side("b").join(F.broadcast(near), "b"), ["a", "b"])
@@ -336,9 +378,8 @@ class Join:
         full = write_out(members.join(info, "node").join(largest, "key"), "rest")
         few = full.where("label != main").select("key", F.col("node").alias("other"), F.col("label").alias("_label"),
                                                  F.col("pivot").alias("_pivot"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
-        apart = F.aggregate(F.zip_with("sketch", "_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         fits = (F.least("n", "_n") * self.den >= F.greatest("n", "_n") * self.num) & (
-            apart * (self.den + self.num) <= (F.col("n") + F.col("_n")) * (self.den - self.num))
+            apart("sketch", "_sketch") * (self.den + self.num) <= (F.col("n") + F.col("_n")) * (self.den - self.num))
         # A piece is dealt out by its number of members.
         shares = sizes.groupBy("key").agg(F.ceil(F.sum("rows") / SHARE).cast("int").alias("_shares"))
         salt = F.pmod(F.xxhash64("node"), F.col("_shares")).cast("int")
@@ -353,8 +394,9 @@ class Join:
 
 def linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    job = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den)
-    labels = job.join()
+    with small_batches(docs.sparkSession):
+        job = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den)
+        labels = job.join()
     # A class has the component of its least doc_id; its rows have the class's, found by the hash of their set.
     own = job.classes.select("h", "g", "n", "node").join(labels, "node", "left").select(
         "h", "g", "n", F.coalesce("component", "node").alias("component"))
