@@ -147,6 +147,35 @@ def test_sets_with_too_few_pieces(spark, docs, rows, monkeypatch):
         assert got(jaccard.linked(docs, **options), "doc_id", "n_shingles", "component_id") == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aB \n\t\x0bé漢", max_size=30), max_size=6), st.sampled_from([4, 64, 1 << 16]))
+def test_words_of_a_batch_are_hashed_alike(texts, block):
+    usual, jaccard.BLOCK = jaccard.BLOCK, block
+    try:
+        raw = [t.encode() if t else None for t in texts]
+        words = [brute.plain_words(t.translate(brute.LOWER)) for t in texts]
+        short = {w for own in words for w in own if len(w.encode()) <= block}
+        one = {w: int(jaccard.word_hashes(w.encode())[1][0]) for w in short}
+        assert len(set(one.values())) == len(one)
+        for text, own, found in zip(raw, words, jaccard.shingle_sets(raw, 1)):
+            assert len(found) == len(set(own)) and {one[w] for w in own if w in one} <= set(
+                jaccard.word_hashes((text or b"").translate(jaccard.LOWER))[1].tolist())
+    finally:
+        jaccard.BLOCK = usual
+
+
+def test_sketches_fold(spark):
+    random = np.random.default_rng(4)
+    own = random.integers(0, 1 << 63, 1100).astype(np.uint64)
+    for other in (own[:1000], own[100:], random.integers(0, 1 << 63, 950).astype(np.uint64)):
+        row = spark.createDataFrame([tuple([int(x) for x in jaccard.short_sketch(a).view(np.int64)] for a in (own, other))], "a array<long>, b array<long>")
+        size = min(len(jaccard.short_sketch(own)), len(jaccard.short_sketch(other)))
+        folded = [np.bitwise_xor.reduce(jaccard.short_sketch(x).reshape(-1, size), axis=0) for x in (own, other)]
+        want = int(np.bitwise_count(folded[0] ^ folded[1]).sum())
+        assert row.select(jaccard.apart("a", "b")).first()[0] == row.select(jaccard.apart("b", "a")).first()[0] == want
+        assert want <= len(np.setxor1d(own, other))
+
+
 def test_pieces_meet():
     """Sets that just link have a piece in common, whatever they are."""
     random = np.random.default_rng(3)
