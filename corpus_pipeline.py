@@ -17,14 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import decontaminate, jaccard, mixing, quality, tokens
+from gleanery.llm.common import BATCH_BYTES
 from gleanery.llm.queries import table, tokenizer_path
 from gleanery.session import folders, new_path, remove, write_out
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
-#: Bytes of a batch of rows that goes to Python: a batch of whole texts is held several times, in the JVM and in a worker.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 #: Words of a matched span from which on it is cut out of a document that stays.
 MAX_SPAN = 50
 
