@@ -23,9 +23,9 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ SLICE_DOCS = 2000
 #: Rows of an Arrow batch and bytes of text that a task holds at a time.
 BATCH_ROWS = "1000"
 TEXT_BYTES = 2 << 20
-#: Words whose ids a task remembers before it lets go of those it met in one batch only.
-CACHE_WORDS = 150_000
+#: Words whose ids a task remembers twice over: those met since it last began anew, and those met before that.
+CACHE_WORDS = 200_000
 
 
 class EliasFano:
@@ -126,13 +126,33 @@ class EliasFano:
         return int(self.run(i, i + 1)[0])
 
 
+class Words(dict):
+    """Ids of words, made when they are first asked for; what was not asked for in a whole round is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+    def forget(self, most: int) -> None:
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes texts with a tokenizer, remembering the ids of words.
 
     A byte-level BPE never joins across a single blank or line feed between two characters that are not white
     space: a blank goes with the word after it, a line feed stands alone.  Texts are cut there, and the ids
-    of the pieces, joined, are the ids of the text.  A new word is split by the tokenizer's own first step, if it is not one of
-    letters alone, and goes through its model.  Texts with other white space are encoded whole.
+    of the pieces, joined, are the ids of the text.  A new word goes through the tokenizer's model; one that is more than letters is split by
+    the tokenizer's own first step before, or, if it is letters and a mark at their end, there.  Texts with other white space are encoded whole.
 
     The tokenizer stays in the worker; words are remembered by a task.
     """
@@ -141,6 +161,7 @@ class Encoder:
     _other_white = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
     #: Letters up to here are letters in every version of Unicode.
     _plain = "\u0500"
+    _marks = ".,;:!?"
 
     def __init__(self, path: str) -> None:
         if Encoder._last is None or Encoder._last[0] != path:
@@ -148,13 +169,13 @@ class Encoder:
         self.tokenizer, self.joins, self.signs, line = Encoder._last[1]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         self.line_bytes = self._bytes(line)
-        self.known: dict[str, bytes] = {}  # ids of words, with the blank before them
-        self.again: set[str] = set()  # words met in more than one batch
+        self.known = Words(self.word)  # with the blank before them
 
     @staticmethod
     def _opened(path: str) -> tuple:
-        """The tokenizer, whether it may be fed piece by piece, the characters that stand for bytes, the ids of a line feed."""
+        """The tokenizer, whether it may be fed piece by piece, the characters that stand for the bytes of a character, the ids of a line feed."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the cores
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -166,13 +187,11 @@ class Encoder:
         joins = (parts["normalizer"] is None and before.get("type") == "ByteLevel" and len(line) == 1
                  and not before.get("add_prefix_space") and before.get("use_regex", True))
         plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        signs = {b: plain.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)}
-        signs |= {b: plain.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)}
-        signs |= {b: plain.pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC2, 0xE0)}
+        signs = {c: plain.pre_tokenize_str(chr(c))[0][0] for c in range(ord(Encoder._plain))}
         return tokenizer, joins, signs, line
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -188,32 +207,19 @@ class Encoder:
         """Ids of a word that may have a blank before it."""
         bare = word[1:] if word[:1] == " " else word
         if bare.isalpha() and (bare.isascii() or max(bare) < self._plain):
-            pieces = [word.encode().decode("latin-1").translate(self.signs)]
-        else:
-            pieces = [piece for piece, _ in self.split.pre_tokenize_str(word)]
-        return self._bytes([token.id for piece in pieces for token in self.model.tokenize(piece)])
-
-    def learn(self, words: set[str]) -> None:
-        """Take up new words; if there are too many, those met once are forgotten first."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in islice(self.again, CACHE_WORDS // 2)}
-            self.again = set()
-        self.again |= words & self.known.keys()
-        for word in words - self.known.keys():
-            self.known[word] = self.word(word)
+            return self._bytes([token.id for token in self.model.tokenize(word.translate(self.signs))])
+        if bare[-1:] in self._marks and bare[:-1].isalpha():
+            return self.known[word[:-1]] + self.known[word[-1]]
+        return self._bytes([token.id for piece, _ in self.split.pre_tokenize_str(word) for token in self.model.tokenize(piece)])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        texts = list(texts)
-        cuts = [self.cut(t) for t in texts]
-        words: set[str] = set()
-        for c in cuts:
-            for line in c or ():
-                words.update(line)
-        self.learn(words)
-        ids = self.known.__getitem__
-        return [self.whole(text) if c is None else self.line_bytes.join([b"".join(map(ids, line)) for line in c])
-                for text, c in zip(texts, cuts)]
+        self.known.forget(CACHE_WORDS)
+        ids, out = self.known.__getitem__, []
+        for text in texts:
+            lines = self.cut(text)
+            out.append(self.whole(text) if lines is None else self.line_bytes.join([b"".join(map(ids, line)) for line in lines]))
+        return out
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
