@@ -46,7 +46,7 @@ SLICE_DOCS = 2000
 BATCH_ROWS = "1000"
 TEXT_BYTES = 2 << 20
 #: Words whose ids a task remembers twice over: those met since it last began anew, and those met before that.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 class EliasFano:
