@@ -13,7 +13,8 @@ Rules.  A document's size is its number of words ``[^\\x20\\x09-\\x0D]+``; a nul
 order of their code points, a null source last.
 
 Special cases.  A null source is a source.  Documents of no words are taken no words; a source without words has the target 0.  Rows with
-one doc_id share a hash, and so are picked together.  An empty table gives an empty result.  Other columns are carried along by ``mix`` in a
+one doc_id, or a null one, are told apart by their texts, and equal rows by numbers from 1 on, so that of many of them as many are picked as
+of any others.  An empty table gives an empty result.  Other columns are carried along by ``mix`` in a
 struct, whatever their names.
 """
 
@@ -21,9 +22,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleanery.llm.common import partitions
+from gleanery.llm.common import SMALL_ROWS, partitions
 from gleanery.operators.skew import lookup_join
-from gleanery.session import write_out
+from gleanery.session import counted, write_out
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -83,16 +84,38 @@ def cut(bins: DataFrame, keys: list[str], need: Column) -> DataFrame:
     return last.select(*keys, F.col("at.bin").alias("full"), F.col("at.before").alias("done"))
 
 
+def told_apart(sized: DataFrame) -> DataFrame:
+    """``sized`` with hashes ``_h`` of which those that several rows share are told apart by a number.
+
+    Equal rows are numbered within the parts in which they lie, on from the sizes of the parts before: none of them is
+    moved to the others.
+    """
+    shared, n = counted(sized.groupBy("_h").count().where("count > 1").select("_h"), "shared")
+    if not n:
+        return sized
+    few = F.broadcast(shared) if n <= SMALL_ROWS else shared
+    dealt = write_out(sized.join(few, "_h", "left_semi").withColumn("_part", F.spark_partition_id()), "equal")
+    sizes = dealt.groupBy("_h", "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_h", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_h", "_part").orderBy("_s"))
+    numbered = dealt.withColumn("_own", own).join(first, ["_h", "_part"])
+    number = F.col("_own") + F.col("_first")
+    apart = F.when(number > 1, F.md5(F.concat_ws(":", "_h", number.cast("string")))).otherwise(F.col("_h"))
+    return sized.join(few, "_h", "left_anti").unionByName(numbered.withColumn("_h", apart).drop("_part", "_own", "_first"))
+
+
 def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS,
         seed: str = SEED) -> DataFrame:
     """Struct column ``row`` (the kept columns, all by default), size, source_size, target, times, taken."""
     keep = docs.columns if keep is None else keep
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                            F.xxhash64("text").cast("string")))
     bin_at = lambda i: F.conv(F.substring("_h", i * DIGITS + 1, DIGITS), 16, 10).cast("int")
-    sized = write_out(
+    hashed = write_out(
         docs.select(F.struct(*keep).alias("row"), F.col("source"), size_of().alias("size"), key.alias("_h"))
-        .withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .select("row", "source", "_s", "size", bin_at(0).alias("_b0"), bin_at(1).alias("_b1")), "sizes")
+        .withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "hashed")
+    sized = told_apart(hashed).select("row", "source", "_s", "size", bin_at(0).alias("_b0"), bin_at(1).alias("_b1"))
     cells = write_out(sized.groupBy("_s", "source", F.col("_b0").alias("bin")).agg(F.sum("size").alias("words")), "bins")
     goals = write_out(
         targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs)
