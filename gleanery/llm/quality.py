@@ -8,7 +8,8 @@ measure, language and source; those of a language are merged from them.
 A document is held against the fences of its language and source.  The quartiles behind them are those of the
 language and source blended with those of the language, by weight of count: the language counts as ``WEIGHT`` documents, however many it
 has.  No language is judged by another.  A fence stands outside the middle half of the values by ``REACH``
-times its width and by a margin.  Word length has no fence in a language of fewer than ``MIN_LENGTH`` documents.
+times its width and by a margin.  The margin of word length, the measure that differs by language, is wider the fewer documents a language
+has, by degrees: ``SPARE`` of them double it.
 
 Special cases.  A null or empty text has no words and fails the base rules.  Null languages
 and sources are groups of their own.  Every row is judged by itself; repeated rows count
@@ -37,8 +38,8 @@ MAX_REPEATED = 20
 WINDOW = 5
 #: Documents of a language and source whose quartiles count as much as those of the language.
 WEIGHT = 300
-#: Documents that a language needs for fences of word length, the measure that differs by language.
-MIN_LENGTH = 20
+#: Documents of a language whose margin of word length is twice that of a language with any number of them.
+SPARE = 100
 REACH = 3
 #: Least distance between the middle half and a fence, and whether the lower side has a fence.  Rates are per
 #: thousand words or lines, word length is in hundredths of a character.
@@ -141,9 +142,9 @@ def fences(name: str, weight: int) -> Column:
     blend = lambda q: F.expr(
         f"(own.{name}.n * own.{name}.{q} + {weight} * lang.{name}.{q}) DIV (own.{name}.n + {weight})")
     margin, below = MEASURES[name]
-    width = REACH * (blend("q3") - blend("q1")) + margin
-    ends = F.struct((blend("q1") - width if below else F.lit(None).cast("long")).alias("low"), (blend("q3") + width).alias("high"))
-    return F.when(F.col("lang")[name]["n"] >= MIN_LENGTH, ends) if name == "length" else ends
+    spare = F.expr(f"{margin * SPARE} DIV lang.{name}.n") if name == "length" else F.lit(0)
+    width = REACH * (blend("q3") - blend("q1")) + margin + spare
+    return F.struct((blend("q1") - width if below else F.lit(None).cast("long")).alias("low"), (blend("q3") + width).alias("high"))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None, weight: int = WEIGHT) -> DataFrame:
