@@ -181,3 +181,34 @@ def personal_data(docs):
         counts = [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
         out.append((doc, *counts, hashlib.sha256(joined.encode()).hexdigest()))
     return out
+
+
+def kept(docs, weight=300, spare=100):
+    """doc -> kept of (doc, text, lang, source), from sorted lists of rounded values."""
+    limits = {"marks": (200, False), "lines": (300, False), "repeats": (100, False), "length": (150, True)}
+    measured, groups = {}, collections.defaultdict(list)
+    for (doc, text, lang, source), row in zip(docs, quality([d[:2] for d in docs])):
+        _, n, chars, symbols, dup, repeats, failed = row
+        lines = sum(1 for x in (text or "").split("\n") if x.strip(WHITE))
+        values = {"marks": 1000 * symbols // n, "lines": 1000 * dup // lines, "repeats": 1000 * repeats // n, "length": 100 * chars // n} if n else {}
+        measured[doc] = (values, lang, source, failed)
+        if not failed:
+            for name, value in values.items():
+                shift = max(value.bit_length() - 6, 0)
+                for key in ((name, lang, source), (name, lang)):
+                    groups[key].append(value >> shift << shift)
+    fence = {}
+    for key in [k for k in groups if len(k) == 3]:
+        name, lang, _ = key
+        own, whole = sorted(groups[key]), sorted(groups[name, lang])
+        n, quartile = len(own), lambda x, q: x[-(-q * len(x) // 4) - 1]
+        low, high = ((n * quartile(own, q) + weight * quartile(whole, q)) // (n + weight) for q in (1, 3))
+        margin, below = limits[name]
+        width = 3 * (high - low) + margin + (margin * spare // len(whole) if name == "length" else 0)
+        fence[key] = (low - width if below else None, high + width)
+    out = {}
+    for doc, (values, lang, source, failed) in measured.items():
+        fits = all((fence[n, lang, source][0] is None or v >= fence[n, lang, source][0]) and v <= fence[n, lang, source][1]
+                   for n, v in values.items()) if not failed else False
+        out[doc] = fits
+    return out
