@@ -283,14 +283,14 @@ class Join:
         self.salts = partitions(docs)
         self.signed = write_out(signatures(docs, width, self.bands), "signed")
         own = self.signed.where("n > 0 AND doc_id IS NOT NULL")
-        # Classes of equal sets; equal sets have equal sketches and keys.
-        self.classes = write_out(own.groupBy("h", "g", "n").agg(
-            F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("short").alias("short")), "classes")
+        # Classes of equal sets, by their least doc_id; that one's row has the sketch and the keys, which are not moved.
+        self.classes = write_out(own.groupBy("h", "g", "n").agg(F.min("doc_id").alias("node"), F.first("short").alias("short")), "classes")
+        self.own = own.select(F.col("doc_id").alias("node"), "n", "sketch", "keys")
         self.links = None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link."""
-        about = self.classes.select("node", "n", "sketch")
+        about = self.own.select("node", "n", "sketch")
         side = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         near = spread_fetch(spread_fetch(pairs, "a", "b", side("a"), self.salts), "b", "a", side("b"), self.salts)
         small, large = F.least("na", "nb"), F.greatest("na", "nb")
@@ -330,7 +330,7 @@ class Join:
 
     def join(self) -> DataFrame:
         """node, component of the classes that have a link; classes by their least doc_id."""
-        met = write_out(meetings(self.classes), "met")
+        met = write_out(meetings(semi_by_id(self.own.select("node", "keys"), self.classes.select("node").distinct(), "node", "nodes")), "met")
         # Each class against one pivot first; then against others, where these are not of its component by now.
         star = met.where("node != pivot")
         links = self.verify(star.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
@@ -374,7 +374,7 @@ class Join:
         """
         sizes = members.groupBy("key", "label").agg(F.count("*").alias("rows"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("rows", "label"))["label"].alias("main"))
-        info = self.classes.select("node", "n", "sketch")
+        info = self.own.select("node", "n", "sketch")
         full = write_out(members.join(info, "node").join(largest, "key"), "rest")
         few = full.where("label != main").select("key", F.col("node").alias("other"), F.col("label").alias("_label"),
                                                  F.col("pivot").alias("_pivot"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
