@@ -279,11 +279,12 @@ def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
 
 def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
          coverage: tuple[int, int] = COVERAGE, block_words: int = BLOCK_WORDS,
-         blocks_per_pass: int = BLOCKS_PER_PASS) -> DataFrame:
+         blocks_per_pass: int = BLOCKS_PER_PASS, max_length: int | None = None) -> DataFrame:
     """Struct columns ``row`` (the kept columns of the document, all by default) and ``hits``.
 
     ``hits`` has n_words, n_hit, longest (longest match with a window in it), items (sorted
-    ids), spans (hit words, as start, end, start, end), contaminated.
+    ids), spans (hit words, as start, end, start, end), contaminated; with a ``max_length`` also text, without the spans
+    of more words.
     """
     spark = docs.sparkSession
     built, blocks = automata(items, window, block_words)
@@ -296,22 +297,24 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, windo
         shared = spark.sparkContext.broadcast(blobs)
         given = None if done is None else F.col("made")
 
-        scanner = Scanner(shared)  # each task gets its own
+        scanner, last = Scanner(shared), i + blocks_per_pass >= len(blocks)  # each task gets its own
 
-        def make(before, texts, scanner=scanner):
+        def make(before, texts, scanner=scanner, last=last):
             counts, spans, found, longest = scanner.scan(texts)
             for d, old in enumerate(before):
                 if old is not None:
                     spans[d] = merged(list(zip(spans[d][::2], spans[d][1::2])) + list(zip(old["spans"][::2], old["spans"][1::2])))
                     found[d] |= set(old["items"])
                     longest[d] = max(longest[d], old["longest"])
-            return {
+            rest = {} if max_length is None else {"text": pa.array(
+                [shortened(t, s, max_length) if last else None for t, s in zip(texts, spans)], pa.binary()).cast(pa.string())}
+            return rest | {
                 "n_words": longs(counts), "n_hit": longs([sum(s[1::2]) - sum(s[::2]) for s in spans]),
                 "longest": longs(longest), "items": pa.array([sorted(f) for f in found], pa.list_(pa.string())),
                 "spans": pa.array(spans, pa.list_(pa.int64()))}
 
-        last = i + blocks_per_pass >= len(blocks)
-        done = with_made(now, ["row"] if last else ["row", "text"], "text", HITS, make, given)
+        made = HITS if max_length is None else T.StructType([*HITS, T.StructField("text", T.StringType())])
+        done = with_made(now, ["row"] if last else ["row", "text"], "text", made, make, given)
         if not last:
             now = write_out(done, "scan").select("row.row", "row.text", "made")
     hit, words = F.col("made.n_hit"), F.col("made.n_words")
@@ -334,6 +337,12 @@ def cut_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def shortened(text: bytes | None, spans: list[int], max_length: int) -> bytes | None:
+    """Text without the spans of more than ``max_length`` words."""
+    long = [x for a, b in zip(spans[::2], spans[1::2]) if b - a > max_length for x in (a, b)]
+    return cut_spans(text, long) if long else text
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: tuple[int, int] = COVERAGE,
                   max_length: int | None = None) -> DataFrame:
     """Documents, in their columns, without contamination.
@@ -341,18 +350,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     Documents beyond the coverage limit go.  From the others, spans of hit words longer
     than ``max_length`` words are cut; without a length limit they stay as they are.
     """
-    judged = scan(docs, items, window=window, coverage=coverage).where("NOT hits.contaminated")
-    if max_length is None:
-        return judged.select("row.*")
-    made = T.StructType([T.StructField("text", T.StringType())])
-
-    def make(spans, texts):
-        long = [[x for a, b in zip(s[::2], s[1::2]) if b - a > max_length for x in (a, b)] for s in spans]
-        return {"text": pa.array([t if t is None or not s else cut_spans(t, s) for t, s in zip(texts, long)],
-                                 pa.binary()).cast(pa.string())}
-
-    cut = with_made(judged, ["row"], "row.text", made, make, "hits.spans")
-    return cut.select(*[(F.col("made.text") if c == "text" else F.col(f"row.row.`{c}`")).alias(c) for c in docs.columns])
+    judged = scan(docs, items, window=window, coverage=coverage, max_length=max_length).where("NOT hits.contaminated")
+    text = F.col("row.`text`" if max_length is None else "hits.text")
+    return judged.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
