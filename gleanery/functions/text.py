@@ -17,9 +17,10 @@ from gleanery.session import write_out
 
 # Rounds of a replacement that puts text in before the text is written out and looked at again.
 ROUNDS = 8
-# Rules that become one plan, and how much longer a rule may make a text.
+# Rules that become one plan.
 RULES_AT_ONCE = 100
-GROWTH = 1000
+# Characters that a text may have while a rule makes it longer.  Nothing else bounds how much longer it gets.
+LONGEST = 1 << 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,7 +85,7 @@ def until_stable(once: Sql, matches: Sql, *, shrinks: bool = True) -> Step:
     that is not goes on in at most as many rounds as it has characters, enough
     for a replacement that shrinks the text.  These rounds come in blocks that
     are skipped when the text is stable.  A replacement that may not shrink
-    does ``ROUNDS`` rounds; ``apply_replace_list`` goes on where that is not enough.
+    does ``ROUNDS`` rounds; ``apply_replace_list`` goes on with the texts for which that is not enough.
     """
 
     def rounds(value: str, count: str, inner: Sql, acc: str) -> str:
@@ -132,7 +133,7 @@ def replace_step(pattern: str, replacement: str) -> Step:
     java = to_java(pattern).java
     return until_stable(
         lambda v: f"regexp_replace({v}, {quote('(?iu)' + java)}, {quote(to_java_replacement(replacement))})",
-        lambda v: f"rlike({v}, {quote(java)})",
+        lambda v: f"rlike({v}, {quote(java)})" + (f" AND length({v}) <= {LONGEST}" if replacement else ""),
         shrinks=replacement == "",
     )
 
@@ -164,52 +165,73 @@ def apply_replace_list(df: DataFrame, column: str, rules: Sequence[tuple[str, st
                        flag: str | None = None) -> DataFrame:
     """Apply (pattern, replacement) rules in order, each until stable.
 
-    Rules are applied in groups.  After each, texts in which a rule that puts text in
-    still matches are counted; the rule goes on as long as it changes any of them, however many
-    rounds that takes.  A rule that grows a text beyond ``GROWTH`` times its first length, or that
-    leaves it as it is and still matches, has no end; ``flag`` names a column that marks such texts.
+    All texts pass all rules once.  A text that a rule which puts text in still matches waits at that rule; only
+    the waiting ones go on, in further passes over them alone.  A rule has no end for a text if the replacement
+    itself holds a match, or if the text comes back to a state it has been in; ``flag`` names a column that marks such texts, and those
+    that outgrow ``LONGEST``.
     """
-    endless = "_endless"
-    df = df.withColumns({"_first": F.length(column), endless: F.lit(False)})
-    for i in range(0, len(rules), RULES_AT_ONCE):
-        group = rules[i:i + RULES_AT_ONCE]
-        growing = [(p, r) for p, r in group if r != ""]
-        if not growing:
-            for pattern, replacement in group:
-                df = apply_steps(df, column, [replace_step(pattern, replacement)])
-            if len(rules) > RULES_AT_ONCE:
-                df = write_out(df, "replaced")
-            continue
-        for pattern, replacement in group:
-            df = apply_steps(df, column, [replace_step(pattern, replacement)])
-            if replacement != "":
-                df = _to_the_end(df, column, pattern, replacement, endless)
-    df = df.drop("_first")
-    return df.withColumnRenamed(endless, flag) if flag else df.drop(endless)
-
-
-def _to_the_end(df: DataFrame, column: str, pattern: str, replacement: str, endless: str) -> DataFrame:
-    """Go on with a rule on the texts that it still matches."""
-    matches = F.rlike(F.col(column), F.lit(to_java(pattern).java)) & ~F.col(endless)
-    df = df.withColumn("_again", F.coalesce(matches, F.lit(False)))
-    if df.where("_again").limit(1).count() == 0:
-        return df.drop("_again")
-    step = replace_step(pattern, replacement)
-    while True:
-        before = df.withColumn("_before", F.col(column))
-        after = before.withColumn(column, F.when(F.col("_again"), step(column)).otherwise(F.col(column)))
-        stuck = F.col("_again") & ((F.col(column) == F.col("_before")) | (F.length(column) > GROWTH * (F.col("_first") + 1)))
-        after = after.withColumn(endless, F.col(endless) | stuck).drop("_before")
+    endless = flag or "_endless"
+    rules = list(rules)
+    df = df.withColumns({"_next": F.lit(0), endless: F.lit(False)})
+    feeding = _feeding(df, rules)
+    if not any(r for _, r in rules):
+        df = _pass(df, column, rules, feeding, endless).drop("_next")
+        return df if flag else df.drop(endless)
+
+    def written(passed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        waits = (F.col("_next") < len(rules)) & ~F.col(endless)
         seen = Observation()
-        after = after.withColumn("_again", F.coalesce(matches, F.lit(False)))
-        df = write_out(after.observe(seen, F.count_if("_again").alias("left")), "replaced")
-        if not seen.get["left"]:
-            return df.drop("_again")
+        passed = write_out(passed.observe(seen, F.count_if(waits).alias("waiting")), "replaced")
+        return passed.where(~waits), passed.where(waits), seen.get["waiting"]
+
+    state = F.xxhash64(column, F.length(column))
+    ready, work, waiting = written(_pass(df, column, rules, feeding, endless))
+    parts = [ready]
+    work = work.withColumn("_states", F.array(state))
+    while waiting:
+        now = _pass(work.withColumn("_before", F.col("_next")), column, rules, feeding, endless)
+        stays = F.col("_before") == F.col("_next")
+        stuck = stays & (F.array_contains("_states", state) | (F.length(column) > LONGEST))
+        now = now.withColumn(endless, F.col(endless) | F.coalesce(stuck, F.lit(False)))
+        now = now.withColumn("_states", F.when(stays, F.array_append("_states", state)).otherwise(F.array(state)))
+        ready, work, waiting = written(now.drop("_before"))
+        parts.append(ready.drop("_states"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.drop("_next") if flag else whole.drop("_next", endless)
+
+
+def _feeding(df: DataFrame, rules: Sequence[tuple[str, str]]) -> set[int]:
+    """Rules whose replacement, a plain text, holds a match wherever it stands."""
+    asked = [(i, to_java(p).java, r) for i, (p, r) in enumerate(rules) if r and "$" not in r and to_java(p).self_contained]
+    if not asked:
+        return set()
+    held = df.sparkSession.createDataFrame(asked, "i int, java string, text string")
+    return {row["i"] for row in held.where("rlike(text, java)").collect()}
+
+
+def _pass(df: DataFrame, column: str, rules: Sequence[tuple[str, str]], feeding: set[int], endless: str) -> DataFrame:
+    """Each text goes on from the rule at which it stands (``_next``), as far as it gets."""
+    for i, (pattern, replacement) in enumerate(rules):
+        here = (F.col("_next") == i) & ~F.col(endless)
+        matches = F.coalesce(F.rlike(F.col(column), F.lit(to_java(pattern).java)), F.lit(False))
+        if i in feeding:  # once, as it has no end
+            once = F.regexp_replace(column, "(?iu)" + to_java(pattern).java, to_java_replacement(replacement))
+            df = df.withColumn("_hit", here & matches).withColumn(column, F.when(F.col("_hit"), once).otherwise(F.col(column)))
+            df = df.withColumn(endless, F.col(endless) | F.col("_hit")).drop("_hit")
+        else:
+            df = df.withColumn(column, F.when(here, replace_step(pattern, replacement)(column)).otherwise(F.col(column)))
+        finished = here & ~matches if replacement else here
+        df = df.withColumn("_next", F.when(finished, i + 1).otherwise(F.col("_next")))
+        if i % RULES_AT_ONCE == RULES_AT_ONCE - 1 and i + 1 < len(rules):
+            df = write_out(df, "replaced")
+    return df
 
 
-def content_filter(df: DataFrame, column: str, replace_list: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """The whole clean-up of harvested text, in place."""
-    return apply_replace_list(apply_steps(df, column, CONTENT_FILTER), column, replace_list)
+def content_filter(df: DataFrame, column: str, replace_list: Sequence[tuple[str, str]] = (), flag: str | None = None) -> DataFrame:
+    """The whole clean-up of harvested text, in place; ``flag`` as in ``apply_replace_list``."""
+    return apply_replace_list(apply_steps(df, column, CONTENT_FILTER), column, replace_list, flag)
 
 
 # ------------------------------------------------------------------ decoding

@@ -49,14 +49,32 @@ def substrings(stored: DataFrame, lengths: DataFrame) -> DataFrame:
     return by_size.select("id", F.explode(F.array_distinct(pieces)).alias("short_title"))
 
 
+# Bits of the map of wanted titles that meets the substrings of a large batch: 16 MB, broadcast in pieces of 4 KB.
+MAP_BITS = 1 << 27
+
+
+def mapped(rows: DataFrame, wanted: DataFrame, column: str, bits: int = MAP_BITS) -> DataFrame:
+    """Rows whose ``column`` may be among the ``wanted`` ones: all that are, and few that are not.
+
+    The map has a bit for the hash of each wanted value; its size is fixed, however many there are.
+    """
+    spot = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    pieces = wanted.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    place = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumn("_piece", F.bitmap_bucket_number(spot)).join(F.broadcast(pieces), "_piece")
+    return near.where(F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1).drop("_piece", "_bits")
+
+
 def contains_match(harvested: DataFrame, stored: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """(title, short_title, id, stored_title): first stored title that contains
     the harvested one without its trailing dots.
 
     A title contains another exactly if one of its substrings equals it, so
     this is an equi join: work grows with the catalog, not with the product.
-    A small batch is broadcast and meets the substrings where they arise;
-    otherwise they are reduced to the lowest id each before they are joined.
+    A small batch is broadcast and meets the substrings where they arise; of a large one a map of bits
+    is, so that the substrings that are shuffled are hits, and few others.
     """
     asked = harvested.select("title").distinct().withColumn("short_title", trim_dots(F.col("title")))
     asked = asked.where("short_title <> ''")
@@ -70,7 +88,7 @@ def contains_match(harvested: DataFrame, stored: DataFrame, broadcast: bool | No
         found = titles.join(F.broadcast(first), "id")
     else:
         # An inner join stays above the aggregate, which shrinks hot substrings first.
-        first = pieces.groupBy("short_title").agg(F.min("id").alias("id")).join(wanted, "short_title")
+        first = mapped(pieces, wanted, "short_title").groupBy("short_title").agg(F.min("id").alias("id")).join(wanted, "short_title")
         found = salted_join(write_out(first, "first-hits"), titles, ["id"], "inner", ["short_title"])
     return asked.join(found, "short_title").select("title", "short_title", "id", "stored_title")
 

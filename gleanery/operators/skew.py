@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gleanery.session import size_of
+
 # A key is hot from this many rows on; every HOT_ROWS of it form one share.
 HOT_ROWS = 100_000
 # Bounds of the table of hot keys, which is broadcast: 65,536 rows of 12 bytes.
@@ -65,8 +68,35 @@ def salted_join(
     return shared.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+# Nodes of a plan that give no more rows than they get.
+NARROWING = {"Project", "Filter", "Distinct", "Deduplicate", "Aggregate", "SubqueryAlias", "Sort", "GlobalLimit", "LocalLimit"}
+
+
+def most(df: DataFrame) -> tuple[int, int] | None:
+    """(rows, bytes) that a table has at most, where that follows from the written tables it selects from."""
+    def of(plan) -> tuple[int, int] | None:
+        kind = plan.nodeName()
+        if kind.startswith("Relation") or kind == "LogicalRelation":
+            paths = plan.relation().location().rootPaths()
+            size = size_of(paths.head().toString()) if paths.size() == 1 else None
+            return size if size and size[1] is not None else None
+        parts = [of(plan.children().apply(i)) for i in range(plan.children().size())]
+        if kind == "Union" and all(parts):
+            return sum(p[0] for p in parts), sum(p[1] for p in parts)
+        keeps_left = kind == "Join" and plan.joinType().toString() in ("LeftSemi", "LeftAnti")
+        return parts[0] if kind in NARROWING or keeps_left else None
+
+    try:
+        return of(df._jdf.queryExecution().analyzed())
+    except Py4JError:  # a leaf of another kind
+        return None
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is small enough to broadcast; reads no more than the bound."""
+    """Whether a table is small enough to broadcast; reads no more than the bound, and nothing where the sizes of written tables tell."""
+    bound = most(df)
+    if bound and bound[0] <= max_rows and 4 * bound[1] <= max_bytes:  # a selected text may be joined of several
+        return True
     sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes")).take(max_rows + 1)
     return len(sizes) <= max_rows and sum(s["bytes"] for s in sizes) <= max_bytes
 

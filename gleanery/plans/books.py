@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.functions import fixed_values as fixed, text
-from gleanery.functions.urls import resolve, site_root, url_key
+from gleanery.functions import clock, fixed_values as fixed, text
+from gleanery.functions.urls import host, resolve, site_root, url_key
 from gleanery.operators import chains, extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, lookup_join, salted_join
 from gleanery.schemas import MAX_LENGTHS, with_defaults
+from gleanery.plans.memory import Memory
 from gleanery.plans.site import PAGE_ID, NextLinks, Site, set_aside, stack, usable_rules
 from gleanery.session import counted, write_out
 from gleanery.sources.catalog import Catalog
@@ -23,54 +24,48 @@ INFO_FIELDS = ["title", "author", "intro", "length", "status", "cls", "image"]
 CHAPTER_FIELDS = ["title", "user", "content"]
 
 
-def heads_of(items: DataFrame, steps: DataFrame, rows: int) -> DataFrame:
-    """Wanted chapters (source, rule, pos, key) but those that follow an earlier one of their list by one next link.
-
-    Whatever the walk from such a chapter reaches, the walk from the earlier one reaches too, under the earlier position.  On
-    a list in reading order whose chapters are linked, one walk per book is left of as many as there are chapters.
-    ``steps``: next links (rule, key, next).
-    """
-    follows = salted_join(items, steps, PAGE_ID, "inner", ["source", "pos"], rows=rows).select(
-        "source", "rule", F.col("next").alias("key"), "pos")
-    first = follows.groupBy("source", *PAGE_ID).agg(F.min("pos").alias("_before"))
-    judged = items.join(first, ["source", *PAGE_ID], "left")
-    return judged.where(F.col("_before").isNull() | (F.col("_before") >= F.col("pos"))).drop("_before")
-
-
 def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
                   blacklist: DataFrame | None = None, replace_list: list[tuple[str, str]] = (),
-                  as_of: Column | None = None, writer: str = "") -> None:
+                  as_of: Column | None = None, writer: str = "", memory: Memory | None = None) -> None:
     """Harvest one crawl pass into batch ``batch`` of the catalog.
 
     ``pages`` hold page_id, url and html, or, as bytes, content: these are decoded by the charset of the rule that reads them.
+    With a ``memory`` of earlier passes, ``pages`` are those that are new, and only books are looked at that they bear on.
     """
-    local_time = F.convert_timezone(F.current_timezone(), F.lit("+08:00"), F.localtimestamp())
-    now = (local_time if as_of is None else as_of).cast("timestamp_ntz")
+    now = clock.book_time() if as_of is None else as_of.cast("timestamp_ntz")
     aside: list[DataFrame] = []
 
     rules, bad_rules = usable_rules(rules, BOOK, pages)
     aside.append(set_aside(bad_rules, "rule", F.col("reason"), url="ListUrl"))
     rules = rules.select("rule", "_charset", site_root(F.col("SiteDomain")).alias("root"), "TargetSiteUrl", "ListUrl",
                          *PATTERNS[BOOK])
-    site = Site.of(pages, rules)
+    site = Site.of(pages, rules, memory)
+    ledger = write_out(catalog.ledger(before=batch), "ledger")
 
     def link(rule_field: str) -> Column:
         return extract.next_link(F.col("html"), F.col(rule_field), F.col("root"), whole=True)
 
+    home = [rules.select("rule", host(F.col(c)).alias("host")) for c in ("ListUrl", "root")]
     onward = NextLinks(site, {"next_list": link("ListUrlNextRule"), "next_content": link("NextContentRule"),
-                              "next_chapter": link("NextChapterUrlRule")})
+                              "next_chapter": link("NextChapterUrlRule")}, stack(home))
 
     # Lists and the books on them.
+    def listed_on(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        opened = site.open(lists, "html", "root", "ListRule")
+        found = extract.explode_matches(opened.where("found"), [*PAGE_ID, "step", "root"],
+                                        extract.all_matches(F.col("html"), F.col("ListRule"), LIST_FIELDS))
+        return found.withColumn("url", resolve(F.col("url"), F.col("root"))).drop("root"), opened.where("found is null").select(*PAGE_ID)
+
     starts = rules.select(F.col("rule").alias("seed"), "rule", url_key(F.col("ListUrl")).alias("key"))
-    opened = site.open(onward.walk(starts, "next_list").select(*PAGE_ID, "step"), "html", "root", "ListRule")
-    aside.append(set_aside(opened.where("found is null"), "list", "missing_page", url="key"))
-    listed = extract.explode_matches(
-        opened.where("found"), ["rule", "step", "root"],
-        extract.all_matches(F.col("html"), F.col("ListRule"), LIST_FIELDS))
+    listed, missing = site.items(onward.walk(starts, "next_list").select(*PAGE_ID, "step"),
+                                 "pos bigint, title string, url string", listed_on)
+    aside.append(set_aside(missing, "list", "missing_page", url="key"))
     if blacklist is not None:
         listed = lookup.exclude(listed, blacklist, "title", ["rule", "step", "pos"])
-    listed = listed.withColumn("url", resolve(F.col("url"), F.col("root"))).withColumn("key", url_key(F.col("url")))
-    listed = first_per_key(listed.drop("root"), PAGE_ID, ["step", "pos"])
+    listed = listed.withColumn("key", url_key(F.col("url")))
+    listed = first_per_key(listed, PAGE_ID, ["step", "pos"]).withColumn("source", F.concat_ws("\n", *PAGE_ID))
+    if memory is not None:
+        listed = write_out(memory.awake(listed, ledger.where("state = 'open'").withColumn("key", url_key(F.col("url")))), "awake")
 
     # Info pages.
     info = extract.first_match(F.col("html"), F.col("InfoRule"), INFO_FIELDS)
@@ -78,12 +73,13 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
                        "html", "root", "TargetSiteUrl", "InfoRule", "ChapterListUrlRule")
     opened = opened.withColumn("_info", info).withColumn("list_link", link("ChapterListUrlRule"))
     found = opened.select(
-        *PAGE_ID, F.col("link").alias("url"), "step", "pos", "list_link", "root", "TargetSiteUrl", "_info.*",
+        "source", *PAGE_ID, F.col("link").alias("url"), "step", "pos", "list_link", "root", "TargetSiteUrl", "_info.*",
         F.col("found").isNull().alias("missing")).drop("whole").withColumnRenamed("cls", "class_name")
     reason = (F.when(F.col("missing"), "missing_page").when(~F.col("matched"), "no_match:InfoRule")
-              .when(F.col("title") == "", "empty_title"))
-    found, n_found = counted(text.content_filter(found, "intro", replace_list), "info")
+              .when(F.col("title") == "", "empty_title").when(F.col("endless"), "endless_rule:intro"))
+    found, n_found = counted(text.content_filter(found, "intro", replace_list, "endless"), "info")
     found, bad = quarantine.split(found, reason)
+    found = found.drop("endless")
     aside.append(set_aside(bad, "info", F.col("reason")))
     found, bad = quarantine.fitting(found, "book")
     aside.append(set_aside(bad, "info", F.col("reason")))
@@ -101,8 +97,7 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
                                         "last_chapter_id", "last_chapter_title"), ["title", "author"], ["book_id"])
     found = found.drop("class_name")
     owned = write_out(salted_join(found, owners, ["title", "author"], "inner", PAGE_ID, rows=n_found)
-                      .withColumnRenamed("title", "book_title")
-                      .withColumn("source", F.concat_ws("\n", *PAGE_ID)), "owned")
+                      .withColumnRenamed("title", "book_title"), "owned")
     covers = owned.where("image <> ''").select(
         F.lit("book").alias("parent"), F.col("book_id").alias("id"),
         resolve(F.col("image"), F.col("root")).alias("image_url"),
@@ -125,17 +120,17 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     items = write_out(items.select(
         "source", "rule", "pos", url_key(resolve(F.col("url"), F.col("root"))).alias("key")), "wanted-chapters")
 
-    # Chapter pages, the pages that continue a chapter, the chapters that follow.
-    chapters = onward.walk(heads_of(items, onward.steps(items, "next_chapter"), n_items).select(
-        F.struct("source", "pos").alias("seed"), *PAGE_ID), "next_chapter")
-    chapters = chapters.select("seed.*", *PAGE_ID, "step")
+    # Chapter pages, the pages that continue a chapter, the chapters that follow.  A page that several listed chapters lead
+    # to counts from the first of them.
+    chapters = onward.first(items.select(F.col("source").alias("group"), *PAGE_ID, F.col("pos").alias("rank")), "next_chapter")
+    chapters = chapters.withColumnsRenamed({"group": "source", "rank": "pos"})
     n_chapters = chapters.count()
     starts = chapters.select(F.struct(*PAGE_ID).alias("seed"), *PAGE_ID).distinct()
     parts = onward.walk(starts, "next_content").withColumnRenamed("step", "part")
     content = extract.first_match(F.col("html"), F.col("ContentRule"), CHAPTER_FIELDS)
     parts = site.open(parts, "html", "ContentRule").withColumn("_content", content)
     parts = write_out(parts.select(
-        "seed", F.col("part").alias("step"), "_content.title", F.col("_content.content").alias("text"),
+        "seed", *PAGE_ID, F.col("part").alias("step"), "_content.title", F.col("_content.content").alias("text"),
         F.when(F.col("found").isNull(), "missing_page").when(~F.col("_content.matched"), "no_match:ContentRule")
         .alias("reason")), "parts")
     heads = parts.groupBy("seed").agg(
@@ -164,11 +159,18 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     texts = texts.select("seed.*", "content")
     numbered = saved.select(*PAGE_ID, F.col("id").alias("chapter_id"), "title")
     texts = salted_join(numbered, texts, PAGE_ID, "inner", ["chapter_id"], rows=n_chapters)
-    texts = text.content_filter(texts, "content", replace_list).withColumn(
-        "content", text.html_decode(F.col("content")))
+    texts = text.content_filter(texts, "content", replace_list, "endless")
+    if replace_list:
+        aside.append(set_aside(texts.where("endless"), "chapter_content", "endless_rule", url="key"))
+    texts = texts.where("NOT endless").withColumn("content", text.html_decode(F.col("content")))
     pointers = incremental.last_children(saved, "book_id", ["id"], {
         "last_id": F.col("id"), "last_title": F.col("title"), "update_time": now})
+    if memory is not None:
+        of_parts = parts.where("step > 0").select(F.col("seed.rule").alias("rule"), F.col("seed.key").alias("_first"), "key")
+        of_parts = salted_join(of_parts, chapters.select("source", "rule", F.col("key").alias("_first")), ["rule", "_first"], "inner", ["key"])
+        memory.keep("touched", stack([t.select("source", *PAGE_ID) for t in (listed, target, chapters, of_parts)]).distinct())
 
+    set_asides = write_out(stack(aside), "aside")
     catalog.commit(batch, {
         "class": new_classes,
         "book": new_books,
@@ -176,5 +178,6 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
         "chapter_content": texts,
         "pointer": pointers.withColumnRenamed("book_id", "parent_id").withColumn("parent", F.lit("book")),
         "cover": covers,
-        "quarantine": stack(aside),
+        "quarantine": set_asides,
+        "ledger": site.settle(ledger, set_asides),
     }, writer)

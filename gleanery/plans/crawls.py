@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gleanery.plans.assembly import DOMAIN_SQL, EXTENSIONS, SOURCES_SQL, _numbered, _strip, sources_of
 from gleanery.plans.books import harvest_books
@@ -12,6 +12,7 @@ from gleanery.plans.series import harvest_series
 from gleanery.schemas import BOOK_RULE, SERIES_RULE
 from gleanery.session import new_path, write_out
 from gleanery.sources.catalog import Catalog
+from gleanery.streaming.harvest import poll_books
 
 LIST_SIZE = 20
 SITES = 4
@@ -128,3 +129,41 @@ def series_job(spark, sf_dir):
     series = catalog.table("series").select(F.col("id").alias("movie_id"), "class_name", "face_image")
     return catalog.table("episode").join(series, "movie_id").select(
         "movie_title", "kind", "title", "url", "class_name", "face_image")
+
+
+@query(f"""
+SELECT 'book ' || conv_id AS book_title, 'turn ' || turn AS title, CAST(length(text) AS INT) AS text_length,
+       {sql_entities(sql_filter('text'))} AS content, turn + 1 AS place FROM conversations""")
+def stream_catalog(spark, sf_dir):
+    """Polled in three passes, with pages of all levels in each: what a pass misses a later one brings.
+
+    ``place``: the chapter's place in its book by id, so that the order of the list is held across passes.
+    """
+    rules = rules_of(spark, BOOK_RULE, [{
+        "Name": "site", "SiteDomain": "s0.example.com", "TargetSiteUrl": "http://t.example.com/",
+        "ListUrl": "http://s0.example.com/list0.html", "ListUrlNextRule": r'(?<=<a rel="next" href=").*?(?=")',
+        "ListRule": r'<li><a href="(?<url>.*?)">(?<title>.*?)</a></li>', "InfoRule": r"<h1>(?<title>.*?)</h1>",
+        "ChapterListRule": r'<dd><a href="(?<url>.*?)">(?<title>.*?)</a></dd>',
+        "ContentRule": r"<h2>(?<title>.*?)</h2><article>(?<content>[\s\S]*?)</article>",
+    }])
+    turns = table(spark, sf_dir, "conversations").select(F.lit(0).alias("site"), "conv_id", "turn", "text")
+    books = turns.groupBy("site", "conv_id").agg(F.max("turn").alias("last")).withColumn("n", F.col("conv_id"))
+    item = F.format_string('<li><a href="/book%d.html">book %d</a></li>', "conv_id", "conv_id")
+    entry = F.transform(F.sequence(F.lit(0), "last"), lambda t: F.format_string(
+        '<dd><a href="/c/%d/%d.html">turn %d</a></dd>', F.col("conv_id"), t, t))
+    info = books.select(address("/book", F.col("conv_id").cast("string"), ".html").alias("url"),
+                        F.concat(F.format_string("<h1>book %d</h1>", "conv_id"), F.array_join(entry, "")).alias("html"))
+    chapters = turns.select(
+        address("/c/", F.col("conv_id").cast("string"), "/", F.col("turn").cast("string"), ".html").alias("url"),
+        F.concat(F.format_string("<h2>turn %d</h2><article>", "turn"), "text", F.lit("</article>")).alias("html"))
+    landing = new_path(spark, "landing")
+    crawl = numbered([list_pages(books, item), info, chapters])
+    for n in range(3):
+        crawl.where(F.pmod(F.xxhash64("url"), F.lit(3)) == n).coalesce(1).write.mode("append").parquet(landing)
+    catalog = Catalog.create(spark, new_path(spark, "catalog"))
+    poll_books(catalog, rules, landing, new_path(spark, "poll"), files_per_batch=1).awaitTermination()
+    saved = catalog.table("chapter").withColumnRenamed("id", "chapter_id").drop("batch")
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_id")).cast("bigint")
+    content = catalog.table("chapter_content").select("chapter_id", "content")
+    return saved.withColumn("place", place).join(content, "chapter_id").select(
+        "book_title", "title", "text_length", "content", "place")

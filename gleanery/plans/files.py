@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import clock
 from gleanery.operators import lookup, quarantine
 from gleanery.plans.extraction import INFO_RULE, LIST_RULE, PARAGRAPH_RULE, host_rules, pages_of
 from gleanery.plans.registry import HOST_SQL, query, sql_text, table
@@ -65,6 +66,37 @@ def quarantine_retry(spark, sf_dir):
     return quarantine.retry(quarantine.as_quarantine(failed, "chapter"))
 
 
+LEDGER_PASSES = 4
+
+
+@query("""
+SELECT 'chapter' AS step, 'site' AS rule, 'http://a/' || conv_id || '/' || turn AS url,
+       CAST(CASE (conv_id * 7 + turn) % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS INT) AS attempts,
+       CASE (conv_id * 7 + turn) % 5 WHEN 1 THEN 'given up' WHEN 3 THEN 'open' ELSE 'done' END AS state
+FROM conversations WHERE (conv_id * 7 + turn) % 5 < 4""")
+def retry_ledger(spark, sf_dir):
+    """Four passes over pages that are missing in the first two, in all, in the second and in the last of them, or never."""
+    case = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(5))
+    pages = table(spark, sf_dir, "conversations").select(
+        F.lit("chapter").alias("step"), F.lit("site").alias("rule"),
+        F.format_string("http://a/%d/%d", "conv_id", "turn").alias("url"), case.alias("case"))
+    catalog = Catalog.create(spark, new_path(spark, "catalog"), ["ledger"])
+    for batch in range(1, LEDGER_PASSES + 1):
+        missing = {1: [0, 1], 2: [0, 1, 2], 3: [1], 4: [1, 3]}[batch]
+        failed, found = pages.where(F.col("case").isin(missing)), pages.where(~F.col("case").isin(missing))
+        changed = quarantine.merge_ledger(catalog.ledger(before=batch), failed, found)
+        catalog.commit(batch, {"ledger": changed})
+    return catalog.ledger()
+
+
+@query("""
+SELECT event_id, ts + INTERVAL 8 HOUR AS book_time, ts AS series_time FROM events""")
+def clock_columns(spark, sf_dir):
+    """The clocks of the jobs at given moments: books keep UTC+8, series the session's own time."""
+    return table(spark, sf_dir, "events").select(
+        "event_id", clock.book_time(F.col("ts")).alias("book_time"), clock.series_time(F.col("ts")).alias("series_time"))
+
+
 @query(f"SELECT page_id, {HOST_SQL} AS host, length(html) AS n_chars FROM pages")
 def stream_pages(spark, sf_dir):
     out = new_path(spark, "polled")

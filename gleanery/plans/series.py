@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.functions import fixed_values as fixed, text, titles
+from gleanery.functions import clock, fixed_values as fixed, text, titles
 from gleanery.functions.text import first_filled
-from gleanery.functions.urls import resolve, url_key
+from gleanery.functions.urls import host, resolve, url_key
 from gleanery.operators import extract, incremental, lookup, quarantine
 from gleanery.operators.skew import first_per_key, relevant, salted_join
+from gleanery.plans.memory import Memory
 from gleanery.plans.site import PAGE_ID, NextLinks, Site, set_aside, stack, usable_rules
 from gleanery.schemas import with_defaults
 from gleanery.session import counted, write_out
@@ -43,33 +44,44 @@ def area_items(html: Column, kind: str) -> Column:
 
 
 def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
-                   as_of: Column | None = None, older: bool = False, writer: str = "") -> None:
-    """Harvest one crawl pass into batch ``batch`` of the catalog; ``pages`` as in ``harvest_books``.
+                   as_of: Column | None = None, older: bool = False, writer: str = "", memory: Memory | None = None) -> None:
+    """Harvest one crawl pass into batch ``batch`` of the catalog; ``pages`` and ``memory`` as in ``harvest_books``.
 
     ``older`` gives the results of the older version: stored series are found
     by equal title instead of by a title that contains the harvested one,
     texts keep tags and the site's name, episode titles get the basic clean-up,
     and the episodes of a source file stay in its order.
     """
-    now = (F.current_timestamp() if as_of is None else as_of).cast("timestamp_ntz")
+    now = clock.series_time() if as_of is None else as_of.cast("timestamp_ntz")
     aside: list[DataFrame] = []
 
     rules, bad_rules = usable_rules(rules, SERIES, pages)
     aside.append(set_aside(bad_rules, "rule", F.col("reason"), url="ListPageUrl"))
     rules = rules.select("rule", "_charset", "SiteName", "ListPageUrl",
                          "SourceBaiduRule", "SourceKuaibRule", *PATTERNS[SERIES])
-    site = Site.of(pages, rules)
+    site = Site.of(pages, rules, memory)
+    ledger = write_out(catalog.ledger(before=batch), "ledger")
 
     # Lists.
-    onward = NextLinks(site, {"next": extract.next_link(F.col("html"), F.col("NextListRule"), F.col("url"))})
+    onward = NextLinks(site, {"next": extract.next_link(F.col("html"), F.col("NextListRule"), F.col("url"))},
+                       rules.select("rule", host(F.col("ListPageUrl")).alias("host")))
+
+    def listed_on(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        opened = site.open(lists, "html", "url", "ListInfoRule")
+        found = extract.list_records(opened.where("found").withColumnRenamed("url", "base"),
+                                     [*PAGE_ID, "step", "base"], F.col("html"), F.col("ListInfoRule"))
+        links = {c: resolve(F.col(c), F.col("base")) for c in ("url", "image")}
+        return found.withColumns(links).drop("base"), opened.where("found is null").select(*PAGE_ID)
+
     starts = rules.select(F.col("rule").alias("seed"), "rule", url_key(F.col("ListPageUrl")).alias("key"))
-    opened = site.open(onward.walk(starts, "next").select(*PAGE_ID, "step"), "html", "url", "ListInfoRule")
-    aside.append(set_aside(opened.where("found is null"), "list", "missing_page", url="key"))
-    listed = extract.list_records(opened.where("found").withColumnRenamed("url", "base"),
-                                  ["rule", "step", "base"], F.col("html"), F.col("ListInfoRule"))
-    listed = listed.withColumns({"url": resolve(F.col("url"), F.col("base")),
-                                 "image": resolve(F.col("image"), F.col("base"))})
-    listed = first_per_key(listed.drop("base").withColumn("key", url_key(F.col("url"))), PAGE_ID, ["step", "pos"])
+    texts = ", ".join(f"{f} string" for f in [*extract.LIST_FIELDS, "info"])
+    listed, missing = site.items(onward.walk(starts, "next").select(*PAGE_ID, "step"), f"pos bigint, {texts}", listed_on)
+    aside.append(set_aside(missing, "list", "missing_page", url="key"))
+    listed = first_per_key(listed.withColumn("key", url_key(F.col("url"))), PAGE_ID, ["step", "pos"])
+    if memory is not None:
+        listed = listed.withColumn("source", F.concat_ws("\n", *PAGE_ID))
+        again = ledger.where("state = 'open'").withColumn("key", url_key(F.col("url")))
+        listed = write_out(memory.awake(listed, again), "awake")
 
     # Info pages.
     opened = site.open(listed, "html", "SiteName", "SourceBaiduRule", "SourceKuaibRule", "InfoRule", *AREA_RULES)
@@ -188,12 +200,19 @@ def harvest_series(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch:
     episodes = write_out(incremental.assign_ids(episodes, ["movie_id", *order, "kind"], known), "episodes")
     pointers = incremental.last_children(episodes.where("leg <> 'direct'"), "movie_id", ["id"], {
         "last_id": F.col("id"), "last_title": F.col("title"), "update_time": now})
+    if memory is not None:
+        of_series = owners.select(F.concat_ws("\n", *PAGE_ID).alias("source"), "rule", "movie_id")
+        linked = asked.select("rule", "movie_id", "key").unionByName(sources.select("rule", "movie_id", "key")).distinct()
+        linked = salted_join(linked, of_series, ["rule", "movie_id"], "inner", ["key"])
+        memory.keep("touched", stack([t.select("source", *PAGE_ID) for t in (listed, linked)]).distinct())
 
+    set_asides = write_out(stack(aside), "aside")
     catalog.commit(batch, {
         "class": new_classes,
         "series": new_series,
         "episode": with_defaults(episodes, "episode", {"update_time": now}),
         "pointer": pointers.withColumnRenamed("movie_id", "parent_id").withColumn("parent", F.lit("series")),
         "cover": covers.withColumn("parent", F.lit("series")),
-        "quarantine": stack(aside),
+        "quarantine": set_asides,
+        "ledger": site.settle(ledger, set_asides),
     }, writer)

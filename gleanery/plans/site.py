@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,13 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions.urls import host, url_key
 from gleanery.operators import chains, extract, quarantine
-from gleanery.operators.skew import is_small, lookup_join, salted_join
-from gleanery.session import counted, write_out
+from gleanery.operators.skew import first_per_key, hot_keys, is_small, lookup_join, salted_join
+from gleanery.plans.memory import Memory
+from gleanery.session import counted, write_bucketed, write_out
 from gleanery.sources import pages as page_source
 from gleanery.sources.rules import CHARSETS, PATTERNS, compile_rules
 
 # A page as a rule sees it.
 PAGE_ID = ["rule", "key"]
+# Hashes of links that may be broadcast to find their pages: 8 MB.
+MOST_HASHES = 1 << 20
 
 
 def stack(parts: list[DataFrame]) -> DataFrame:
@@ -47,21 +51,35 @@ def usable_rules(rules: DataFrame, kind: str, pages: DataFrame) -> tuple[DataFra
 
 @dataclass(frozen=True)
 class Site:
-    """The pages of a pass, one per URL, and the rules (with ``rule``)."""
+    """The pages of a pass, one per URL, and the rules (with ``rule``).
+
+    The pages of a pass are dealt out by their key once; after that a level moves its links only, never page text.  The
+    pages of a poll lie in its memory, where a URL may have several; of these the newest counts.
+    """
 
     pages: DataFrame
     rules: DataFrame
     small: bool
+    memory: Memory | None = None
 
     @classmethod
-    def of(cls, pages: DataFrame, rules: DataFrame) -> Site:
+    def of(cls, pages: DataFrame, rules: DataFrame, memory: Memory | None = None) -> Site:
+        if memory is not None:
+            memory.begin(pages, rules)
+            return cls(memory.pages(), rules, is_small(rules), memory)
         keyed = page_source.latest_pages(pages).withColumn("key", url_key(F.col("url")))
-        return cls(keyed, rules, is_small(rules))
+        return cls(write_bucketed(keyed, "pages", "key"), rules, is_small(rules))
 
-    def pages_of(self, hosts: DataFrame) -> DataFrame:
-        """Rules with all pages of the hosts that are given for them (rule, host)."""
+    def pages_of(self, hosts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+        """Rules with the pages of the hosts that are given for them (rule, host): all pages, or some."""
+        pages = self.pages if pages is None else pages
         rules = lookup_join(self.rules, hosts, ["rule"], "inner", ["rule"])
-        return self._as_text(page_source.rule_pages(page_source.with_host(self.pages), rules))
+        if is_small(rules) and self.memory is None:
+            return self._as_text(page_source.with_host(pages).join(F.broadcast(rules), "host"))
+        # Rules and pages are paired by their names; text is read where it lies.
+        names = page_source.with_host(pages.select("key", "url", "page_id"))
+        pairs = page_source.rule_pages(names, rules.select("rule", "host")).select(*PAGE_ID).distinct()
+        return self.open(write_out(pairs, "pairs"), "html", "url", *[c for c in self.rules.columns if c != "rule"]).where("found")
 
     def _as_text(self, read: DataFrame) -> DataFrame:
         return page_source.decode_pages(read, charset="_charset") if is_raw(self.pages) else read
@@ -73,68 +91,167 @@ class Site:
         not read any page text.
         """
         raw = "html" in columns and is_raw(self.pages)
-        columns = (*columns, "content", "_charset") if raw else columns
+        columns = tuple(dict.fromkeys((*columns, "content", "_charset"))) if raw else columns
         of_page = [c for c in columns if c in self.pages.columns]
         of_rule = [c for c in columns if c in self.rules.columns]
-        pages = self.pages.select("key", F.lit(True).alias("found"), *of_page)
-        keys = links.select("key")
-        if is_small(keys):
-            # The pages are only scanned, and so few links have no hot key.
-            pages = pages.join(F.broadcast(keys.distinct()), "key", "left_semi")
-            opened = links.join(pages, "key", "left")
-        else:
-            opened = salted_join(links, pages, ["key"], "left", links.columns)
+        opened = self._joined(links, of_page)
         opened = self._with_rules(opened, self.rules.select("rule", *of_rule), "rule", links.columns)
         return self._as_text(opened).drop("_charset") if raw else opened
 
+    def _joined(self, links: DataFrame, of_page: list[str]) -> DataFrame:
+        pages = self.pages.select("key", F.lit(True).alias("found"), *of_page)
+        keys = links.select("key").distinct()
+        few = is_small(keys)
+        if few:
+            # The pages are only scanned.
+            pages = self.pages.join(F.broadcast(keys), "key", "left_semi")
+        elif self.memory is not None:
+            hashes, n = counted(keys.select(F.xxhash64("key").alias("_hash")).distinct(), "hashes")
+            pages = self.pages.withColumn("_hash", F.xxhash64("key"))
+            pages = pages.join(F.broadcast(hashes) if n <= MOST_HASHES else hashes, "_hash", "left_semi")
+        if self.memory is not None:
+            pages = first_per_key(pages, ["key"], [F.desc("page_id"), F.desc("pass")])
+        pages = pages.select("key", F.lit(True).alias("found"), *of_page)
+        if few:
+            return links.join(pages, "key", "left")
+        # Links to pages that very many links name are dealt out; only those pages are moved.
+        hot, n = counted(hot_keys(links, ["key"]).select("_key"), "hot")
+        if not n:
+            return links.join(pages, "key", "left")
+        mark = lambda df: df.withColumn("_key", F.xxhash64("key"))
+        cold = mark(links).join(F.broadcast(hot), "_key", "left_anti").drop("_key").join(pages, "key", "left")
+        sought = mark(pages).join(F.broadcast(hot), "_key", "left_semi").drop("_key")
+        named = mark(links).join(F.broadcast(hot), "_key", "left_semi").drop("_key")
+        return cold.unionByName(salted_join(named, sought, ["key"], "left", links.columns))
+
+    def items(self, lists: DataFrame, schema: str, read: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+        """(items, missing pages) of list pages (rule, key, step), by ``read``; with a memory, a page is opened once.
+
+        Items have the columns rule, key (of the list page), step and those of ``schema``.
+        """
+        if self.memory is None:
+            return read(lists)
+        known = self.memory.recall("lists", "rule string, key string").distinct()
+        past = self.memory.recall("items", f"rule string, key string, {schema}")
+        fresh = write_out(lists.join(known, PAGE_ID, "left_anti"), "fresh-lists")
+        items, missing = read(fresh)
+        items, missing = write_out(items, "items"), write_out(missing, "missing")
+        self.memory.keep("lists", fresh.select(*PAGE_ID).join(missing.select(*PAGE_ID), PAGE_ID, "left_anti"))
+        self.memory.keep("items", items.drop("step"))
+        return items.unionByName(lookup_join(past, lists, PAGE_ID, "inner", ["pos"])), missing
+
+    def settle(self, stored: DataFrame, aside: DataFrame) -> DataFrame:
+        """Ledger entries of a pass: pages that were missing, and earlier missing ones that are there now."""
+        failed = aside.where("reason = 'missing_page'")
+        waiting = write_out(stored.where("state <> 'done'").withColumn("key", url_key(F.col("url"))), "waiting")
+        return quarantine.merge_ledger(stored, failed, self.open(waiting).where("found"))
+
     def _with_rules(self, rows: DataFrame, rules: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
         if self.small:
             return rows.join(F.broadcast(rules), on)
         return salted_join(rows, rules, [on], "inner", spread_by)
 
 
+def edges_of(edges: DataFrame, link: str) -> DataFrame:
+    """(node, next) of the next links of one kind."""
+    return edges.where(F.col(link).isNotNull()).select(
+        F.struct(*PAGE_ID).alias("node"), F.struct("rule", url_key(F.col(link)).alias("key")).alias("next"))
+
+
 def walk_pages(seeds: DataFrame, edges: DataFrame, link: str) -> DataFrame:
     """(seed, rule, key, step) of the pages reached from ``seeds`` (seed, rule, key)."""
     node = F.struct(*PAGE_ID).alias("node")
-    hops = edges.where(F.col(link).isNotNull()).select(
-        node, F.struct("rule", url_key(F.col(link)).alias("key")).alias("next"))
-    return chains.walk(seeds.select("seed", node), hops).select("seed", "node.*", "step")
+    return chains.walk(seeds.select("seed", node), edges_of(edges, link)).select("seed", "node.*", "step")
 
 
 class NextLinks:
-    """The next links of all pages that walks can meet, whatever their hosts.
+    """The next links of the pages that walks meet.
 
-    ``links`` gives the column of each kind of link.  A rule is held against the pages of a host once a walk
-    can get there: the hosts of the seeds first, then those that links lead to.  Rounds
-    grow with the hosts in a row, not with the pages.
+    ``links`` gives the column of each kind of link, ``home`` the hosts (rule, host) of the rules' own sites, all of whose pages are
+    held against their rule at once.  Elsewhere a walk goes by frontiers: a round opens the pages that
+    the last round's pages link to and that no earlier round has opened, and no others, so that a link to a host with any number of pages costs
+    one.  A chain that has stayed on a host for n rounds, while the host has no more than 2 ** n pages, makes the host
+    one of the rule's own: rounds grow with the logarithm of a host.
+
+    With a memory, links of earlier passes are not read again: a pass looks at its own pages, and at known ones that no pass has opened.
     """
 
-    def __init__(self, site: Site, links: dict[str, Column]) -> None:
-        self.site, self.links = site, links
-        self.hosts: list[DataFrame] = []
+    def __init__(self, site: Site, links: dict[str, Column], home: DataFrame) -> None:
+        self.site, self.links, self.memory = site, links, site.memory
         self.edges: list[DataFrame] = []
+        self.whole: list[DataFrame] = []
+        #: Pages whose text was read, by walks on hosts of their own and by frontiers.
+        self.read_at_home = self.read_ahead = 0
+        home = write_out(home.where("host <> ''").distinct(), "home")
+        if self.memory is not None:
+            self.edges.append(self.memory.recall("edges", f"rule string, key string, {', '.join(f'{n} string' for n in links)}"))
+            known = self.memory.recall("whole", "rule string, host string", fresh=False)
+            self.whole.append(known)
+            # Of hosts that were read whole only the pages of this pass are new.
+            self._take(site.pages_of(known, self.memory.landed()))
+            home = write_out(home.join(known, ["rule", "host"], "left_anti"), "home")
+        self._adopt(home)
 
     def walk(self, seeds: DataFrame, link: str) -> DataFrame:
         """``walk_pages`` over the links of one kind."""
-        self._reach(seeds.select("rule", host(F.col("key")).alias("host")))
-        return walk_pages(seeds, stack(self.edges), link)
+        return self._settled(lambda: walk_pages(seeds, stack(self.edges), link), link)
+
+    def first(self, starts: DataFrame, link: str) -> DataFrame:
+        """(group, rule, key, rank, step) of the pages that ``starts`` (group, rule, key, rank) reach, each by its first start."""
+        nodes = starts.select("group", F.struct(*PAGE_ID).alias("node"), "rank")
+        reach = lambda: chains.first_reach(nodes, edges_of(stack(self.edges), link)).select("group", "node.*", "rank", "step")
+        return self._settled(reach, link)
 
-    def steps(self, pages: DataFrame, link: str) -> DataFrame:
-        """(rule, key, next) of the next links of one kind, on the hosts of ``pages`` and beyond."""
-        self._reach(pages.select("rule", host(F.col("key")).alias("host")))
-        return stack(self.edges).groupBy(*PAGE_ID).agg(F.min(url_key(F.col(link))).alias("next")).where("next is not null")
+    def _take(self, opened: DataFrame, label: str = "edges") -> tuple[DataFrame, int]:
+        found, n = counted(opened.select(*PAGE_ID, *[link.alias(name) for name, link in self.links.items()]), label)
+        self.edges.append(found)
+        if self.memory is not None:
+            self.memory.keep("edges", found)
+        return found, n
 
-    def _reach(self, met: DataFrame) -> None:
+    def _adopt(self, hosts: DataFrame) -> None:
+        """Read all pages of some hosts (rule, host), a written table."""
+        self.read_at_home += self._take(self.site.pages_of(hosts))[1]
+        self.whole.append(hosts)
+        if self.memory is not None:
+            self.memory.keep("whole", hosts)
+
+    def _settled(self, walked: Callable[[], DataFrame], link: str) -> DataFrame:
+        """Walk, open what the walk met and no page is known of, and walk again until it meets no more."""
         while True:
-            new = met.where("host <> ''").distinct()
-            if self.hosts:
-                new = new.join(stack(self.hosts), ["rule", "host"], "left_anti")
-            new, count = counted(new, "hosts")
-            if self.edges and not count:
-                return
-            self.hosts.append(new)
-            found = write_out(self.site.pages_of(new).select(
-                *PAGE_ID, *[link.alias(name) for name, link in self.links.items()]), "edges")
-            self.edges.append(found)
-            met = found.select("rule", F.explode(F.array(*self.links)).alias("link")).select(
-                "rule", host(F.col("link")).alias("host"))
+            reached = walked()
+            new, n = self._frontier(reached.select(*PAGE_ID))
+            if not n:
+                return reached
+            rounds = 0
+            while n:
+                found, _ = self._take(self._opened(new))
+                self.read_ahead += n
+                met = found.where(F.col(link).isNotNull()).select("rule", url_key(F.col(link)).alias("key"))
+                rounds += 1
+                new, n = self._frontier(met)
+                if n:
+                    new, n = self._stay_or_adopt(new, n, rounds)
+
+    def _opened(self, new: DataFrame) -> DataFrame:
+        """Pages of a frontier; a missing one has no links."""
+        columns = [c for c in self.site.rules.columns if c != "rule"]
+        return self.site.open(new, "html", "url", *columns)
+
+    def _frontier(self, met: DataFrame) -> tuple[DataFrame, int]:
+        """Pages that were not opened and do not lie on a host that was read whole."""
+        new = met.distinct().withColumn("host", host(F.col("key")))
+        new = new.join(stack(self.whole).distinct(), ["rule", "host"], "left_anti")
+        new = new.join(stack(self.edges).select(*PAGE_ID).distinct(), PAGE_ID, "left_anti")
+        return counted(new.select(*PAGE_ID), "frontier")
+
+    def _stay_or_adopt(self, new: DataFrame, n: int, rounds: int) -> tuple[DataFrame, int]:
+        met = new.select("rule", host(F.col("key")).alias("host")).distinct()
+        names = page_source.with_host(self.site.pages.select("key", "url")).join(
+            F.broadcast(met.select("host").distinct()) if is_small(met) else met.select("host").distinct(), "host", "left_semi")
+        small = names.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") <= 2 ** min(rounds, 62))
+        own, many = counted(met.join(small, "host").select("rule", "host"), "adopted")
+        if not many:
+            return new, n
+        self._adopt(own)
+        return self._frontier(new)

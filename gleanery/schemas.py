@@ -46,6 +46,7 @@ TABLES: dict[str, str] = {
     "pointer": "parent string, parent_id bigint, last_id bigint, last_title string, update_time timestamp_ntz",
     "cover": "parent string, id bigint, image_url string, path string",
     "quarantine": "step string, rule string, url string, title string, reason string, attempts int",
+    "ledger": "step string, rule string, url string, attempts int, state string",
 }
 
 # Longest text a column may hold.  Longer rows are set aside, never cut.

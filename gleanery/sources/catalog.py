@@ -1,87 +1,115 @@
 """The stored catalog: Parquet tables that grow by batches.
 
-A batch writes its rows to the folder ``<table>/batch=<n>`` and is committed by
-one row in the table ``_commits``.  Nothing is rewritten: later values of a
-parent row (its last chapter, its update time) are rows of ``pointer``, of
-which the newest counts.  Running a batch again replaces its own folders only.
+A try to write a batch has a folder of its own in every table, ``<table>/batch=<n>/attempt=<id>``.  A batch is
+committed by the file ``_commits/<n>``, which names the try that counts and is created only if no other is there: of several
+tries, or of several writers, one wins, and readers see all of its tables or none.  Numbers are claimed in the same way, by ``_claims/<n>``.
+Nothing is rewritten: later values of a parent row (its last chapter, its update time) are rows of ``pointer``, of
+which the newest counts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.functions import fixed_values as fixed
 from gleanery.operators.skew import relevant
 from gleanery.schemas import TABLES, with_defaults
-from gleanery.session import write_out
+from gleanery.session import create_once, names_in, read_small, remove, write_out
 
 
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
     path: str
+    # Commits are never changed, so each is read once.
+    _known: dict[int, dict] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, tables: Sequence[str] = tuple(TABLES)) -> Catalog:
         """An empty catalog that knows the class ``其他``."""
         catalog = cls(spark, path.rstrip("/"))
         seed = {"class": [(1, fixed.DEFAULT_CLASS, 0, fixed.BOOK_MODEL_ID)]}
-        spark.createDataFrame([], "batch bigint, writer string").coalesce(1).write.mode("append").parquet(f"{catalog.path}/_claims")
         catalog.commit(0, {t: spark.createDataFrame(seed.get(t, []), TABLES[t]).coalesce(1) for t in tables})
         return catalog
 
-    def last_batch(self) -> int:
-        return self._commits().agg(F.max("batch")).first()[0]
-
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema("batch bigint, writer string").parquet(f"{self.path}/_commits")
+    def commits(self) -> dict[int, dict]:
+        """The committed batches: number to writer, attempt and tables."""
+        for name in names_in(self.spark, f"{self.path}/_commits"):
+            if name.isdigit() and int(name) not in self._known:
+                text = read_small(self.spark, f"{self.path}/_commits/{name}")
+                if text and text.endswith("}"):  # else it is being written
+                    self._known[int(name)] = json.loads(text)
+        return dict(self._known)
 
-    def _claims(self) -> DataFrame:
-        return self.spark.read.schema("batch bigint, writer string").parquet(f"{self.path}/_claims")
+    def last_batch(self) -> int:
+        return max(self.commits())
 
     def claim(self, writer: str) -> int:
         """The batch number of a writer's unit of work.
 
         A name, such as stream and micro-batch, that has a number keeps it, so that a repeated try
-        replaces its own folders only; a new name gets the next number.
+        is one of the same batch; a new name gets the next number.  Writers that ask at the same time get different
+        numbers; a number whose writer was lost right after taking it stays unused.
         """
-        claims = self._claims()
-        mine = claims.where(F.col("writer") == writer).agg(F.min("batch")).first()[0]
-        if mine is not None:
-            return mine
-        number = max(claims.agg(F.max("batch")).first()[0] or 0, self.last_batch()) + 1
-        self.spark.createDataFrame([(number, writer)], "batch bigint, writer string").coalesce(1).write.mode(
-            "append").parquet(f"{self.path}/_claims")
-        return number
+        mine = f"{self.path}/_writers/{hashlib.sha256(writer.encode()).hexdigest()}"
+        known = read_small(self.spark, mine)
+        if known:
+            return int(known)
+        taken = [int(n) for n in names_in(self.spark, f"{self.path}/_claims") if n.isdigit()]
+        number = max([*taken, self.last_batch()]) + 1
+        while not create_once(self.spark, f"{self.path}/_claims/{number}", writer):
+            number += 1
+        # Of two tries of one writer the first counts.
+        return number if create_once(self.spark, mine, str(number)) else int(read_small(self.spark, mine))
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
         """Rows of the committed batches, of those before ``before`` if given."""
-        commits = self._commits().select("batch").distinct()
-        if before is not None:
-            commits = commits.where(F.col("batch") < before)
-        done = sorted(r["batch"] for r in commits.collect())
-        # Runs of numbers, so that a long history is a short filter on the folders.
-        runs: list[list[int]] = []
-        for n in done:
-            if runs and n == runs[-1][1] + 1:
-                runs[-1][1] = n
-            else:
-                runs.append([n, n])
-        stored = self.spark.read.schema(f"{TABLES[name]}, batch bigint").parquet(f"{self.path}/{name}")
-        return stored.where(reduce(lambda a, b: a | b, [F.col("batch").between(*r) for r in runs], F.lit(False)))
+        done = {n: c for n, c in self.commits().items() if name in c["tables"] and (before is None or n < before)}
+        if not done:
+            return self.spark.createDataFrame([], f"{TABLES[name]}, batch bigint")
+        folders = [f"{self.path}/{name}/batch={n}/attempt={c['attempt']}" for n, c in sorted(done.items())]
+        reader = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{TABLES[name]}, batch bigint, attempt string")
+        return reader.parquet(*folders).drop("attempt")
 
     def commit(self, batch: int, tables: dict[str, DataFrame], writer: str = "") -> None:
-        """Write a batch and make it visible; refuses a number that another writer has committed."""
-        if batch and self._commits().where((F.col("batch") == batch) & (F.coalesce("writer", F.lit("")) != writer)).limit(1).count():
-            raise ValueError(f"batch {batch} was committed by another writer")
+        """Write a batch and make it visible, all at once.
+
+        A batch that this writer has committed before stays as it is; a number that another writer has claimed or committed is refused.
+        """
+        self._check(batch, writer)
+        if batch in self.commits():
+            return
+        attempt = uuid.uuid4().hex
+        folders = {name: f"{self.path}/{name}/batch={batch}/attempt={attempt}" for name in tables}
         for name, rows in tables.items():
-            with_defaults(rows, name).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-        self.spark.createDataFrame([(batch, writer)], "batch bigint, writer string").coalesce(1).write.mode(
-            "append").parquet(f"{self.path}/_commits")
+            with_defaults(rows, name).write.parquet(folders[name])
+        what = json.dumps({"writer": writer, "attempt": attempt, "tables": sorted(tables)})
+        if not create_once(self.spark, f"{self.path}/_commits/{batch}", what):
+            remove(self.spark, list(folders.values()))
+            self._check(batch, writer)
+
+    def _check(self, batch: int, writer: str) -> None:
+        owner = read_small(self.spark, f"{self.path}/_claims/{batch}")
+        if owner is not None and owner != writer:
+            raise ValueError(f"batch {batch} was claimed by another writer")
+        if batch and self.commits().get(batch, {"writer": writer})["writer"] != writer:
+            raise ValueError(f"batch {batch} was committed by another writer")
+
+    def remove_leftovers(self) -> list[str]:
+        """Delete what tries of committed batches that do not count have left; gives the folders."""
+        left = []
+        for name in TABLES:
+            for batch, commit in self.commits().items():
+                folder = f"{self.path}/{name}/batch={batch}"
+                left += [f"{folder}/{a}" for a in names_in(self.spark, folder) if a != f"attempt={commit['attempt']}"]
+        remove(self.spark, left)
+        return left
 
     def books(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
         """Books with their last chapter; only those in ``of`` (title, author) if given."""
@@ -93,6 +121,12 @@ class Catalog:
         return self._with_pointers("series", before, of, ["title"], {
             "last_drama_title": "last_title", "update_time": "update_time"})
 
+    def ledger(self, before: int | None = None) -> DataFrame:
+        """The newest entry of everything that failed."""
+        newest = F.max_by(F.struct("attempts", "state"), "batch")
+        return self.table("ledger", before).groupBy("step", "rule", "url").agg(newest.alias("_newest")).select(
+            "step", "rule", "url", "_newest.*")
+
     def _with_pointers(self, name: str, before: int | None, of: DataFrame | None, on: list[str],
                        values: dict[str, str]) -> DataFrame:
         parents = self.table(name, before).drop("batch")

@@ -30,6 +30,12 @@ def read_raw(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
     return files.load(path).select(F.col("path").alias("url"), "content")
 
 
+def url_of_file(path: Column) -> Column:
+    """URL of a page file that is named by it, percent-encoded; of other files the path."""
+    name = F.try_url_decode(F.regexp_extract(path, "([^/]*)$", 1))
+    return F.when(F.rlike(name, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), name).otherwise(path)
+
+
 def _legacy_decode(content: Column, charset: Column) -> Column:
     @F.pandas_udf("string")
     def decoded(data: pd.Series, names: pd.Series) -> pd.Series:

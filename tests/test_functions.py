@@ -106,6 +106,44 @@ def test_replace_list_file(spark):
     assert [tuple(r) for r in df.collect()] == [(" f BaZ qa", True), ("x", False)]
 
 
+def replaced(spark, rows, rules):
+    df = text.apply_replace_list(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string"), "t", rules, "endless")
+    assert df.columns == ["i", "t", "endless"]
+    return [(r["t"], r["endless"]) for r in df.orderBy("i").collect()]
+
+
+def test_a_rule_may_make_a_text_much_longer(spark):
+    # Each round takes one x off and doubles the b's: 4,096 of them, more than the rounds of one pass.
+    rules = [("xb", "bb"), ("x(b+)", "$1$1"), ("c", "d")]
+    assert replaced(spark, ["x" * 12 + "c", "xc", None, "c"], [("x{3}", "yx"), ("xx|x(?=c)", "z")])[2:] == [(None, False), ("c", False)]
+    grown = replaced(spark, ["x" * 11 + "b" + "c", "c"], rules[1:])
+    assert grown == [("b" * 2 ** 11 + "d", False), ("d", False)]
+
+
+@pytest.mark.parametrize("rules", [[("a", "ba")], [("a", "a")], [("ab", "xabx")], [("a", "$0$0")], [("ab", "c"), ("c", "ab$9x".replace("$9", ""))]])
+def test_rules_without_end(spark, rules):
+    got = replaced(spark, ["ab", "no"], [*rules, ("n", "m")])
+    assert got[1] == ("mo", False)
+    # Two rules that undo each other do end, as each is done before the next begins.
+    assert got[0][1] == (len(rules) == 1)
+
+
+def test_a_text_that_comes_back_to_a_state_has_no_end(spark):
+    # The replacement holds no match by itself, the text around it makes one: a-b and b-a for ever.
+    rules = [(r"^(a)(b)|^(b)(a)(?=!)", "$2$1$4$3")]
+    (text_now, endless), other = replaced(spark, ["ab!", "x"], rules)
+    assert endless and other == ("x", False)
+
+
+def test_only_waiting_texts_go_on(spark, monkeypatch):
+    written = []
+    plain = text.write_out
+    monkeypatch.setattr(text, "write_out", lambda df, label: written.append(df) or plain(df, label))
+    rows = ["a" * 3000] + ["none"] * 50
+    assert replaced(spark, rows, [("aa", "a")])[0] == ("a", False)
+    assert [d.count() for d in written] == [51, 1]
+
+
 def test_replacement_test_is_case_sensitive(spark):
     assert run_filter(spark, "X x", [text.replace_step("x", "y")]) == "y y"
     assert run_filter(spark, "X", [text.replace_step("x", "y")]) == "X"

@@ -242,9 +242,9 @@ def test_walk_with_a_bound(spark):
     assert chains.walk(seeds, edges, max_steps=10).count() == 11
 
 
-def test_stitch_splits_long_chains(spark):
+def test_stitch_gives_one_text_per_chain(spark):
     parts = spark.createDataFrame([(1, i, str(i % 10)) for i in range(25)], "k long, step long, text string")
-    assert rows(chains.stitch(parts, ["k"], 10)) == [(1, 0, 10, "0123456789"), (1, 1, 10, "0123456789"), (1, 2, 5, "01234")]
+    assert rows(chains.stitch(parts, ["k"])) == [(1, 25, "0123456789" * 2 + "01234")]
 
 
 def test_own_or_linked(spark):
