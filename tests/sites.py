@@ -88,7 +88,7 @@ SERIES = {
     "BaiduDramaRule": r"<em data-play='(?<playurl>.*?)'>(?<title>.*?)</em>",
     "DramaPageKuaibRule": "",
     "DramaPageBaiduRule": r'<object id="box">\s*<param value="(?<source>.*?)">',
-    "SourceKuaibRule": "", "SourceBaiduRule": r"{title}\$(?<key>.*?)\$bdhd",
+    "SourceKuaibRule": "", "SourceBaiduRule": "one file holds all",
 }
 
 

@@ -60,23 +60,15 @@ def test_bad_pattern_is_reported_not_raised(spark):
 LIST = ["一", "二", "三", "二", "", "四"]
 
 
-def brute_resume(titles, last_id, last):
-    left = list(titles)
-    while left:
-        if left[0] == "" or not last_id:
-            break
-        if left.pop(0) == last:
-            break
-    return left
+def place(titles, wanted):
+    """Where the first of some titles stands, behind the end without one."""
+    return min((i for i, t in enumerate(titles) if t in wanted), default=len(titles))
 
 
-def brute_until(titles, known):
-    out = []
-    for t in titles:
-        if t in known or t == "":
-            break
-        out.append(t)
-    return out
+def after_last(titles, last_id, last):
+    """All titles without a last id; else those after the last title, if it is there and no empty title stands before it."""
+    cut = place(titles, {last})
+    return titles if not last_id else titles[cut + 1:] if cut < place(titles, {""}) else []
 
 
 def test_resume_and_take_against_loops(spark):
@@ -91,14 +83,9 @@ def test_resume_and_take_against_loops(spark):
         lists += [(book, i, t) for i, t in enumerate(titles)]
         parents.append((book, last_id, last))
         known += [(book, t) for t in have]
-        # An empty title before the last one stops the list there, and then nothing is taken.
-        kept = brute_resume(titles, last_id, last or "")
-        both = brute_until(kept, have)
-        last = last or ""
-        gap_first = bool(last_id) and "" in titles and (last not in titles or titles.index("") <= titles.index(last))
-        if not gap_first:
-            want_resume += [(book, t) for t in kept]
-        want_both += [(book, t) for t in both]
+        kept = after_last(titles, last_id, last or "")
+        want_resume += [(book, t) for t in kept]
+        want_both += [(book, t) for t in kept[:place(kept, have | {""})]]
     items = spark.createDataFrame(lists, "book long, pos long, title string")
     parents = spark.createDataFrame(parents, "book long, last_id long, last_title string")
     known = spark.createDataFrame(known, "book long, title string")
