@@ -3,9 +3,14 @@
 A page is read into blocks of text, each with its path of block elements from the root.  For each
 path of the page, the length and the punctuation of its texts, less those of links, are added up and divided by the number of
 its blocks.  The ratios are laid along the page, smoothed with their neighbours, and fused: a block counts by its path, its
-surroundings and how far its path agrees with the best one.  Blocks above a threshold
-are content.  A form, or an element whose tag, role, class or id marks it as something else than the article, is left out,
-but not if it wraps the page: if it holds half of the text outside links or more, with an article or a heading in it and no article beside it.  The smallest container that holds all content is the article, and all of it is returned but what is marked as something else.
+surroundings, how far its path agrees with the best one, and the marks of the elements around it.  A mark is a tag, role, class or id that
+speaks of something else than the article: a plain one leaves a twentieth of the score, a doubtful one (``discussion``, ``related-work``) half.
+An element that wraps the page has no mark: one that holds half of the text outside links or more, with an article or a heading in it and no
+article beside it.
+
+Blocks above a threshold are content.  The smallest container that holds all content is the article.  Of its other blocks those
+go that are marked (doubtful marks do not count within an ``article`` or ``main``) or mostly links; a heading stays if content follows before the next one of its rank.  Inline elements are never cut out
+of their sentence, unless they are hidden.
 
 Pages are independent, so tasks read them where they lie, and nothing is shuffled.  A path's sums are those of one page.
 
@@ -41,16 +46,22 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 DROPPED = frozenset(
     "head script style noscript template button select option textarea input iframe svg math canvas object "
     "video audio label title".split())
-#: Elements that are something else than the article, unless they hold most of the page.
+#: Elements and roles that are something else than the article, unless they hold most of the page.
 MARKED = frozenset("nav footer aside form dialog menu search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-#: Words of a class or id that mark something else than the article.
+#: Words that mark something else than the article wherever they stand in a class or id.
 OTHER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side rail nav navbar navigation menu "
-    "submenu breadcrumb breadcrumbs footer foot masthead topbar toolbar comment comments commentlist disqus respond replies reply discussion "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended recommendations widget widgets pagination pager search skip legal copyright disclaimer "
-    "form poll tags tagcloud trending popular".split())
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar nav navbar navigation menu "
+    "submenu breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus "
+    "cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login widget widgets pagination pager".split())
+#: Words that do so as the whole name of a class, and are doubtful elsewhere: an article may speak of them.
+DOUBTFUL = frozenset(
+    "banner notice notices notification alert overlay side rail foot respond replies reply share sharing social related recommended "
+    "recommendations search skip legal copyright disclaimer form poll tags tagcloud trending popular".split())
+#: Words that are doubtful even alone.
+WEAK = frozenset(("discussion",))
+#: What a marked element leaves of the score of its text.
+PLAIN_MARK, DOUBTFUL_MARK = 0.05, 0.5
 #: Words that mark a page header, unless they stand in the article.
 HEADER = frozenset(("header", "head", "topheader", "siteheader"))
 #: Elements whose open child of the same kind is closed by a new one, and what stops the search.
@@ -72,28 +83,29 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "wrap", "chars", "holds", "out", "in_article", "has_heading", "content", "start")
+    __slots__ = ("tag", "path", "parent", "depth", "dropped", "mark", "wrap", "chars", "holds", "out", "in_article", "has_heading", "content")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, marked: bool = False) -> None:
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{label}" if parent else label
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, mark: float = 1.0) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
         self.dropped = dropped
         #: The nearest marked element, itself or around it; of a marked one: its text outside links, whether it holds an
-        #: article or a heading, and whether it is left out.
-        self.wrap: Node | None = self if marked else parent.wrap if parent else None
-        self.chars, self.holds, self.out = 0, False, marked
+        #: article or a heading, and whether its mark counts.
+        self.wrap: Node | None = self if mark < 1 else parent.wrap if parent else None
+        self.chars, self.holds, self.out = 0, False, mark < 1
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.has_heading = False
         self.content = 0
-        self.start = -1
 
 
 class Block:
-    __slots__ = ("node", "text", "linked", "keep")
+    __slots__ = ("node", "text", "linked", "weight")
 
-    def __init__(self, node: Node, text: str, linked: int, keep: bool) -> None:
-        self.node, self.text, self.linked, self.keep = node, text, linked, keep
+    def __init__(self, node: Node, text: str, linked: int) -> None:
+        self.node, self.text, self.linked = node, text, linked
+        #: What the marks around it leave of its score.
+        self.weight = 1.0
 
 
 def drops(tag: str, attrs: str) -> bool:
@@ -109,21 +121,28 @@ def drops(tag: str, attrs: str) -> bool:
     return False
 
 
-def marks(tag: str, attrs: str, parent: Node) -> bool:
-    """Whether an element is marked as something else than the article's text."""
-    if tag in MARKED:
-        return True
-    if tag == "header" and not parent.in_article:
-        return True
+def mark(tag: str, attrs: str, parent: Node) -> float:
+    """What the marks of an element leave of the score of its text: 1 without any."""
+    if tag in MARKED or tag == "header" and not parent.in_article:
+        return PLAIN_MARK
+    left = 1.0
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in NAME_WORDS.findall(value)}
-            if words & OTHER or words & HEADER and not parent.in_article and "entry" not in words and "article" not in words:
-                return True
-    return False
+            return PLAIN_MARK
+        # The id of a heading is what links point to.
+        if name not in ("class", "id") or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+            continue
+        for one in value.split():
+            words = {w.lower() for w in NAME_WORDS.findall(one)}
+            whole = name == "class" and len(words) == 1
+            if words & OTHER or whole and words & DOUBTFUL:
+                return PLAIN_MARK
+            if words & HEADER and not parent.in_article and "entry" not in words and "article" not in words:
+                return PLAIN_MARK
+            if words & DOUBTFUL or words & WEAK:
+                left = DOUBTFUL_MARK
+    return left
 
 
 def wraps(node: Node | None):
@@ -134,8 +153,8 @@ def wraps(node: Node | None):
         at = at.parent.wrap if at.parent else None
 
 
-def unmarked(blocks: list[Block]) -> list[Block]:
-    """The blocks outside marked elements, but for those elements that wrap the page."""
+def weigh(blocks: list[Block]) -> None:
+    """Weigh the blocks by the marked elements around them, but for those elements that wrap the page."""
     marked: dict[Node, None] = {}
     total = 0
     for b in blocks:
@@ -146,24 +165,23 @@ def unmarked(blocks: list[Block]) -> list[Block]:
             w.chars += chars
             w.holds = w.holds or b.node.tag in HEADINGS or b.node.in_article and not (w.parent and w.parent.in_article)
     if not marked:
-        return blocks
+        return
     left = lambda: [b for b in blocks if not any(w.out for w in wraps(b.node))]
     for w in sorted(marked, key=lambda w: w.depth):  # outer ones first
         if w.chars and 2 * w.chars >= total and w.holds and not any(w.out for w in wraps(w.parent)):
             w.out = any(b.node.in_article and w not in wraps(b.node) for b in left()) and not (w.parent and w.parent.in_article)
-    kept = left()
-    while not kept:  # nothing is left without them: those that hold most of the page, from without
+    while not left():  # nothing is unmarked: those that hold most of the page have no mark, from without
         wrapping = [w for w in marked if w.out and 2 * w.chars >= total > 0]
         if not wrapping:
             break
         min(wrapping, key=lambda w: w.depth).out = False
-        kept = left()
-    return kept
+    for b in blocks:
+        b.weight = min((w.mark for w in wraps(b.node) if w.out), default=1.0)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text, in order; those of dropped and marked elements are left out."""
-    root = Node("html", "html", None, False)
+    """The page's blocks of text, in order and weighed; those of dropped elements are left out."""
+    root = Node("html", None, False)
     stack = [root]
     out: list[Block] = []
     parts: list[str] = []
@@ -175,8 +193,9 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             at = stack[-1]
-            heading_only = any(n.tag == "header" for n in chain(at))
-            out.append(Block(at, text, min(linked, len(text)), not heading_only or at.tag in HEADINGS or at.tag == "hgroup"))
+            # Of a header in the article the headings count.
+            if at.tag in HEADINGS or at.tag == "hgroup" or not any(n.tag == "header" and n.mark == 1 for n in chain(at)):
+                out.append(Block(at, text, min(linked, len(text))))
             if at.tag in ("h1", "h2") and at.parent:
                 at.parent.has_heading = True
         linked = 0
@@ -240,21 +259,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCKS:
             if tag == "input" or stack[-1].dropped:
                 continue
-            if tag not in VOID and attrs.strip() and (drops(tag, attrs) or marks(tag, attrs, stack[-1])):
-                # An inline element that is marked as something else: skipped up to its end.
+            if tag not in VOID and attrs.strip() and drops(tag, attrs):  # skipped up to its end
                 at = past(page, at, tag)
             continue
         if tag == "hr":
             flush()
             continue
         flush()
-        if tag != "p" or True:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in HEADINGS and stack[i].tag != "label":
-                    break
+        for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+            if stack[i].tag == "p":
+                del stack[i:]
+                break
+            if stack[i].tag not in HEADINGS and stack[i].tag != "label":
+                break
         if tag in CLOSES:
             same, stop = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
@@ -267,9 +284,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         parent = stack[-1]
         gone = parent.dropped or drops(tag, attrs)
-        stack.append(Node(tag, tag, parent, gone, not gone and marks(tag, attrs, parent)))
+        stack.append(Node(tag, parent, gone, 1.0 if gone else mark(tag, attrs, parent)))
     flush()
-    return unmarked([b for b in out if b.keep])
+    weigh(out)
+    return out
 
 
 def past(page: str, at: int, tag: str) -> int:
@@ -284,29 +302,41 @@ def past(page: str, at: int, tag: str) -> int:
     return len(page)
 
 
-def scores(blocks: list[Block]) -> list[float]:
-    """How much each block is content: path ratios, smoothed along the page and fused with the paths' likeness."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+def scores(blocks: list[Block]) -> tuple[list[float], list[float]]:
+    """How much each block is content, and the share of links in the texts of its path.
+
+    Path ratios, smoothed along the page and fused with the paths' likeness and with the marks.  Blocks of one path with other marks have
+    sums of their own.
+    """
+    sums: dict[tuple[str, float], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for b in blocks:
-        s = sums[b.node.path]
+        s = sums[b.node.path, b.weight]
         s[0] += len(b.text) - b.linked
         s[1] += len(PUNCTUATION.findall(b.text)) * (1 - b.linked / len(b.text))
         s[2] += 1
-    ratio = {path: (chars / n) * (1 + punct / n) for path, (chars, punct, n) in sums.items()}
-    raw = [math.log1p(ratio[b.node.path]) for b in blocks]
+        s[3] += len(b.text)
+    # Length by number of marks grows with the square of a text's length, hence the root.
+    ratio = {key: math.sqrt(chars / n * (1 + punct / n)) for key, (chars, punct, n, _) in sums.items()}
+    keys = [(b.node.path, b.weight) for b in blocks]
     half = len(SMOOTH) // 2
     smooth = []
-    for i in range(len(raw)):
-        near = [(raw[j], SMOOTH[j - i + half]) for j in range(max(0, i - half), min(len(raw), i + half + 1))]
+    for i in range(len(keys)):
+        near = [(ratio[keys[j]], SMOOTH[j - i + half]) for j in range(max(0, i - half), min(len(keys), i + half + 1))]
         smooth.append(sum(v * w for v, w in near) / sum(w for _, w in near))
-    best = max(range(len(blocks)), key=lambda i: ratio[blocks[i].node.path] * sums[blocks[i].node.path][2])
-    steps = blocks[best].node.path.split("/")
+    best = max(ratio, key=lambda key: ratio[key] * sums[key][0] * key[1])[0].split("/")
     likeness = {}
-    for path in sums:
+    for path, _ in sums:
         own = path.split("/")
-        same = next((i for i, (a, b) in enumerate(zip(own, steps)) if a != b), min(len(own), len(steps)))
-        likeness[path] = same / max(len(own), len(steps))
-    return [math.expm1(s) * likeness[b.node.path] * len(b.text) ** 0.5 for s, b in zip(smooth, blocks)]
+        same = next((i for i, (a, b) in enumerate(zip(own, best)) if a != b), min(len(own), len(best)))
+        likeness[path] = same / max(len(own), len(best))
+    # The words of a block outside links, too: a link alone is no sentence of its path.
+    score = [s * likeness[b.node.path] * b.weight * (1 - b.linked / len(b.text)) for s, b in zip(smooth, blocks)]
+    return score, [1 - sums[key][0] / sums[key][3] for key in keys]
+
+
+def rank(b: Block) -> int:
+    """1 to 6 for headings, 0 for others."""
+    return int(b.node.tag[1]) if b.node.tag in HEADINGS else 0
 
 
 def article(page: str | None) -> str:
@@ -314,10 +344,14 @@ def article(page: str | None) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    score = scores(blocks)
+    score, links = scores(blocks)
     limit = THRESHOLD * max(score)
-    content = [s >= limit for s in score]
+    content = [s >= limit > 0 and not rank(b) for s, b in zip(score, blocks)]
+    if not any(content):  # nothing but headings, or nothing but links
+        content = [s >= limit > 0 for s in score]
     total = sum(content)
+    if not total:
+        return ""
     at_children: dict[Node, set[Node]] = defaultdict(set)
     root = None
     for b, chosen in zip(blocks, content):
@@ -335,14 +369,36 @@ def article(page: str | None) -> str:
         if not below or here.has_heading or here.tag in ("article", "main"):
             break
         here = below[0]
-    inside = []
-    for b in blocks:
-        node = b.node
+
+    def within(node: Node | None) -> bool:
         while node and node.depth > here.depth:
             node = node.parent
-        if node is here:
-            inside.append(b.text)
-    return "\n\n".join(inside)
+        return node is here
+
+    kept = []
+    # From the end: the nearest text below that stays, the nearest that goes, and by rank the nearest heading.
+    stays_from, dropped_from, headings = -1, len(blocks), [len(blocks)] * 7
+    for i in range(len(blocks) - 1, -1, -1):
+        b, level = blocks[i], rank(blocks[i])
+        free = b.weight == 1 or b.weight > PLAIN_MARK and b.node.in_article
+        if level:
+            end = min(headings[1:level + 1])
+            followed = 0 <= stays_from < end
+            bare = b.node.in_article and dropped_from >= end  # a heading without any text below it
+            stays = free and (followed or bare)
+            headings[level] = i
+        else:
+            listed = links[i] >= 0.5 and (not b.node.in_article or b.node.tag in ("li", "dd", "dt"))
+            alone = 2 * b.linked >= len(b.text) and not b.node.in_article
+            stays = content[i] or free and not listed and not alone
+            stays = stays and within(b.node)
+            if stays:
+                stays_from = i
+            else:
+                dropped_from = i
+        if (stays or content[i]) and within(b.node):
+            kept.append(b.text)
+    return "\n\n".join(reversed(kept))
 
 
 MADE = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

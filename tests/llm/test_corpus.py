@@ -111,6 +111,48 @@ def test_html_wrapped_page(wrapper, around):
     assert html_text.article(page) == "\n\n".join(["Title", *text])
 
 
+PARAGRAPHS = [f"Paragraph {i} of the page has words, commas, and an end, and some more words." for i in range(5)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("before, after, added", [
+    ('<article><h1>T</h1>', '<section id="discussion"><h2 id="legal-status">Legal status</h2><p class="side-note">Short note.</p>'
+     '<p>More of it, with words.</p></section><div class="related-work"><p>Others did this too, long ago.</p></div></article>',
+     ["Legal status", "Short note.", "More of it, with words.", "Others did this too, long ago."]),
+    ('<article><h1>T</h1>', '<p>It is <span class="popular">the famous</span> rule of <em id="copyright">law</em>.</p></article>',
+     ["It is the famous rule of law."]),
+    ('<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><h1>T</h1>', '<p><a href=x>Buy cheap things now, and save</a></p>'
+     '<h2>Related</h2><ul><li><a href=c>Another story, with a long title</a></li></ul>', []),
+    ('<nav><a href=x>n</a></nav><div><h1>T</h1>', '<ul><li>one</li><li>two <a href=q>x</a></li></ul><table><tr><td>1</td><td>2</td></tr></table></div>',
+     ["one", "two x", "1", "2"]),
+    (f'<div class="ad">{"Buy this thing, now, it is cheap. " * 20}</div><article><h1>T</h1>',
+     f'</article><section class="comments"><h3>Comments</h3><p>{"I like it, a lot. " * 30}</p></section>', []),
+    ('<article><h1>T</h1>', f'<h2>Comments</h2><div id="comments"><p>{"Nice one, really. " * 20}</p></div></article>', []),
+    ('<div class="notice">We use cookies, you know. Accept them.</div><h1>T</h1>', '<footer>f, g. h</footer>', []),
+    ('<article><h1>T</h1>', '<h2>Last</h2><div class="ad">Buy.</div><p>End.</p></article>', ["Last", "End."]),
+])
+def test_html_marks_weigh(before, after, added):
+    assert html_text.article(f"<body>{before}{BODY}{after}</body>") == "\n\n".join(["T", *PARAGRAPHS, *added])
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><nav><a href=x>Home</a></nav><div><a href=y>A link</a></div></body>", ""), ("<article><h1>T</h1><p>Hi.</p></article>", "T\n\nHi."),
+    ("<article><h1>Only a title</h1></article>", "Only a title"), ("<p>" + "long, text. " * 200_000 + "</p>", ("long, text. " * 200_000).strip()),
+    ("<div>" * 5000 + "deep, text." + "</div>" * 5000, "deep, text."),
+])
+def test_html_without_much(page, text):
+    assert html_text.article(page) == text
+
+
+def test_html_tables(spark):
+    rows = [(1, "u", None, "a", "b"), (1, None, f"<article>{BODY}</article>", "a", "b"), (1, None, f"<article>{BODY}</article>", "a", "b"), (None, "u", "", "a", "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    whole = "\n\n".join(PARAGRAPHS)
+    got = sorted(map(tuple, html_text.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (1, None, whole, len(whole)), (1, None, whole, len(whole)), (None, "u", "", 0)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_links(spark, docs, rows):
     for options in (jaccard.QUERY, jaccard.PIPELINE):
         want = brute.linked(rows, options["width"], options["num"], options["den"])
