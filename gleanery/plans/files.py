@@ -97,6 +97,9 @@ def clock_columns(spark, sf_dir):
         "event_id", clock.book_time(F.col("ts")).alias("book_time"), clock.series_time(F.col("ts")).alias("series_time"))
 
 
+SCANNED = "page_id bigint, host string, n_chars bigint"
+
+
 @query(f"SELECT page_id, {HOST_SQL} AS host, length(html) AS n_chars FROM pages")
 def stream_pages(spark, sf_dir):
     out = new_path(spark, "polled")
@@ -105,9 +108,11 @@ def stream_pages(spark, sf_dir):
         scanned = page_source.with_host(pages).select("page_id", "host", F.length("html").cast("long").alias("n_chars"))
         scanned.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    stream = page_stream(spark, sf_dir, glob="pages.parquet")
+    # A table is a file or a folder of files.  The braces make the path a pattern, which may stand for either.
+    stream = page_stream(spark, f"{sf_dir}/{{pages.parquet}}", glob="*")
+    spark.createDataFrame([], SCANNED).write.parquet(f"{out}/batch=0")  # there is no batch if there are no pages
     poll(stream, work, new_path(spark, "poll")).awaitTermination()
-    return spark.read.schema("page_id bigint, host string, n_chars bigint").parquet(out).drop("batch")
+    return spark.read.schema(SCANNED).parquet(out).drop("batch")
 
 
 @query("SELECT p_size AS movie_id, p_name AS title, min(p_partkey) % 2 AS first_file FROM part WHERE false GROUP BY ALL"

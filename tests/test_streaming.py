@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sites
+from gleanery.plans import QUERIES
 from gleanery.plans.books import harvest_books
 from gleanery.plans.series import harvest_series
 from gleanery.plans.site import Site
@@ -47,6 +48,18 @@ def test_one_file_per_batch_and_restart(spark, tmp_path):
     assert len(seen) == 3
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_page_table_of_many_files(spark, tmp_path, files):
+    """A table may be a folder of files, of none too."""
+    rows = [(n, f"http://a/{n}", "x" * n) for n in range(9)] if files else []
+    spark.createDataFrame(rows, PAGE).repartition(max(1, files)).write.parquet(str(tmp_path / "pages.parquet"))
+    if not files:
+        for file in (tmp_path / "pages.parquet").glob("*.parquet"):
+            file.unlink()
+    found = QUERIES["stream_pages"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(n, "a", len(html)) for n, _, html in rows]
+
+
 def land(spark, pages, landing):
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
     spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(landing)
