@@ -154,10 +154,10 @@ class Encoder:
     of the pieces, joined, are the ids of the text.  A new word goes through the tokenizer's model; one that is more than letters is split by
     the tokenizer's own first step before, or, if it is letters and a mark at their end, there.  Texts with other white space are encoded whole.
 
-    The tokenizer stays in the worker; words are remembered by a task.
+    The tokenizer and the words it has met stay in the worker, for the tasks that follow.
     """
 
-    _last: tuple[str, tuple] | None = None
+    _last: tuple[str, tuple, Words] | None = None
     _other_white = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
     #: Letters up to here are letters in every version of Unicode.
     _plain = "\u0500"
@@ -165,13 +165,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         if Encoder._last is None or Encoder._last[0] != path:
-            Encoder._last = path, self._opened(path)
+            Encoder._last = path, self._opened(path), Words(self.word)
         self.tokenizer, self.joins, self.signs, line = Encoder._last[1]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         self.line_bytes = self._bytes(line)
-        self.known = Words(self.word)  # with the blank before them
+        self.known = Encoder._last[2]  # with the blank before them
 
     @staticmethod
     def _opened(path: str) -> tuple:
