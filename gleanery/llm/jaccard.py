@@ -286,7 +286,6 @@ class Join:
         # Classes of equal sets, by their least doc_id; that one's row has the sketch and the keys, which are not moved.
         self.classes = write_out(own.groupBy("h", "g", "n").agg(F.min("doc_id").alias("node"), F.first("short").alias("short")), "classes")
         self.own = own.select(F.col("doc_id").alias("node"), "n", "sketch", "keys")
-        self.links = None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link."""
@@ -320,27 +319,40 @@ class Join:
                     keep.append(shared > 0 and den * shared >= num * (len(x) + len(y) - shared))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        return write_out(both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "links")
+        return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
 
-    def more(self, links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The links with those among ``pairs``, and the components."""
+    def more(self, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components (node, component) when the links among ``pairs`` join those of ``labels``.
+
+        Only components that a new link touches are walked; without one the labels stay as they are.
+        """
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = write_out(links.unionByName(self.verify(ordered)), "links")
-        return links, components(links)
+        links, rows = counted(self.verify(ordered), "links")
+        if not rows:
+            return labels
+        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+        ends = write_out(ends.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ends")
+        side = lambda x: ends.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        between = spread_fetch(spread_fetch(links, "a", "b", side("a"), self.salts), "b", "a", side("b"), self.salts)
+        merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct())
+        known = labels.unionByName(ends.hint("merge").join(labels.select("node"), "node", "left_anti"))
+        into = merged.select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        inside = spread_fetch(known, "component", "node", into, self.salts).select("node", F.col("_into").alias("component"))
+        apart = known.join(into.hint("merge"), "component", "left_anti").select("node", "component")
+        return write_out(inside.unionByName(apart), "labels")
 
     def join(self) -> DataFrame:
         """node, component of the classes that have a link; classes by their least doc_id."""
         met = write_out(meetings(semi_by_id(self.own.select("node", "keys"), self.classes.select("node").distinct(), "node", "nodes")), "met")
         # Each class against one pivot first; then against others, where these are not of its component by now.
         star = met.where("node != pivot")
-        links = self.verify(star.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
-        labels = components(links)
+        labels = components(self.verify(star.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")))
         for_node = labels.withColumnRenamed("component", "_ln")
         for_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("_lp"))
         pairs = write_out(star.select("node", "pivot").distinct(), "pairs").join(for_node, "node", "left")
         apart = spread_fetch(pairs, "pivot", "node", for_pivot, self.salts).where("_ln IS NULL OR _ln != _lp").select("node", "pivot")
         alone = pairs.select("node", "pivot").join(labels.select(F.col("node").alias("pivot")).hint("merge"), "pivot", "left_anti")
-        links, labels = self.more(links, apart.unionByName(alone).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        labels = self.more(labels, apart.unionByName(alone).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         crowded = met.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 2").select("key")
         members = write_out(met.join(crowded, "key", "left_semi"), "members")
         for turn in range(PIVOTS + 1):
@@ -357,14 +369,14 @@ class Join:
                 pairs = members.join(drawn, "key").where("label != _label AND node != _pivot AND other != pivot")
             else:
                 pairs = self.rest(members)
-            links, labels = self.more(links, pairs.select(F.col("node").alias("a"), F.col("other").alias("b")))
+            labels = self.more(labels, pairs.select(F.col("node").alias("a"), F.col("other").alias("b")))
             members = members.select("key", "node", "pivot")
         few, rows = counted(self.classes.where("short").select(F.col("node").alias("b"), F.col("n").alias("m")), "short")
         if rows:
             sizes = (F.col("n") * self.den >= F.col("m") * self.num) & (F.col("m") * self.den >= F.col("n") * self.num)
             near = F.broadcast(few) if rows <= SMALL_ROWS else few
             pairs = self.classes.select(F.col("node").alias("a"), "n").join(near, sizes & (F.col("a") != F.col("b")))
-            links, labels = self.more(links, pairs.select("a", "b"))
+            labels = self.more(labels, pairs.select("a", "b"))
         return labels
 
     def rest(self, members: DataFrame) -> DataFrame:

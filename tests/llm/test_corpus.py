@@ -366,6 +366,28 @@ def test_words_are_forgotten_by_use(rows, monkeypatch):
         assert len(encoder.known) <= 300
 
 
+def test_words_are_remembered_by_the_next_task(monkeypatch):
+    first = tokens.Encoder(queries.tokenizer_path())
+    want = first.encode(["some words"])
+    monkeypatch.setattr(tokens.Encoder, "word", lambda self, word: pytest.fail(word))
+    assert tokens.Encoder(queries.tokenizer_path()).encode(["some words"]) == want
+
+
+def test_rounds_without_links_keep_the_components(spark, monkeypatch):
+    """Components are walked anew only where a round finds links, and then give the least doc_id of all they join."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    job = jaccard.Join(frame(spark, [(1, text(1)), (2, text(2)), (3, text(2)), (4, text(4))]), 3, 90, 100)
+    labels = spark.createDataFrame([(5, 5), (7, 5), (2, 2), (9, 2)], "node long, component long")
+    pairs = spark.createDataFrame([(2, 3)], "a long, b long")
+    walked, usual = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: walked.append(1) or usual(edges))
+    monkeypatch.setattr(job, "verify", lambda pairs: pairs.limit(0))
+    assert job.more(labels, pairs) is labels and not walked
+    found = spark.createDataFrame([(7, 9), (1, 3), (3, 7)], "a long, b long")
+    monkeypatch.setattr(job, "verify", lambda pairs: found)
+    assert got(job.more(labels, pairs), "node", "component") == [(n, 1) for n in (1, 2, 3, 5, 7, 9)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=700))
 def test_elias_fano(values):
