@@ -65,7 +65,8 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
     listed = listed.withColumn("key", url_key(F.col("url")))
     listed = first_per_key(listed, PAGE_ID, ["step", "pos"]).withColumn("source", F.concat_ws("\n", *PAGE_ID))
     if memory is not None:
-        listed = write_out(memory.awake(listed, ledger.where("state = 'open'").withColumn("key", url_key(F.col("url")))), "awake")
+        listed = memory.awake(listed, ledger.where("state = 'open'").withColumn("key", url_key(F.col("url"))))
+    listed = write_out(listed, "listed")  # read more than once
 
     # Info pages.
     info = extract.first_match(F.col("html"), F.col("InfoRule"), INFO_FIELDS)
