@@ -159,7 +159,7 @@ def stream_catalog(spark, sf_dir):
     landing = new_path(spark, "landing")
     crawl = numbered([list_pages(books, item), info, chapters])
     for n in range(3):
-        crawl.where(F.pmod(F.xxhash64("url"), F.lit(3)) == n).coalesce(1).write.mode("append").parquet(landing)
+        crawl.where(F.pmod(F.xxhash64("url"), F.lit(3)) == n).repartition(1).write.mode("append").parquet(landing)
     catalog = Catalog.create(spark, new_path(spark, "catalog"))
     poll_books(catalog, rules, landing, new_path(spark, "poll"), files_per_batch=1).awaitTermination()
     saved = catalog.table("chapter").withColumnRenamed("id", "chapter_id").drop("batch")
