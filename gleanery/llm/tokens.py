@@ -21,19 +21,20 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
 import uuid
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm.common import sliced
+from gleanery.llm.common import sliced, small_batches
 
 MAGIC = b"GTK1"
 END = 0
@@ -43,8 +44,8 @@ SAMPLE = 256
 #: Documents whose boundaries are decoded at a time.
 SLICE_DOCS = 2000
 #: Rows of an Arrow batch and bytes of text that a task holds at a time.
-BATCH_ROWS = "1000"
-TEXT_BYTES = 2 << 20
+BATCH_ROWS = "4000"
+TEXT_BYTES = 4 << 20
 #: Words whose ids a task remembers twice over: those met since it last began anew, and those met before that.
 CACHE_WORDS = 200_000
 
@@ -149,33 +150,37 @@ class Words(dict):
 class Encoder:
     """Encodes texts with a tokenizer, remembering the ids of words.
 
-    A byte-level BPE never joins across a single blank or line feed between two characters that are not white
-    space: a blank goes with the word after it, a line feed stands alone.  Texts are cut there, and the ids
-    of the pieces, joined, are the ids of the text.  A new word goes through the tokenizer's model; one that is more than letters is split by
-    the tokenizer's own first step before, or, if it is letters and a mark at their end, there.  Texts with other white space are encoded whole.
+    A byte-level BPE parts white space from what is before it: of a run of it, the last character is apart, and
+    goes with the word after it if it is a blank; a run at the end of a text is one piece.  So are ASCII letters and a mark
+    after them.  Texts are cut there, many at a time, and the ids of the pieces, joined, are the ids of the text.  Each piece is asked for
+    once for all these texts.  A new word goes through the tokenizer's model; one that is more than letters is split by
+    the tokenizer's own first step before, or, if it is letters and a mark at their end, there.  Texts with white space other than
+    blanks, tabs and ends of lines are encoded whole.
 
     The tokenizer and the words it has met stay in the worker, for the tasks that follow.
     """
 
     _last: tuple[str, tuple, Words] | None = None
-    _other_white = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+    _other_white = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     #: Letters up to here are letters in every version of Unicode.
     _plain = "\u0500"
     _marks = ".,;:!?"
+    # By byte: white space, marks, letters.
+    _is_white, _is_mark, _is_letter = (
+        np.isin(np.arange(256), list(chars.encode())) for chars in (" \t\n\r", _marks, string.ascii_letters))
 
     def __init__(self, path: str) -> None:
         if Encoder._last is None or Encoder._last[0] != path:
             Encoder._last = path, self._opened(path), Words(self.word)
-        self.tokenizer, self.joins, self.signs, line = Encoder._last[1]
+        self.tokenizer, self.joins, self.signs = Encoder._last[1]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
-        self.line_bytes = self._bytes(line)
         self.known = Encoder._last[2]  # with the blank before them
 
     @staticmethod
     def _opened(path: str) -> tuple:
-        """The tokenizer, whether it may be fed piece by piece, the characters that stand for the bytes of a character, the ids of a line feed."""
+        """The tokenizer, whether it may be fed piece by piece, the characters that stand for the bytes of a character."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the cores
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -183,12 +188,11 @@ class Encoder:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         parts = json.loads(tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
-        line = tokenizer.encode("\n", add_special_tokens=False).ids
-        joins = (parts["normalizer"] is None and before.get("type") == "ByteLevel" and len(line) == 1
+        joins = (parts["normalizer"] is None and before.get("type") == "ByteLevel"
                  and not before.get("add_prefix_space") and before.get("use_regex", True))
         plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         signs = {c: plain.pre_tokenize_str(chr(c))[0][0] for c in range(ord(Encoder._plain))}
-        return tokenizer, joins, signs, line
+        return tokenizer, joins, signs
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -196,30 +200,48 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def cut(self, text: str) -> list[list[str]] | None:
-        """The words of each line, with the blank before them, if no white space but single blanks and line feeds parts them."""
-        if (not self.joins or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-                or text[:1] in ("", " ", "\n") or text[-1] in " \n" or self._other_white.search(text)):
-            return None
-        return [line.replace(" ", "\n ").split("\n") for line in text.split("\n")]
+    def cut(self, texts: pa.StringArray) -> pa.ListArray:
+        """The pieces of each text."""
+        bounds = np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, "<i4")
+        data = np.frombuffer(texts.buffers()[2] or b"", "u1")[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        full = bounds[1:] > bounds[:-1]
+        white = self._is_white[data]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[:-1] = white
+        begins[1:-1] &= ~(white[:-1] & white[1:])  # the first of a run
+        begins[1:-1] |= white[:-1] & ~white[1:] & (data[:-1] != ord(" "))
+        begins[1:-1] |= self._is_letter[data[:-1]] & self._is_mark[data[1:]]
+        last = white[:-1] & ~white[1:]
+        last[bounds[1:][full][:-1] - 1] = False  # the run ends the text
+        begins[:-2] |= last
+        begins[bounds] = True
+        at = np.flatnonzero(begins).astype("<i4")
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds), pa.int32()), pieces)
 
     def word(self, word: str) -> bytes:
         """Ids of a word that may have a blank before it."""
         bare = word[1:] if word[:1] == " " else word
         if bare.isalpha() and (bare.isascii() or max(bare) < self._plain):
-            return self._bytes([token.id for token in self.model.tokenize(word.translate(self.signs))])
+            signs = word.replace(" ", self.signs[ord(" ")]) if bare.isascii() else word.translate(self.signs)
+            return self._bytes([token.id for token in self.model.tokenize(signs)])
         if bare[-1:] in self._marks and bare[:-1].isalpha():
             return self.known[word[:-1]] + self.known[word[-1]]
         return self._bytes([token.id for piece, _ in self.split.pre_tokenize_str(word) for token in self.model.tokenize(piece)])
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray | Sequence[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         self.known.forget(CACHE_WORDS)
-        ids, out = self.known.__getitem__, []
-        for text in texts:
-            lines = self.cut(text)
-            out.append(self.whole(text) if lines is None else self.line_bytes.join([b"".join(map(ids, line)) for line in lines]))
-        return out
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.joins:
+            return [self.whole(text) for text in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, self._other_white)
+        cut = self.cut(texts.filter(pc.invert(odd)))
+        pieces = cut.values.dictionary_encode()
+        ids = pa.array([self.known[piece] for piece in pieces.dictionary.to_numpy(zero_copy_only=False)], pa.binary()).take(pieces.indices)
+        joined = iter(pc.binary_join(pa.ListArray.from_arrays(cut.offsets, ids), b"").to_pylist())
+        return [self.whole(text.as_py()) if whole else next(joined) for text, whole in zip(texts, odd.to_pylist())]
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -310,7 +332,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, file_tokens: int =
         for batch in batches:
             for start, end in sliced(batch, batch.column(1), TEXT_BYTES):
                 rows = batch.slice(start, end - start)
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1))):
                     file.add(doc_id, ids)
                     if file.tokens >= file_tokens:
                         yield flush()
@@ -323,7 +345,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, file_tokens: int =
     usual = conf.get(rows)
     conf.set(rows, BATCH_ROWS)
     try:
-        ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+        with small_batches(docs.sparkSession):
+            ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     finally:
         conf.set(rows, usual)
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -373,6 +374,27 @@ def test_words_are_remembered_by_the_next_task(monkeypatch):
     assert tokens.Encoder(queries.tokenizer_path()).encode(["some words"]) == want
 
 
+def test_runs_of_white_space_are_cut_as_a_whole_text_would_be(monkeypatch):
+    texts = ["a  b", "", " \n", "one.\n\n\ttwo \r\n  three!?  ", "\n", "it's 'so', é. x.y", " a", "b "]
+    encoder = tokens.Encoder(queries.tokenizer_path())
+    want = [encoder.whole(t) for t in texts]
+    monkeypatch.setattr(tokens.Encoder, "whole", lambda self, text: pytest.fail(text))
+    assert encoder.encode(texts) == want
+    assert encoder.encode(pa.array(["before", *texts, "after"])[1:-1]) == want and encoder.encode([]) == []
+
+
+def test_a_word_is_asked_for_once_for_many_texts():
+    class Asked(tokens.Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    asked, encoder, texts = [], tokens.Encoder(queries.tokenizer_path()), ["the cat. the cat\nthe cat", "the cat, the cat."] * 9
+    encoder.known = Asked(encoder.word)
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+    assert sorted(asked) == sorted({"the", " cat", " the", ".", ",", "\n"})
+
+
 def test_rounds_without_links_keep_the_components(spark, monkeypatch):
     """Components are walked anew only where a round finds links, and then give the least doc_id of all they join."""
     text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
