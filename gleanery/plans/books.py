@@ -24,6 +24,20 @@ INFO_FIELDS = ["title", "author", "intro", "length", "status", "cls", "image"]
 CHAPTER_FIELDS = ["title", "user", "content"]
 
 
+def asked_again(items: DataFrame, resumed: DataFrame, ledger: DataFrame, rows: int) -> DataFrame:
+    """``resumed``, and of books of which nothing is, the listed chapters from the first on that was missing before.
+
+    The last chapter of a book may not be on its list, if a next link led to it; after it nothing is resumed.
+    """
+    missed, n = counted(ledger.where("step = 'chapter' AND state <> 'done'").select("rule", F.col("url").alias("key")), "missed")
+    if not n:
+        return resumed
+    begins = lookup_join(items, missed, PAGE_ID, "inner", ["source", "pos"]).groupBy("source").agg(F.min("pos").alias("_from"))
+    begins = begins.join(resumed.select("source").distinct(), "source", "left_anti")
+    again = salted_join(items, begins, ["source"], "inner", ["pos"], rows=rows).where("pos >= _from").select(*resumed.columns)
+    return resumed.unionByName(again)
+
+
 def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: int, *,
                   blacklist: DataFrame | None = None, replace_list: list[tuple[str, str]] = (),
                   as_of: Column | None = None, writer: str = "", memory: Memory | None = None) -> None:
@@ -116,10 +130,12 @@ def harvest_books(catalog: Catalog, rules: DataFrame, pages: DataFrame, batch: i
                            F.col("last_chapter_title").alias("last_title"))
     known = lookup_join(catalog.table("chapter", before=batch).select("book_id", "title"),
                         owned.select("book_id", "source"), ["book_id"], "inner", ["title"])
-    items = incremental.resume_after_last(items, parents, "source", n_items)
-    items = incremental.take_until_known(items, known, "source", n_items)
-    items = write_out(items.select(
-        "source", "rule", "pos", url_key(resolve(F.col("url"), F.col("root"))).alias("key")), "wanted-chapters")
+    items = items.withColumn("key", url_key(resolve(F.col("url"), F.col("root"))))
+    resumed = incremental.resume_after_last(items, parents, "source", n_items)
+    if memory is not None:
+        resumed = asked_again(items, resumed, ledger, n_items)
+    items = incremental.take_until_known(resumed, known, "source", n_items)
+    items = write_out(items.select("source", "rule", "pos", "key"), "wanted-chapters")
 
     # Chapter pages, the pages that continue a chapter, the chapters that follow.  A page that several listed chapters lead
     # to counts from the first of them.
